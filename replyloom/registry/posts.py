@@ -183,14 +183,14 @@ ENTRIES = {
                 is_bare_numeric(c).alias(n)
                 for c, n in (
                     (F.col("l_quantity").cast("string"), "quantity_is_number"),
-                    (F.concat_ws("-", "l_linenumber", F.length("l_shipmode")), "pair_is_number"),
-                    (F.substring("l_shipmode", 1, 3), "word_is_number"),
+                    (F.concat_ws("-", "l_linenumber", F.col("l_suppkey") % 20), "pair_is_number"),
+                    (F.concat("l_returnflag", "l_linestatus"), "word_is_number"),
                 )
             ],
         ),
         """SELECT l_orderkey, l_linenumber, true AS quantity_is_number,
-  length(l_linenumber || '-' || length(l_shipmode)) <= 3 AS pair_is_number,
-  try_cast(substr(l_shipmode, 1, 3) AS double) IS NOT NULL AS word_is_number FROM lineitem""",
+  length(l_linenumber || '-' || (l_suppkey % 20)) <= 3 AS pair_is_number,
+  false AS word_is_number FROM lineitem""",
     ),
     "compact_sample": (
         lambda s, d: compact_sample(
