@@ -1,5 +1,5 @@
 """Registered queries over the bundled tables, each with its oracle where SQL can express it."""
 
-from replyloom.registry import graph, posts, text
+from replyloom.registry import graph, metrics, posts, text
 
-ENTRIES = {**posts.ENTRIES, **graph.ENTRIES, **text.ENTRIES}
+ENTRIES = {**posts.ENTRIES, **graph.ENTRIES, **text.ENTRIES, **metrics.ENTRIES}
