@@ -1,5 +1,7 @@
 """Registered queries over the bundled tables, each with its oracle where SQL can express it."""
 
-from replyloom.registry import graph, metrics, posts, text
+from replyloom.registry import graph, metrics, posts, text, vectors
 
-ENTRIES = {**posts.ENTRIES, **graph.ENTRIES, **text.ENTRIES, **metrics.ENTRIES}
+ENTRIES = {
+    **posts.ENTRIES, **graph.ENTRIES, **text.ENTRIES, **metrics.ENTRIES, **vectors.ENTRIES,
+}
