@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from replyloom.runtime import spread
+
+#: tables of long texts, with the column that spreads them
+_TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
 def conversation_posts(

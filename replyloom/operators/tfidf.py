@@ -61,7 +61,7 @@ def grams(df: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
 
 def term_statistics(df: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
     """(term, corpus_count, doc_count) in one pass: a sorted text shows each first occurrence."""
-    ordered = grams(df.select(text), text, config).select(F.array_sort("_grams").alias("_sorted"))
+    ordered = grams(df.select(text), text, config).select(F.sort_array("_grams").alias("_sorted"))
     # _sorted is used twice, so it stays a column of its own and is not recomputed per element
     marked = F.transform(
         "_sorted",
@@ -71,8 +71,7 @@ def term_statistics(df: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
         ),
     )
     return (
-        ordered.where(F.size("_sorted") > 0)
-        .select(F.inline(marked))
+        ordered.select(F.inline(marked))
         .groupBy("term")
         .agg(
             F.count(F.lit(1)).alias("corpus_count"), F.count_if("first").alias("doc_count")

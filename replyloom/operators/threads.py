@@ -183,7 +183,8 @@ def thread_flags(
     """
     extra = dict(extra or {})
     brand = ~F.col("inbound")
-    prepared = posts.join(turn_gaps(posts), "tweet_id").withColumns(
+    links = materialize(posts.select("tweet_id", "in_reply_to", "created_at"), "links")
+    prepared = posts.join(turn_gaps(links), "tweet_id").withColumns(
         {
             "_sig": F.when(brand, split_signature(F.col("text"), rules.signature)["signature"]),
             "_canned": (

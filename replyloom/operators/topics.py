@@ -67,24 +67,25 @@ def _update_texts(df: DataFrame, h: np.ndarray, k: int) -> DataFrame:
 
 
 def _sums(df: DataFrame, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """W^T X (k x vocabulary) and W^T W (k x k): both bounded, so they may reach the driver."""
-    by_term = (
-        df.select("topics", F.inline("_terms"))
+    """W^T X (k x vocabulary) and W^T W (k x k): both bounded, so they may reach the driver.
+
+    Each text gets k more entries, its own topic weights at the positions behind the vocabulary,
+    so that one aggregate gives both products.
+    """
+    own = F.transform(
+        "topics",
+        lambda w, j: F.struct((j + width).alias("position"), w.alias("weight")),
+    )
+    rows = (
+        df.select("topics", F.inline(F.concat("_terms", own)))
         .groupBy("position")
         .agg(*[F.sum(F.col("topics")[j] * F.col("weight")).alias(f"s{j}") for j in range(k)])
         .collect()
     )
-    wtx = np.zeros((k, width))
-    for r in by_term:
-        wtx[:, r["position"]] = [r[f"s{j}"] for j in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(
-        *[F.sum(F.col("topics")[i] * F.col("topics")[j]).alias(f"g{i}_{j}") for i, j in pairs]
-    ).first()
-    wtw = np.zeros((k, k))
-    for i, j in pairs:
-        wtw[i, j] = wtw[j, i] = row[f"g{i}_{j}"] or 0.0
-    return wtx, wtw
+    both = np.zeros((k, width + k))
+    for r in rows:
+        both[:, r["position"]] = [r[f"s{j}"] for j in range(k)]
+    return both[:, :width], both[:, width:]
 
 
 def nmf(
@@ -93,7 +94,8 @@ def nmf(
 ) -> TopicModel:
     """Factorise the non-negative sparse vectors into k topics.
 
-    The start is a digest of seed and position, the same on any partitioning. The squared loss
+    Texts start from a digest of their key and topics from a seeded generator, so the start is
+    the same on any partitioning. The squared loss
     follows from the sums of each round and never rises; ``tolerance`` stops early on its relative
     change.
     """
@@ -107,7 +109,6 @@ def nmf(
     ).first()
     scale = float(np.sqrt(max(stats["mass"] or 0.0, _TINY) / max(stats["n"], 1) / width / k))
     h = scale * (0.5 + rng.random((k, width)))
-    # a text starts from a digest of its own id, not from a random generator of its partition
     noise = [
         F.lit(scale) * (F.lit(0.5) + F.pmod(F.xxhash64(*keys, F.lit(seed + j)), F.lit(10007)) / 10007.0)
         for j in range(k)

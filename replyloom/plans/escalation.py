@@ -49,7 +49,7 @@ def _fit(
     regression = LogisticRegression(
         featuresCol="_vector", labelCol="_label", weightCol="_weight", predictionCol="_prediction",
         probabilityCol="_probability", rawPredictionCol="_raw", regParam=reg, elasticNetParam=0.0,
-        standardization=False, maxIter=iterations, tol=1e-8,
+        standardization=False, maxIter=iterations, tol=1e-6,
         family="binomial" if len(classes) == 2 else "multinomial",
     )
     return TextClassifier(tfidf, regression.fit(rows), classes)
@@ -70,7 +70,7 @@ def fit_escalation(
     weight = F.when(F.col(y) == 1, F.lit(n / (2.0 * counts[1]))).otherwise(
         F.lit(n / (2.0 * counts[0]))
     )
-    return _fit(gold, text, F.col(y), weight, 1.0 / (c * n), config, ("0", "1"), 500)
+    return _fit(gold, text, F.col(y), weight, 1.0 / (c * n), config, ("0", "1"), 100)
 
 
 def fit_intent(

@@ -83,7 +83,7 @@ def _plain_judge_sql() -> str:
 
 
 SQL_RATINGS = f"""ratings AS (SELECT conv_id, turn, human::double AS human, overall,
-  round(abs(human - overall)::decimal(30, 18), 2)::double AS delta,
+  round(abs(human - overall)::varchar::decimal(20, 16), 2)::double AS delta,
   CASE WHEN human < 3 THEN 'POOR' WHEN human < 4.3 THEN 'SATISFACTORY' ELSE 'EXCELLENT' END AS ht,
   CASE WHEN overall < 3 THEN 'POOR' WHEN overall < 4.3 THEN 'SATISFACTORY' ELSE 'EXCELLENT' END AS mt
   FROM ({_plain_judge_sql()}))"""
@@ -131,8 +131,8 @@ def _gap_sql() -> str:
 
     left, right = "substr(a.text, 1, 200)", "a.text || ' ' || u.text"
     return f"""SELECT conv_id, turn,
-  round((d.overall - c.overall)::decimal(30, 18), 2)::double AS unmitigated_gap,
-  round((b.overall - a.overall)::decimal(30, 18), 2)::double AS mitigated_gap
+  round((d.overall - c.overall)::varchar::decimal(20, 16), 2)::double AS unmitigated_gap,
+  round((b.overall - a.overall)::varchar::decimal(20, 16), 2)::double AS mitigated_gap
 FROM ({scores(left, True)}) a JOIN ({scores(right, True)}) b USING (conv_id, turn)
 JOIN ({scores(left, False)}) c USING (conv_id, turn) JOIN ({scores(right, False)}) d USING (conv_id, turn)"""
 
@@ -404,7 +404,7 @@ UNION ALL SELECT item, 'b', 'a', 0.5::double * (b + 1 - a) FROM w""",
             ).alias("overall"),
         ),
         "SELECT p_partkey, round(((p_size % 5 + 1) * 0.35::double + (p_size % 4 + 1) * 0.30::double "
-        "+ (p_size % 3 + 1) * 0.20::double + (p_size % 2 + 1) * 0.15::double)::decimal(30, 18), 2)"
+        "+ (p_size % 3 + 1) * 0.20::double + (p_size % 2 + 1) * 0.15::double)::varchar::decimal(20, 16), 2)"
         "::double AS overall FROM part",
     ),
     "validate_labels": (
@@ -533,7 +533,7 @@ WHERE pure AND fb IS NOT NULL AND num_turns >= 2 ORDER BY conv_id LIMIT 2""",
   coalesce('TIER_0_' || category, 'TIER_1_OPERATIONAL_INQUIRY') AS predicted_intent,
   CASE WHEN category IS NOT NULL THEN 'Tier-0 Preemptive Override: [' || category
       || '] (Trigger token: ''' || phrase || ''')'
-    WHEN p >= 0.45 THEN 'Calibrated probability (' || printf('%.2f', round(p::decimal(30, 18), 2))
+    WHEN p >= 0.45 THEN 'Calibrated probability (' || printf('%.2f', round(p::varchar::decimal(20, 16), 2))
       || ' >= 0.45)'
     ELSE 'None' END AS escalation_reason FROM hit""",
     ),

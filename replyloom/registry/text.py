@@ -160,7 +160,7 @@ scored AS (SELECT conv_id, turn,
     || {case(action, 'no_action', 1)} AS rationale FROM pairs)
 SELECT *, round((safety_compliance * 0.35::double + factual_grounding * 0.30::double
   + actionability * 0.20::double + tone_empathy * 0.15::double
-  - least(0.4::double, greatest(word_count - {w.penalty_words}, 0) * 0.01::double))::decimal(30, 18), 2)::double
+  - least(0.4::double, greatest(word_count - {w.penalty_words}, 0) * 0.01::double))::varchar::decimal(20, 16), 2)::double
   AS overall
 FROM scored"""
 

@@ -362,7 +362,7 @@ FROM n""",
     "topic_shares": (
         _shares,
         "SELECT topic_id, count(*) AS dominant_inquiries, round((count(*) / (SELECT count(*) FROM "
-        "embeddings) * 100)::decimal(30, 18), 1)::double AS pct FROM "
+        "embeddings) * 100)::varchar::decimal(20, 16), 1)::double AS pct FROM "
         "(SELECT list_position(t, list_max(t))::int - 1 AS topic_id "
         "FROM (SELECT [abs(x) for x in embedding[1:8]] AS t FROM embeddings)) GROUP BY topic_id",
     ),

@@ -48,6 +48,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rehash by ``key`` where the input has fewer partitions than the session has cores.
+
+    A few files with one row group each would leave text work to a few tasks. Input that is already
+    split finely enough is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def hottest_key(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """Number of rows with a key, and rows of the most frequent key (map-side combined)."""
     counted = (
