@@ -100,7 +100,7 @@ def nmf(
     change.
     """
     rng = np.random.default_rng(seed)
-    start = vectors.select(*keys, entries(vector).alias("_terms"))
+    start = materialize(vectors.select(*keys, entries(vector).alias("_terms")), "terms")
     square = F.aggregate("_terms", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"])
     stats = start.agg(
         F.sum(square).alias("total"),

@@ -43,8 +43,12 @@ def _fit(
     classes: tuple[str, ...], iterations: int,
 ) -> TextClassifier:
     tfidf = tfidf_fit(df, text, config)
-    rows = tfidf.transform(df, text, "_vector").select(
-        "_vector", label.cast("double").alias("_label"), weight.alias("_weight")
+    # every iteration reads the vectors, not the texts
+    rows = materialize(
+        tfidf.transform(df, text, "_vector").select(
+            "_vector", label.cast("double").alias("_label"), weight.alias("_weight")
+        ),
+        "training",
     )
     regression = LogisticRegression(
         featuresCol="_vector", labelCol="_label", weightCol="_weight", predictionCol="_prediction",
