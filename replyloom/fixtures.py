@@ -70,7 +70,7 @@ def event_posts(spark: SparkSession, folder: str) -> DataFrame:
     """
     events = table(spark, folder, "events")
     chained = previous_in_group(
-        events, "user_id", ["ts", "event_id"], F.to_date("ts"), "event_id"
+        events, "user_id", ["ts", "event_id"], F.date_trunc("minute", "ts"), "event_id"
     )
     return chained.select(
         F.col("event_id").alias("tweet_id"),

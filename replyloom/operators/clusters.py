@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from replyloom.operators.gold import hash_sample
 from replyloom.operators.tfidf import top_terms
+from replyloom.runtime import salted_join
 
 NOISE = -1
 
@@ -64,7 +64,7 @@ def representatives(
     v, c = F.col("_v"), F.col("_c")
     rank = W.partitionBy(label).orderBy(F.desc("similarity"), id_col)
     return (
-        clustered.join(centroid, label)
+        salted_join(clustered, centroid, [label], spread=[id_col])
         .withColumn(
             "similarity",
             F.round(
@@ -106,12 +106,5 @@ def sample_inquiries(
     inquiries: DataFrame, id_col: str, n: int = 12000, seed: int = 42
 ) -> DataFrame:
     """The inquiries to cluster: all, or a stable sample of n."""
-    from replyloom.operators.gold import hash_sample
-
     return hash_sample(inquiries, id_col, seed, n)
 
-
-__all__: Sequence[str] = (
-    "NOISE", "cluster_sizes", "cluster_summary", "cluster_top", "representatives",
-    "cluster_profiles", "sample_inquiries",
-)

@@ -24,29 +24,44 @@ from replyloom.operators.clusters import NOISE
 from replyloom.operators.components import connected_components
 from replyloom.runtime import materialize, running_sums, salted_join
 
+#: points per side of a compared block
 BLOCK = 1000
+#: the grid is refined while a cell holds more blocks than this, up to MAX_GRID coordinates
+CELL_BLOCKS = 50
+MAX_GRID = 6
 _ROWS = "pid long, weight long, home boolean, v array<double>, block string"
 
 
-def _spread_dimensions(points: DataFrame, n: int) -> list[int]:
-    """The n coordinates with the largest variance (one row per coordinate reaches the driver)."""
+def _grid_dimensions(points: DataFrame, eps: float) -> list[int]:
+    """Coordinates of the grid: those of largest variance, as many as keep every cell small.
+
+    Each further coordinate doubles the guest copies, so the grid stops growing at the first
+    size whose fullest cell holds at most ``CELL_BLOCKS`` blocks.
+    """
     variance = (
         points.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s"))
     )
-    return [r["i"] for r in variance.orderBy(F.desc("s"), "i").limit(n).collect()]
+    widest = [r["i"] for r in variance.orderBy(F.desc("s"), "i").limit(MAX_GRID).collect()]
+    for n in range(2, len(widest)):
+        cells = points.groupBy(_home_cell(widest[:n], eps)).count()
+        if (cells.agg(F.max("count")).first()[0] or 0) <= CELL_BLOCKS * BLOCK:
+            return widest[:n]
+    return widest
 
 
-def _blocks(points: DataFrame, dims: list[int], eps: float) -> DataFrame:
-    """Home and guest copies of all points with the block each copy is compared in."""
-    side = 2.0 * eps
+def _cell(x: Column, eps: float) -> Column:
+    return F.floor(x / F.lit(2.0 * eps)).cast("long")
+
 
-    def cell(x: Column) -> Column:
-        return F.floor(x / F.lit(side)).cast("long")
+def _home_cell(dims: list[int], eps: float) -> Column:
+    return F.array(*[_cell(F.col("v")[i], eps) for i in dims])
 
-    home = F.array(*[cell(F.col("v")[i]) for i in dims])
+
+def _blocks(points: DataFrame, dims: list[int], eps: float) -> DataFrame:
+    """Home and guest copies of all points with the block each copy is compared in."""
     def extended(cells: Column, i: int) -> Column:
         x = F.col("v")[i]
-        reached = F.array_distinct(F.array(cell(x - F.lit(eps)), cell(x + F.lit(eps))))
+        reached = F.array_distinct(F.array(_cell(x - F.lit(eps), eps), _cell(x + F.lit(eps), eps)))
         return F.flatten(
             F.transform(
                 cells, lambda c: F.transform(reached, lambda k: F.concat(c, F.array(k)))
@@ -57,7 +72,7 @@ def _blocks(points: DataFrame, dims: list[int], eps: float) -> DataFrame:
     for i in dims:
         cells = extended(cells, i)
     copies = (
-        points.withColumn("_home", home)
+        points.withColumn("_home", _home_cell(dims, eps))
         .withColumn("_cell", F.explode(cells))
         .withColumn("home", F.col("_cell") == F.col("_home"))
         .withColumn("cell", F.array_join(F.col("_cell").cast("array<string>"), ","))
@@ -120,10 +135,9 @@ def _forest(home: np.ndarray, guest: np.ndarray, near: np.ndarray) -> pd.DataFra
 
 
 def core_points(
-    points: DataFrame, min_samples: int, eps: float, grid_dims: int = 3
+    points: DataFrame, dims: list[int], min_samples: int, eps: float
 ) -> DataFrame:
     """Points (pid, v, weight) with at least ``min_samples`` points within eps, itself included."""
-    dims = _spread_dimensions(points, grid_dims)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         home, guest, near = _near(pdf, eps)
@@ -135,9 +149,8 @@ def core_points(
     return points.join(dense.select("pid"), "pid", "left_semi")
 
 
-def near_edges(points: DataFrame, eps: float, grid_dims: int = 3) -> DataFrame:
+def near_edges(points: DataFrame, dims: list[int], eps: float) -> DataFrame:
     """Edges (u, v) that connect points within eps of each other, as spanning forests of blocks."""
-    dims = _spread_dimensions(points, grid_dims)
 
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
         home, guest, near = _near(pdf, eps)
@@ -153,7 +166,6 @@ def density_cluster(
     eps: float = 0.15,
     id_col: str = "vec_id",
     vector: str = "embedding",
-    grid_dims: int = 3,
 ) -> DataFrame:
     """(id, label): clusters numbered from 0 by their least member, noise and small ones -1."""
     plain = materialize(
@@ -165,8 +177,9 @@ def density_cluster(
         ),
         "points",
     )
-    core = materialize(core_points(points, min_samples, eps, grid_dims), "core")
-    edges = materialize(near_edges(core, eps, grid_dims), "edges")
+    dims = _grid_dimensions(points, eps)
+    core = materialize(core_points(points, dims, min_samples, eps), "core")
+    edges = materialize(near_edges(core, dims, eps), "edges")
     parts = core.select("pid", "weight").join(
         connected_components(edges).withColumnRenamed("node", "pid"), "pid", "left"
     ).withColumn("component", F.coalesce("component", "pid"))

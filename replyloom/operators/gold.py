@@ -13,7 +13,7 @@ from replyloom import defaults as D
 from replyloom.functions.rules import classify_inquiry
 from replyloom.functions.text import is_bare_numeric
 from replyloom.operators.threads import substantive
-from replyloom.runtime import running_sums
+from replyloom.runtime import running_sums, salted_join
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -43,7 +43,8 @@ def first_n_per(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int)
 def unlabelled(candidates: DataFrame, labels: DataFrame, key: str = "thread_id") -> DataFrame:
     """Candidates whose key has no label yet."""
     known = labels.where(F.col(key).isNotNull()).select(key).distinct()
-    return candidates.join(known, key, "left_anti")
+    # many paths of one root share a thread id
+    return salted_join(candidates, known, [key], "left_anti").select(*candidates.columns)
 
 
 def quota_sample(
@@ -61,7 +62,7 @@ def quota_sample(
     the shuffle: a class holding most of the data never meets in one task.
     """
     each = target // len(classes)
-    have = existing.groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
+    have = existing.where(F.col(label).isin(*classes)).groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
     rank = W.partitionBy(label).orderBy("_shuffled", id_col)
     ranked = (
         candidates.where(F.col(label).isin(*classes))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.operators.tfidf import entries
+from replyloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -40,20 +40,65 @@ class LsaModel:
         return table.withColumn(output, projected).drop("_v")
 
 
-def lsa_fit(vectors: DataFrame, k: int = 64, vector: str = "vector") -> LsaModel:
-    """Truncated SVD by distributed products with X; the driver holds features x k numbers."""
-    rows = MLUtils.convertVectorColumnsFromML(
-        vectors.select(F.lit(0).cast("long").alias("id"), vector), vector
-    ).persist()
-    try:
-        matrix = IndexedRowMatrix(rows)
-        width = matrix.numCols()
-        svd = matrix.computeSVD(min(k, int(width)), computeU=False)
-        values = tuple(float(x) for x in svd.s.toArray())
-        components = tuple(tuple(float(x) for x in r) for r in svd.V.toArray())
-    finally:
-        rows.unpersist()
-    return LsaModel(components, values)
+def _gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """X^T (X Q) in one pass: every task sums its rows into a features x columns matrix, and
+    Spark adds up the matrices row by row."""
+    width, columns = q.shape
+
+    def partial(batches):
+        total = np.zeros((width, columns))
+        for batch in batches:
+            lengths = batch["indices"].map(len).to_numpy()
+            if not lengths.sum():
+                continue
+            position = np.concatenate(batch["indices"].to_numpy()).astype("int64")
+            weight = np.concatenate(batch["values"].to_numpy())[:, None]
+            text = np.repeat(np.arange(len(batch)), lengths)
+            projected = np.zeros((len(batch), columns))
+            np.add.at(projected, text, weight * q[position])
+            np.add.at(total, position, weight * projected[text])
+        used = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"position": used.astype("int32"), "z": list(total[used])})
+
+    summed = (
+        rows.mapInPandas(partial, "position int, z array<double>")
+        .groupBy("position")
+        .agg(*[F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(columns)])
+        .collect()  # at most one short row per feature
+    )
+    out = np.zeros((width, columns))
+    for r in summed:
+        out[r[0]] = r[1:]
+    return out
+
+
+def lsa_fit(
+    vectors: DataFrame, width: int, k: int = 64, vector: str = "vector", passes: int = 6,
+    oversample: int = 10, seed: int = 42,
+) -> LsaModel:
+    """Truncated SVD by randomised subspace iteration (Halko, Martinsson and Tropp, 2011).
+
+    ``passes`` scans of the sparse vectors are enough for any k; the driver and each task hold
+    width x (k + oversample) numbers, where width is the vocabulary size.
+    """
+    raw = F.unwrap_udt(F.col(vector))
+    rows = materialize(
+        vectors.select(raw["indices"].alias("indices"), raw["values"].alias("values")), "lsa"
+    )
+    columns = min(k + oversample, width)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, columns)))[0]
+    for _ in range(passes - 1):
+        q = np.linalg.qr(_gram_product(rows, q))[0]
+    # Q^T X^T X Q, whose eigenpairs give the squared singular values and the rotation of Q
+    small = q.T @ _gram_product(rows, q)
+    values, rotation = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(values)[::-1][:k]
+    order = order[values[order] > 1e-12 * max(values.max(), 1e-300)]
+    v = q @ rotation[:, order]
+    return LsaModel(
+        tuple(tuple(float(x) for x in r) for r in v),
+        tuple(float(np.sqrt(x)) for x in values[order]),
+    )
 
 
 def explained_variance_ratio(projected: DataFrame, vectors: DataFrame, vector: str = "vector",
@@ -72,7 +117,3 @@ def explained_variance_ratio(projected: DataFrame, vectors: DataFrame, vector: s
         .agg((F.var_pop("x") / variance.scalar()).alias("ratio"))
     )
 
-
-def dense(df: DataFrame, vector: str, output: str) -> DataFrame:
-    """An ML vector column as array<double>."""
-    return df.withColumn(output, vector_to_array(vector))

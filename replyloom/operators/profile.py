@@ -38,7 +38,8 @@ def distinct_n(df: DataFrame, by: Sequence[str], n: int, text: str = "text") ->
     words = df.select(*by, latin_words(F.col(text)).alias("_words"))
     grams = F.col("_words") if n == 1 else bigrams(F.col("_words"))
     return (
-        words.select(*by, F.explode(grams).alias("_gram"))
+        # inline, unlike explode, adds no size filter that would tokenise the text twice
+        words.select(*by, F.inline(F.transform(grams, lambda g: F.struct(g.alias("_gram")))))
         .groupBy(*by, "_gram")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy(*by)

@@ -18,6 +18,7 @@ from replyloom.operators.retrieval import retrieve
 from replyloom.operators.threads import substantive
 from replyloom.operators.tfidf import TfidfModel
 from replyloom.plans.escalation import Rules, TextClassifier
+from replyloom.runtime import materialize, salted_join
 
 #: columns every system returns, next to those of its input
 ANSWER = (
@@ -151,11 +152,13 @@ def choose_reply(
 
 def full_answers(routed: DataFrame, hits: DataFrame, kb: DataFrame) -> DataFrame:
     """Replies for routed queries from their retrieval hits."""
+    hits = materialize(hits, "hits")
     best = hits.where(F.col("rank") == 1).select(
         "query_id", "kb_id", F.col("resolution_score").alias("_resolution")
     )
-    # one row per query on both sides
-    best = best.join(kb.select("kb_id", F.col("brand_reply").alias("_reply")), "kb_id")
+    # one row per query, but one knowledge row may be the best hit of very many queries
+    answers = kb.select("kb_id", F.col("brand_reply").alias("_reply"))
+    best = salted_join(best, answers, ["kb_id"], spread=["query_id"])
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("_hits"))
     joined = routed.join(best.drop("kb_id"), "query_id", "left").join(found, "query_id", "left")
     return _answer(

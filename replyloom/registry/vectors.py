@@ -176,7 +176,7 @@ def _lsa(s, d):
     docs = X.table(s, d, "documents").select("doc_id", "text")
     model = V.tfidf_fit(docs, "text", CLUSTER)
     vectors = model.transform(docs, "text").drop("text")
-    fitted = lsa_fit(vectors, 64)
+    fitted = lsa_fit(vectors, len(model.vocabulary), 64)
     projected = fitted.transform(vectors)
     ratios = explained_variance_ratio(projected, vectors)
     values = s.createDataFrame(

@@ -166,7 +166,7 @@ def test_topics_are_recovered(spark):
 def test_svd_rebuilds_the_vectors(spark):
     _, tfidf, vectors = planted(spark)
     width = len(tfidf.vocabulary)
-    model = lsa_fit(vectors, width)
+    model = lsa_fit(vectors, width, width)
     s = model.singular_values
     assert all(a >= b > 0 for a, b in zip(s, s[1:]))
     x = np.zeros((60, width))
