@@ -102,19 +102,23 @@ ENTRIES = {
         "FROM posts c JOIN posts p ON c.in_reply_to = p.tweet_id",
     ),
     "thread_roots": (
-        lambda s, d: G.thread_roots(branching(s, d).where("inbound OR tweet_id % 100 > 0")).select(
-            "tweet_id", "author_id"
-        ),
-        f"WITH {SQL_BRANCHING}, kept AS (SELECT * FROM posts WHERE inbound OR tweet_id % 100 > 0) "
-        "SELECT tweet_id, author_id FROM kept WHERE in_reply_to IS NULL "
-        "OR in_reply_to NOT IN (SELECT tweet_id FROM kept)",
+        # an opening post of a user answers a post that is not in the table
+        lambda s, d: G.thread_roots(
+            branching(s, d).withColumn(
+                "in_reply_to",
+                F.coalesce("in_reply_to", F.when(F.col("inbound"), F.col("tweet_id") + 99)),
+            )
+        ).select("tweet_id", "author_id", "in_reply_to"),
+        f"WITH {SQL_BRANCHING} SELECT tweet_id, author_id, CASE WHEN inbound THEN tweet_id + 99 END "
+        "AS in_reply_to FROM posts WHERE in_reply_to IS NULL "
+        "OR in_reply_to NOT IN (SELECT tweet_id FROM posts)",
     ),
     "ancestor_closure": (
         lambda s, d: G.ancestor_closure(
-            linear(s, d), linear(s, d).where("tweet_id % 7 = 0"), 3
+            linear(s, d), P.brand_posts(linear(s, d), BRANDS[:1]), 3
         ).select("tweet_id", "author_id"),
         f"""WITH RECURSIVE {SQL_LINEAR}, hops AS (
-  SELECT tweet_id, in_reply_to, 0 AS hop FROM posts WHERE tweet_id % 7 = 0
+  SELECT tweet_id, in_reply_to, 0 AS hop FROM posts WHERE author_id = 'brand0'
   UNION SELECT p.tweet_id, p.in_reply_to, h.hop + 1 FROM hops h
   JOIN posts p ON p.tweet_id = h.in_reply_to WHERE h.hop < 3)
 SELECT tweet_id, author_id FROM posts WHERE tweet_id IN (SELECT tweet_id FROM hops)""",

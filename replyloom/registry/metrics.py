@@ -94,7 +94,7 @@ def _relabels(s, d):
         F.col("doc_id").alias("id"),
         F.col("y").alias("original_escalate"),
         F.col("y2").alias("blind_relabel_escalate"),
-        F.when(F.col("doc_id") % 5 != 0, F.col("y") == F.col("y2")).alias("is_consistent"),
+        F.when(F.col("lang") != "es", F.col("y") == F.col("y2")).alias("is_consistent"),
     )
 
 
@@ -116,7 +116,7 @@ def _trials(s, d):
 
 def _gaps(s, d):
     pairs = reply_pairs(s, d).select(
-        "conv_id", "turn", "query", F.substring("reply", 1, 200).alias("left_reply"),
+        "conv_id", "turn", "query", F.col("reply").alias("left_reply"),
         F.concat_ws(" ", "reply", "query").alias("right_reply"),
     )
     return M.judge_gap(pairs, words=RUBRIC).select(
@@ -129,7 +129,7 @@ def _gap_sql() -> str:
         sql = _plain_judge_sql().replace("a.text AS reply", f"{reply} AS reply")
         return sql if penalty else sql.replace("* 0.01::double", "* 0.0::double")
 
-    left, right = "substr(a.text, 1, 200)", "a.text || ' ' || u.text"
+    left, right = "a.text", "a.text || ' ' || u.text"
     return f"""SELECT conv_id, turn,
   round((d.overall - c.overall)::varchar::decimal(20, 16), 2)::double AS unmitigated_gap,
   round((b.overall - a.overall)::varchar::decimal(20, 16), 2)::double AS mitigated_gap
@@ -146,9 +146,9 @@ def _corrections(s, d):
         F.array(*[F.lit(x) for x in ("", "-", "4.5", "checked again")]),
         (F.col("id") % 4 + 1).cast("int"),
     )
-    corrections = gold.where("id % 2 = 0 OR id % 3 = 0").select(
+    corrections = gold.where("human_rationale <> 'en'").select(
         "id", (1 - F.col("ground_truth_escalate")).alias("ground_truth_escalate"),
-        F.when(F.col("id") % 3 == 0, F.lit("NEW")).otherwise(F.lit(" ")).alias(
+        F.when(F.col("human_rationale") == "fr", F.lit("NEW")).otherwise(F.lit(" ")).alias(
             "ground_truth_intent"
         ),
         notes.alias("human_rationale"),
@@ -157,7 +157,7 @@ def _corrections(s, d):
 
 
 def _existing(s, d):
-    return X.gold(s, d).where("doc_id % 10 = 0").select(
+    return X.gold(s, d).where("lang = 'de'").select(
         F.col("doc_id").alias("thread_id"), F.col("y").alias("ground_truth_escalate")
     )
 
@@ -173,7 +173,7 @@ SQL_ORDER = "md5(concat_ws(':', {0}::varchar, '{1}')), {0}"
 
 def _balanced(s, d):
     threads = conversation_threads(s, d)
-    existing = threads.where("root_tweet_id % 700 = 0").select(
+    existing = threads.where("num_turns = 2").select(
         F.concat(F.lit("OLD_"), F.lpad(F.col("root_tweet_id").cast("string"), 9, "0")).alias("id"),
         "thread_id", F.col("customer_inquiry_text").alias("text"),
         F.col("initial_brand_reply").alias("actual_historical_reply"),
@@ -193,11 +193,11 @@ def _balanced_sql() -> str:
         "SELECT doc_id", "SELECT thread_id"
     )
     return f"""WITH {SQL_SPOKEN}, threads AS (
-  SELECT 'delta_thread_' || (conv_id * 100 + root) AS thread_id, conv_id * 100 + root AS root_id,
+  SELECT 'delta_thread_' || (conv_id * 100 + root) AS thread_id, conv_id * 100 + root AS root_id, num_turns,
     {SQL_SCRUB.format('inquiry')} AS text, {SQL_SCRUB.format('reply')} AS reply
   FROM judged WHERE num_turns >= 2 AND fb IS NOT NULL),
-old AS (SELECT * FROM threads WHERE root_id % 700 = 0),
-fresh AS (SELECT * FROM threads WHERE root_id % 700 <> 0 AND {sql_words('text')} >= 6
+old AS (SELECT * FROM threads WHERE num_turns = 2),
+fresh AS (SELECT * FROM threads WHERE num_turns <> 2 AND {sql_words('text')} >= 6
   AND {sql_words('reply')} >= 6),
 verdicts AS ({verdict}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY escalate
@@ -214,8 +214,8 @@ SELECT 'GOLD_' || lpad((row_number() OVER (ORDER BY g, place, thread_id))::varch
 
 def _labelled_candidates(s, d):
     threads = conversation_threads(s, d)
-    labels = threads.where("root_tweet_id % 300 = 0").select("thread_id")
-    return G.label_candidates(threads, labels, 20, least=40).select("thread_id", "num_turns")
+    labels = threads.where("num_turns = 3").select("thread_id")
+    return G.label_candidates(threads, labels, 200).select("thread_id", "num_turns")
 
 
 def _rated(s, d):
@@ -341,7 +341,7 @@ SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall),
     "drift_cases": (
         lambda s, d: M.drift_cases(_relabels(s, d)).select("id", "original_escalate"),
         f"WITH {SQL_GOLD} SELECT doc_id AS id, y AS original_escalate FROM gold "
-        "WHERE doc_id % 5 <> 0 AND y <> y2",
+        "WHERE lang <> 'es' AND y <> y2",
     ),
     "disagreements": (
         lambda s, d: M.disagreements(_ratings(s, d)),
@@ -360,7 +360,7 @@ SELECT (SELECT count(*) FROM ratings) AS total_cases, round(kappa, 6) AS cohens_
         lambda s, d: _six(
             M.relabel_audit(X.table(s, d, "documents"), _relabels(s, d)), "agreement", "kappa"
         ),
-        f"""WITH {SQL_GOLD}, drift AS (SELECT doc_id FROM gold WHERE doc_id % 5 <> 0 AND y <> y2)
+        f"""WITH {SQL_GOLD}, drift AS (SELECT doc_id FROM gold WHERE lang <> 'es' AND y <> y2)
 SELECT (SELECT count(*) FROM documents) AS total_gold, count(*) AS audit_size,
   round(avg((y = y2)::int), 6) AS agreement, round({kappa_sql('gold', 'y', 'y2')}, 6) AS kappa,
   (SELECT count(*) FROM drift) AS drift_cases,
@@ -433,18 +433,18 @@ UNION ALL SELECT item, 'b', 'a', 0.5::double * (b + 1 - a) FROM w""",
                 F.col("doc_id").alias("id"), F.col("lang").alias("text"),
                 F.col("y").alias("ground_truth_escalate"),
             ),
-            X.table(s, d, "labels").where("doc_id % 3 = 0").select(
+            X.table(s, d, "labels").select(
                 F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("blind_relabel_escalate")
             ),
         ),
         f"WITH {SQL_GOLD} SELECT doc_id AS id, lang AS text, y AS original_escalate, "
-        "y2 AS blind_relabel_escalate, y = y2 AS is_consistent FROM gold WHERE doc_id % 3 = 0",
+        "y2 AS blind_relabel_escalate, y = y2 AS is_consistent FROM gold",
     ),
     "apply_corrections": (
         _corrections,
-        f"""WITH {SQL_GOLD}, c AS (SELECT *, doc_id % 2 = 0 OR doc_id % 3 = 0 AS hit FROM gold)
+        f"""WITH {SQL_GOLD}, c AS (SELECT *, lang <> 'en' AS hit FROM gold)
 SELECT doc_id AS id, CASE WHEN hit THEN 1 - y ELSE y END AS ground_truth_escalate,
-  CASE WHEN doc_id % 3 = 0 THEN 'NEW' ELSE source END AS ground_truth_intent,
+  CASE WHEN lang = 'fr' THEN 'NEW' ELSE source END AS ground_truth_intent,
   CASE WHEN NOT hit THEN lang WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 3 THEN 'checked again'
     ELSE lang END AS human_rationale,
   CASE WHEN hit THEN 'now' END AS corrected_at FROM c""",
@@ -470,7 +470,7 @@ SELECT doc_id AS id, CASE WHEN hit THEN 1 - y ELSE y END AS ground_truth_escalat
     ),
     "quota_sample": (
         lambda s, d: G.quota_sample(_candidates(s, d), _existing(s, d), 60).drop("source"),
-        f"""WITH {SQL_GOLD}, have AS (SELECT y, count(*) AS n FROM gold WHERE doc_id % 10 = 0 GROUP BY y),
+        f"""WITH {SQL_GOLD}, have AS (SELECT y, count(*) AS n FROM gold WHERE lang = 'de' GROUP BY y),
 r AS (SELECT doc_id AS thread_id, y AS ground_truth_escalate, row_number() OVER (PARTITION BY y
   ORDER BY {SQL_ORDER.format('doc_id', 42)}) AS rank FROM gold)
 SELECT r.* FROM r LEFT JOIN have ON have.y = ground_truth_escalate
@@ -487,10 +487,9 @@ WHERE rank <= 30 - coalesce(n, 0)""",
     "append_gold": (
         lambda s, d: G.append_gold(
             _existing(s, d),
-            _candidates(s, d).where("thread_id % 10 = 1").drop("source"),
+            G.unlabelled(_candidates(s, d), _existing(s, d)).drop("source"),
         ),
-        f"WITH {SQL_GOLD} SELECT doc_id AS thread_id, y AS ground_truth_escalate FROM gold "
-        "WHERE doc_id % 10 IN (0, 1)",
+        f"WITH {SQL_GOLD} SELECT doc_id AS thread_id, y AS ground_truth_escalate FROM gold",
     ),
     "substantive": (
         lambda s, d: substantive(reply_pairs(s, d), "query", "reply", 40, 100).select(
@@ -505,8 +504,8 @@ AND {sql_words('u.text')} >= 40 AND {sql_words('a.text')} >= 100""",
         f"""WITH {SQL_SPOKEN}, threads AS (SELECT 'delta_thread_' || (conv_id * 100 + root) AS thread_id,
   conv_id * 100 + root AS root_id, num_turns FROM judged WHERE num_turns >= 2 AND fb IS NOT NULL
   AND {sql_words('inquiry')} >= 6 AND {sql_words('reply')} >= 6),
-sampled AS (SELECT * FROM threads ORDER BY {SQL_ORDER.format('thread_id', 42)} LIMIT 40)
-SELECT thread_id, num_turns FROM sampled WHERE root_id % 300 <> 0""",
+sampled AS (SELECT * FROM threads ORDER BY {SQL_ORDER.format('thread_id', 42)} LIMIT 500)
+SELECT thread_id, num_turns FROM sampled WHERE num_turns <> 3""",
     ),
     "rating_candidates": (
         _rated,

@@ -86,10 +86,10 @@ def _distinct(n: int):
 
 
 def _repeated(s, d):
-    # every conversation row once as it is and once with a later, upper-case text
+    # every post once as it is, and posts of users once more with a later, upper-case text
     posts = branching(s, d)
     first = posts.withColumn("seq", F.lit(1))
-    again = posts.where(F.col("tweet_id") % 3 == 0).withColumns(
+    again = posts.where("inbound").withColumns(
         {"seq": F.lit(2), "text": F.upper("author_id")}
     )
     return first.unionByName(again)
@@ -122,8 +122,8 @@ ENTRIES = {
     ),
     "dedupe_posts": (
         lambda s, d: P.dedupe_posts(_repeated(s, d), "seq").select("tweet_id", "seq", "text"),
-        f"WITH {SQL_BRANCHING} SELECT tweet_id, CASE WHEN tweet_id % 3 = 0 THEN 2 ELSE 1 END AS seq, "
-        "CASE WHEN tweet_id % 3 = 0 THEN upper(author_id) ELSE text END AS text FROM posts",
+        f"WITH {SQL_BRANCHING} SELECT tweet_id, CASE WHEN inbound THEN 2 ELSE 1 END AS seq, "
+        "CASE WHEN inbound THEN upper(author_id) ELSE text END AS text FROM posts",
     ),
     "needed_parents": (
         lambda s, d: P.needed_parents(P.brand_posts(branching(s, d), BRANDS)),
@@ -194,8 +194,8 @@ ENTRIES = {
     ),
     "compact_sample": (
         lambda s, d: compact_sample(
-            X.table(s, d, "documents").select("doc_id", "source"), ["doc_id"], 50
+            X.table(s, d, "documents").select("doc_id", "source"), ["doc_id"], 500
         ),
-        "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50",
+        "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 500",
     ),
 }

@@ -147,27 +147,21 @@ SQL_NEAR = """near AS (SELECT label, vec_id, row_number() OVER (PARTITION BY lab
 NOISY = "(SELECT * FROM embeddings WHERE label <> 9)"
 
 
-def _points(s, d):
-    """The first three coordinates of every vector: dense enough to form clusters."""
-    return X.table(s, d, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 3).alias("embedding")
-    )
-
-
 def _density(s, d):
-    return density_cluster(_points(s, d), min_cluster_size=5, min_samples=3, eps=0.03)
+    # the vectors are unit length and far apart: a wide radius with few neighbours finds groups
+    return density_cluster(
+        X.table(s, d, "embeddings"), min_cluster_size=3, min_samples=2, eps=1.1
+    )
 
 
-SQL_DENSITY = """WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::double AS a, embedding[2]::double AS b,
-  embedding[3]::double AS c FROM embeddings),
-close AS (SELECT x.vec_id AS u, y.vec_id AS v FROM p x, p y
-  WHERE sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) <= 0.03),
-core AS (SELECT u FROM close GROUP BY u HAVING count(*) >= 3),
+SQL_DENSITY = """WITH RECURSIVE p AS (SELECT vec_id, embedding::double[] AS e FROM embeddings),
+close AS (SELECT x.vec_id AS u, y.vec_id AS v FROM p x, p y WHERE list_distance(x.e, y.e) <= 1.1),
+core AS (SELECT u FROM close GROUP BY u HAVING count(*) >= 2),
 edge AS (SELECT u, v FROM close WHERE u IN (FROM core) AND v IN (FROM core)),
 reach AS (SELECT u, u AS root FROM core UNION SELECT e.v, r.root FROM reach r JOIN edge e ON e.u = r.u),
 part AS (SELECT u, min(root) AS component FROM reach GROUP BY u),
 big AS (SELECT component, (row_number() OVER (ORDER BY component) - 1)::int AS label FROM part
-  GROUP BY component HAVING count(*) >= 5)
+  GROUP BY component HAVING count(*) >= 3)
 SELECT vec_id, coalesce(label, -1) AS label FROM p LEFT JOIN part ON u = vec_id
 LEFT JOIN big USING (component)"""
 
@@ -196,19 +190,19 @@ def _topics(s, d):
     return topic_shares(_topic_model(s, d)[0].texts)
 
 
-def _strongest(s, d):
-    """Strongest of the first eight coordinates of each vector, in place of fitted topics."""
-    e = X.table(s, d, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x)).alias("topics")
+def _weights_of_vectors(s, d):
+    """The size of every coordinate in place of fitted topic weights."""
+    return X.table(s, d, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: F.abs(x)).alias("topics")
     )
-    return strongest_topic(e).select("vec_id", "topic_id")
+
+
+def _strongest(s, d):
+    return strongest_topic(_weights_of_vectors(s, d)).select("vec_id", "topic_id")
 
 
 def _shares(s, d):
-    e = X.table(s, d, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x)).alias("topics")
-    )
-    return topic_shares(e).withColumn("pct", F.round("pct", 1))
+    return topic_shares(_weights_of_vectors(s, d)).withColumn("pct", F.round("pct", 1))
 
 
 def _model_gold(s, d):
@@ -357,14 +351,14 @@ FROM n""",
     "strongest_topic": (
         _strongest,
         "SELECT vec_id, list_position(t, list_max(t))::int - 1 AS topic_id FROM "
-        "(SELECT vec_id, [abs(x) for x in embedding[1:8]] AS t FROM embeddings)",
+        "(SELECT vec_id, [abs(x) for x in embedding] AS t FROM embeddings)",
     ),
     "topic_shares": (
         _shares,
         "SELECT topic_id, count(*) AS dominant_inquiries, round((count(*) / (SELECT count(*) FROM "
         "embeddings) * 100)::varchar::decimal(20, 16), 1)::double AS pct FROM "
         "(SELECT list_position(t, list_max(t))::int - 1 AS topic_id "
-        "FROM (SELECT [abs(x) for x in embedding[1:8]] AS t FROM embeddings)) GROUP BY topic_id",
+        "FROM (SELECT [abs(x) for x in embedding] AS t FROM embeddings)) GROUP BY topic_id",
     ),
     "choose_reply": (
         _grounded,
