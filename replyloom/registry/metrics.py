@@ -469,12 +469,12 @@ SELECT doc_id AS id, CASE WHEN hit THEN 1 - y ELSE y END AS ground_truth_escalat
         "ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 3",
     ),
     "quota_sample": (
-        lambda s, d: G.quota_sample(_candidates(s, d), _existing(s, d), 60).drop("source"),
+        lambda s, d: G.quota_sample(_candidates(s, d), _existing(s, d), 400).drop("source"),
         f"""WITH {SQL_GOLD}, have AS (SELECT y, count(*) AS n FROM gold WHERE lang = 'de' GROUP BY y),
 r AS (SELECT doc_id AS thread_id, y AS ground_truth_escalate, row_number() OVER (PARTITION BY y
   ORDER BY {SQL_ORDER.format('doc_id', 42)}) AS rank FROM gold)
 SELECT r.* FROM r LEFT JOIN have ON have.y = ground_truth_escalate
-WHERE rank <= 30 - coalesce(n, 0)""",
+WHERE rank <= 200 - coalesce(n, 0)""",
     ),
     "renumber": (
         lambda s, d: G.renumber(

@@ -49,13 +49,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rehash by ``key`` where the input has fewer partitions than the session has cores.
+    """Rehash by ``key`` where the input leaves more than half of the session's cores idle.
 
-    A few files with one row group each would leave text work to a few tasks. Input that is already
-    split finely enough is left alone.
+    A few files with one row group each would leave text work to a few tasks. Input that is split
+    more finely is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if 2 * df.rdd.getNumPartitions() > cores:
         return df
     return df.repartition(cores, key)
 
