@@ -7,13 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from replyloom import defaults as D
 from replyloom.functions.rules import classify_inquiry
 from replyloom.functions.text import is_bare_numeric
 from replyloom.operators.threads import substantive
-from replyloom.runtime import running_sums, salted_join
+from replyloom.runtime import first_per_group, running_sums, salted_join
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -35,9 +34,8 @@ def audit_slice(
 
 
 def first_n_per(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The first n rows of each group; ranks are cut per task before the shuffle."""
-    rank = W.partitionBy(*key).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
+    """The first n rows of each group."""
+    return first_per_group(df, key, order, n, order)
 
 
 def unlabelled(candidates: DataFrame, labels: DataFrame, key: str = "thread_id") -> DataFrame:
@@ -58,18 +56,14 @@ def quota_sample(
 ) -> DataFrame:
     """Fill each class up to its equal share of ``target`` with shuffled candidates.
 
-    A class needs at most its quota, so its rows are ranked with a limit that is cut per task before
-    the shuffle: a class holding most of the data never meets in one task.
+    A class needs at most its quota, so a class holding most of the data never meets in one task.
     """
     each = target // len(classes)
     have = existing.where(F.col(label).isin(*classes)).groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
-    rank = W.partitionBy(label).orderBy("_shuffled", id_col)
-    ranked = (
-        candidates.where(F.col(label).isin(*classes))
-        .withColumn("_shuffled", shuffle_key(id_col, seed))
-        .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= each)
+    shuffled = candidates.where(F.col(label).isin(*classes)).withColumn(
+        "_shuffled", shuffle_key(id_col, seed)
     )
+    ranked = first_per_group(shuffled, [label], ["_shuffled", id_col], each, [id_col])
     # one row per class
     need = F.lit(each) - F.coalesce(F.col("_have"), F.lit(0))
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -128,7 +128,10 @@ def assemble_threads(turns: DataFrame, rules: ThreadRules = ThreadRules()) -> Da
 def reconstruct_threads(
     posts: DataFrame, rules: ThreadRules = ThreadRules()
 ) -> DataFrame:
-    """Threads of a post table: paths, turns, masking, flags."""
+    """Threads of a post table: paths, turns, masking, flags.
+
+    Post ids must be unique; see ``dedupe_posts``.
+    """
     return assemble_threads(thread_turns(posts, rules), rules)
 
 

@@ -15,7 +15,7 @@ from replyloom.plans import escalation as E
 from replyloom.plans import systems as Y
 from replyloom.registry.common import GUARD, sql_words
 from replyloom.registry.text import (
-    GOLD_RULES, PATTERNS, ROUTER, ROUTER_DEFAULT, RUBRIC, SQL_SCRUB, SQL_SPOKEN, _gold_sql,
+    GOLD_RULES, ROUTER, ROUTER_DEFAULT, RUBRIC, SQL_SCRUB, SQL_SPOKEN, _gold_sql,
     _judge_sql, _sql_contains, conversation_threads, reply_pairs,
 )
 

@@ -14,7 +14,7 @@ from replyloom.operators import resolution as S
 from replyloom.operators import threads as T
 from replyloom.plans import systems as Y
 from replyloom.registry.common import (
-    ANGER, CANNED, GUARD, INTENTS, SQL_LINEAR, THANKS, linear, sql_words, word,
+    ANGER, CANNED, GUARD, INTENTS, THANKS, linear, sql_words, word,
 )
 
 MASK = MaskRules(flags="")

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 HOT_SHARE = 200
 #: Number of slices a hot key is cut into.
 SALTS = 64
+#: Largest limit for which Spark's optimizer prunes a ranked window per task.
+GROUP_LIMIT = 1000
 #: Below this many rows per key a plain equi join needs no salting.
 COOL_ROWS = 200_000
 
@@ -115,6 +117,30 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def first_per_group(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int, spread: Sequence[str],
+    rank: str = "rank",
+) -> DataFrame:
+    """The first n rows of each group in the given total order, numbered from 1.
+
+    Up to ``GROUP_LIMIT`` rows per group Spark prunes a ranked window per task before the shuffle.
+    Above that a group is first ranked in slices, so that even a group with most of the rows never
+    meets in one task: only n rows of each slice go on.
+    """
+    pruned = df
+    if n > GROUP_LIMIT:
+        piece = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+        inner = W.partitionBy(*by, "_slice").orderBy(*order)
+        pruned = (
+            df.withColumn("_slice", piece)
+            .withColumn("_n", F.row_number().over(inner))
+            .where(F.col("_n") <= n)
+            .drop("_slice", "_n")
+        )
+    numbered = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    return pruned.withColumn(rank, numbered).where(F.col(rank) <= n)
+
+
 def running_sums(
     df: DataFrame,
     order: Sequence[Column],

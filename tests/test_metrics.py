@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from replyloom import runtime
 from replyloom.functions import judge as J
 from replyloom.operators import curves as C
 from replyloom.operators import gold as G
@@ -133,6 +134,14 @@ def test_quota_counts_existing_rows(spark):
     assert {r[0]: r[1] for r in got} == {1: 3, 0: 10}
 
 
+def test_large_limits_are_ranked_in_slices(spark, monkeypatch):
+    df = spark.range(0, 900).select("id", (F.col("id") % 10 == 0).alias("g"))
+    plain = {tuple(r) for r in G.first_n_per(df, ["g"], ["id"], 200).collect()}
+    monkeypatch.setattr(runtime, "GROUP_LIMIT", 10)
+    sliced = {tuple(r) for r in G.first_n_per(df, ["g"], ["id"], 200).collect()}
+    assert plain == sliced and len(plain) == 290
+
+
 def test_samples_do_not_depend_on_partitioning(spark):
     df = spark.range(0, 500)
     one = [r[0] for r in G.hash_sample(df.repartition(1), "id", 42, 50).collect()]
