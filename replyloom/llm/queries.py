@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from replyloom.llm.jaccard_join import similar_groups
+from replyloom.llm.packing import pack
+
+#: Vocabulary of the packing query.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +19,17 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(table(spark, folder, "documents"))
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), tokenizer_path())
+
+
 ENTRIES = {
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
+    "op6_packing": (op6_packing, None),
 }
