@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from replyloom.llm.decontam import benchmark_hits
 from replyloom.llm.jaccard_join import similar_groups
 from replyloom.llm.packing import pack
 
@@ -29,7 +31,18 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 ENTRIES = {
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
     "op6_packing": (op6_packing, None),
+    "op9_decontamination": (op9_decontamination, None),
 }
