@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.decontam import benchmark_hits
 from replyloom.llm.jaccard_join import similar_groups
 from replyloom.llm.packing import pack
+from replyloom.llm.secrets import ADDED, BASE, secret_spans, spans_text
 
 #: Vocabulary of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +32,51 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_spans(table(spark, folder, "documents"))
+    base = F.filter("secret_spans", lambda s: s["place"] < len(BASE))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(r.kind).alias(f"n_{r.kind}") for r in BASE],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("secret_spans")).alias("spans"),
+    )
+
+
+def _sql_spans() -> str:
+    """DuckDB SQL of op8: positions from the pieces between the matches."""
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS place, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {p}) AS pieces, "
+        f"regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {r.group}) AS gs FROM d"
+        for i, r in enumerate(BASE + ADDED)
+        for p in ["'" + r.pattern.replace("'", "''") + "'"]
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({kinds}),
+x AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, place, kind, len_of, b, b + len_of AS e FROM (
+    SELECT doc_id, place, kind, length(ms[i]) AS len_of, length(gs[i]) >= least AS good,
+      CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) AS BIGINT)
+        + CAST(coalesce(list_sum(list_transform(ms[1:i-1], lambda p: length(p))), 0) AS BIGINT) AS b
+    FROM x)
+  WHERE good),
+g AS (
+  SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+    count(*) FILTER (place = 2) AS n_hex,
+    string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) FILTER (place < 3) AS base,
+    string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) AS spans
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -44,5 +90,6 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 ENTRIES = {
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
     "op6_packing": (op6_packing, None),
+    "op8_secret_scans": (op8_secret_scans, _sql_spans()),
     "op9_decontamination": (op9_decontamination, None),
 }
