@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from replyloom.llm.decontam import benchmark_hits
 from replyloom.llm.jaccard_join import similar_groups
+from replyloom.llm.langid import fit_profiles, identify
 from replyloom.llm.packing import pack
+from replyloom.llm.quality_rules import quality_verdicts
 from replyloom.llm.secrets import ADDED, BASE, secret_spans, spans_text
+from replyloom.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Vocabulary of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +21,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def toxicity_model(spark: SparkSession, folder: str):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return fit_toxicity(docs, labels, learn=_fold(3) != 1)
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, toxicity_model(spark, folder))
+    return scored.select(
+        "doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    profiles = fit_profiles(docs, learn=_fold(4) != 2)
+    found = identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "rejected_by",
+    )
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(table(spark, folder, "documents"))
 
@@ -88,6 +123,9 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ENTRIES = {
+    "op1_toxicity": (op1_toxicity, None),
+    "op2_language_id": (op2_language_id, None),
+    "op3_quality_rules": (op3_quality_rules, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
     "op6_packing": (op6_packing, None),
     "op8_secret_scans": (op8_secret_scans, _sql_spans()),
