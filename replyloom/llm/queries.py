@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from replyloom.llm.decontam import benchmark_hits
 from replyloom.llm.jaccard_join import similar_groups
+from replyloom.llm.kd_shards import kd_shards
 from replyloom.llm.langid import fit_profiles, identify
 from replyloom.llm.packing import pack
 from replyloom.llm.quality_rules import quality_verdicts
 from replyloom.llm.secrets import ADDED, BASE, secret_spans, spans_text
+from replyloom.llm.site_quality import site_quality
 from replyloom.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Vocabulary of the packing query.
@@ -53,6 +55,15 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The source stands for the host, the language below it for the path."""
+    found = site_quality(
+        table(spark, folder, "documents"), table(spark, folder, "labels"),
+        host=F.col("source"), path=F.concat_ws("/", "source", "lang"),
+    )
+    return found.select("doc_id", "host", "path", "p_text", "p_site", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(table(spark, folder, "documents"))
 
@@ -67,6 +78,13 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = kd_shards(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_spans(table(spark, folder, "documents"))
     base = F.filter("secret_spans", lambda s: s["place"] < len(BASE))
@@ -126,8 +144,10 @@ ENTRIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_language_id": (op2_language_id, None),
     "op3_quality_rules": (op3_quality_rules, None),
+    "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
     "op6_packing": (op6_packing, None),
+    "op7_sharding": (op7_sharding, None),
     "op8_secret_scans": (op8_secret_scans, _sql_spans()),
     "op9_decontamination": (op9_decontamination, None),
 }
