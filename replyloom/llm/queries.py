@@ -27,14 +27,14 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
-def toxicity_model(spark: SparkSession, folder: str):
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+def learn_toxicity(docs: DataFrame, labels: DataFrame):
+    """Weights learned from the labels outside the held-out third."""
     return fit_toxicity(docs, labels, learn=_fold(3) != 1)
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    scored = score_toxicity(docs, toxicity_model(spark, folder))
+    scored = score_toxicity(docs, learn_toxicity(docs, table(spark, folder, "labels")))
     return scored.select(
         "doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
