@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.decontam import benchmark_hits
+from replyloom.llm.html_extract import extract, fit_pages
 from replyloom.llm.jaccard_join import similar_groups
 from replyloom.llm.kd_shards import kd_shards
 from replyloom.llm.langid import fit_profiles, identify
@@ -140,6 +141,11 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extract(pages, fit_pages(pages)).select("page_id", "url", "text", "n_chars")
+
+
 ENTRIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_language_id": (op2_language_id, None),
@@ -150,4 +156,5 @@ ENTRIES = {
     "op7_sharding": (op7_sharding, None),
     "op8_secret_scans": (op8_secret_scans, _sql_spans()),
     "op9_decontamination": (op9_decontamination, None),
+    "op10_html_extraction": (op10_html_extraction, None),
 }
