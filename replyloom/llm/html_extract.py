@@ -470,7 +470,7 @@ def extract(pages: DataFrame, model: Model, source: str = "html") -> DataFrame:
                     held.clear()
 
             size = 0
-            for doc in batch.column("_html").to_pylist():
+            for doc in batch.column(batch.num_columns - 1).to_pylist():
                 page = parse(doc or "")
                 held.append((page, features(page, model.tags, model.words)))
                 size += len(page.tag)

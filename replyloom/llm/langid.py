@@ -115,7 +115,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
     def work(batches):
         known, ranks = shared.value
         for batch in batches:
-            found = [judge(t, known, ranks) for t in batch.column("_text").to_pylist()]
+            found = [judge(t, known, ranks) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*kept, "lang_pred", "score"])
 

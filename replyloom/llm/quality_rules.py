@@ -64,7 +64,7 @@ def document_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            counts = np.array([_measure(t) for t in texts_of(batch.column("_text"))], np.int64).reshape(-1, 6)
+            counts = np.array([_measure(t) for t in texts_of(batch.column(batch.num_columns - 1))], np.int64).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in counts.T)], [*kept, *names])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]

@@ -75,6 +75,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB SQL of op5: shingles met pairwise, then everything reachable.
+SIMILAR_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+  WHERE 100 * common >= 75 * (x.n + y.n - common)),
+r AS (SELECT u AS doc_id, u AS other FROM l UNION SELECT r.doc_id, l.v FROM r JOIN l ON r.other = l.u)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT doc_id, least(doc_id, min(other)) AS least FROM r GROUP BY doc_id) m USING (doc_id)"""
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
@@ -141,6 +163,30 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: DuckDB SQL of op9: every window of every item against every window of that length.
+HITS_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS k
+  FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+p AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM q))),
+h AS (SELECT doc_id, i, p.n, item_id FROM p JOIN q ON p.n = q.n AND p.k = q.k),
+x AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+y AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return extract(pages, fit_pages(pages)).select("page_id", "url", "text", "n_chars")
@@ -151,10 +197,10 @@ ENTRIES = {
     "op2_language_id": (op2_language_id, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_quality_classifier": (op4_quality_classifier, None),
-    "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
+    "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, SIMILAR_SQL),
     "op6_packing": (op6_packing, None),
     "op7_sharding": (op7_sharding, None),
     "op8_secret_scans": (op8_secret_scans, _sql_spans()),
-    "op9_decontamination": (op9_decontamination, None),
+    "op9_decontamination": (op9_decontamination, HITS_SQL),
     "op10_html_extraction": (op10_html_extraction, None),
 }

@@ -151,7 +151,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", col
         cache = WordHashes()
         for batch in batches:
             scores = []
-            for _, words in chunked(map(split_words, texts_of(batch.column("_text")))):
+            for _, words in chunked(map(split_words, texts_of(batch.column(batch.num_columns - 1)))):
                 doc, slot = _features(words, cache)
                 on = w[slot] != 0
                 key = np.unique(doc[on] * SLOTS + slot[on])
