@@ -103,8 +103,8 @@ def cluster_profiles(
 
 
 def sample_inquiries(
-    inquiries: DataFrame, id_col: str, n: int = 12000, seed: int = 42
+    inquiries: DataFrame, id_col: str, n: int | None = None, seed: int = 42
 ) -> DataFrame:
     """The inquiries to cluster: all, or a stable sample of n."""
-    return hash_sample(inquiries, id_col, seed, n)
+    return inquiries if n is None else hash_sample(inquiries, id_col, seed, n)
 

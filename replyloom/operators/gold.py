@@ -20,17 +20,31 @@ def shuffle_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
-def hash_sample(df: DataFrame, id_col: str, seed: int, n: int) -> DataFrame:
-    """Uniform sample of n rows without replacement, in shuffled order (a distributed top-n)."""
-    return df.orderBy(shuffle_key(id_col, seed), id_col).limit(n)
+def hash_sample(
+    df: DataFrame, id_col: str, seed: int, n: int, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Uniform sample of n rows without replacement, in shuffled order (a distributed top-n).
+
+    Meant for n that fits one task. ``ties`` orders rows that share an id.
+    """
+    return df.orderBy(shuffle_key(id_col, seed), id_col, *ties).limit(n)
 
 
 def audit_slice(
     gold: DataFrame, id_col: str = "id", pct: float = 0.20, seed: int = 99, least: int = 3
 ) -> DataFrame:
-    """A share of the rows for blind relabelling: at least ``least``, at most all."""
+    """A share of the rows for blind relabelling: at least ``least``, at most all.
+
+    The share grows with the table, so rows are ranked by range partitions instead of a top-n,
+    which would gather them in one task.
+    """
     total = gold.count()
-    return hash_sample(gold, id_col, seed, max(least, min(total, math.ceil(total * pct))))
+    n = max(least, min(total, math.ceil(total * pct)))
+    shuffled = gold.withColumn("_shuffled", shuffle_key(id_col, seed))
+    ranked = running_sums(
+        shuffled, [F.col("_shuffled"), F.col(id_col)], {"_rank": F.lit(1).cast("long")}
+    )
+    return ranked.where(F.col("_rank") <= n).drop("_rank", "_shuffled")
 
 
 def first_n_per(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -53,6 +67,7 @@ def quota_sample(
     id_col: str = "thread_id",
     seed: int = 42,
     classes: Sequence[int] = (1, 0),
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Fill each class up to its equal share of ``target`` with shuffled candidates.
 
@@ -63,7 +78,9 @@ def quota_sample(
     shuffled = candidates.where(F.col(label).isin(*classes)).withColumn(
         "_shuffled", shuffle_key(id_col, seed)
     )
-    ranked = first_per_group(shuffled, [label], ["_shuffled", id_col], each, [id_col])
+    ranked = first_per_group(
+        shuffled, [label], ["_shuffled", id_col, *ties], each, [id_col, *ties]
+    )
     # one row per class
     need = F.lit(each) - F.coalesce(F.col("_have"), F.lit(0))
     return (
@@ -104,14 +121,19 @@ def pair_relabels(gold: DataFrame, second: DataFrame, key: str = "id") -> DataFr
 
 
 def apply_corrections(
-    gold: DataFrame, corrections: DataFrame, stamp: Column | None = None, key: str = "id"
+    gold: DataFrame, corrections: DataFrame, stamp: Column | None = None, key: str = "id",
+    order: str = "corrected_at",
 ) -> DataFrame:
     """Gold rows with corrected labels, intents and notes.
 
-    A blank label or intent keeps the old one; a note of "-" clears it, a blank or number-like note
+    Of several corrections of an id the last in ``order`` counts (without that column, the greatest
+    by label, intent and note). A blank label or intent keeps the old one; a note of "-" clears it, a blank or number-like note
     keeps it. Rows with a correction get ``corrected_at``.
     """
-    new = corrections.select(
+    fields = ["ground_truth_escalate", "ground_truth_intent", "human_rationale"]
+    place = F.struct(*[c for c in (order,) if c in corrections.columns], *fields)
+    latest = corrections.groupBy(key).agg(F.max_by(F.struct(*fields), place).alias("_row"))
+    new = latest.select(key, "_row.*").select(
         key,
         F.col("ground_truth_escalate").alias("_escalate"),
         F.nullif(F.trim("ground_truth_intent"), F.lit("")).alias("_intent"),
@@ -162,15 +184,20 @@ def validate_labels(
 
 
 def label_candidates(
-    threads: DataFrame, labels: DataFrame, n: int, seed: int = 42, least: int = 500,
+    threads: DataFrame, labels: DataFrame, n: int, seed: int = 42,
     min_words: int = 6, key: str = "thread_id",
 ) -> DataFrame:
-    """Shuffled candidates for labelling: substantive threads, a prefix of at least ``least``,
-    without those already labelled."""
+    """n shuffled candidates for labelling: substantive threads that have no label yet."""
+    ties = _leaf(threads)
     kept = substantive(
         threads, "customer_inquiry_text", "initial_brand_reply", min_words, min_words
-    ).select(key, "customer_inquiry_text", "initial_brand_reply", "num_turns")
-    return unlabelled(hash_sample(kept, key, seed, max(n, least)), labels, key)
+    ).select(key, "customer_inquiry_text", "initial_brand_reply", "num_turns", *ties)
+    return hash_sample(unlabelled(kept, labels, key), key, seed, n, ties).drop(*ties)
+
+
+def _leaf(threads: DataFrame) -> list[str]:
+    """The column that tells threads of one root apart, if present."""
+    return [c for c in ("leaf_tweet_id",) if c in threads.columns]
 
 
 def balance_gold(
@@ -199,18 +226,20 @@ def balance_gold(
         if labelled_at is None
         else labelled_at
     )
+    ties = _leaf(threads)
     candidates = fresh.select(
         "thread_id",
         F.trim("customer_inquiry_text").alias("text"),
         F.trim("initial_brand_reply").alias("actual_historical_reply"),
+        *ties,
     ).withColumn("_v", verdict).select(
-        "thread_id", "text", "actual_historical_reply",
+        "thread_id", "text", "actual_historical_reply", *ties,
         F.col("_v.escalate").alias("ground_truth_escalate"),
         F.col("_v.intent").alias("ground_truth_intent"),
         F.col("_v.rationale").alias("human_rationale"),
         now.alias("labeled_at"),
     )
-    added = quota_sample(candidates, existing, target, seed=seed)
+    added = quota_sample(candidates, existing, target, seed=seed, ties=ties)
     columns = [
         "thread_id", "text", "actual_historical_reply", "ground_truth_escalate",
         "ground_truth_intent", "human_rationale", "labeled_at",

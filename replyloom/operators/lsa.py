@@ -74,12 +74,13 @@ def _gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
 
 def lsa_fit(
     vectors: DataFrame, width: int, k: int = 64, vector: str = "vector", passes: int = 6,
-    oversample: int = 10, seed: int = 42,
+    oversample: int = 10, seed: int = 42, tolerance: float = 5e-3, most: int = 60,
 ) -> LsaModel:
     """Truncated SVD by randomised subspace iteration (Halko, Martinsson and Tropp, 2011).
 
-    ``passes`` scans of the sparse vectors are enough for any k; the driver and each task hold
-    width x (k + oversample) numbers, where width is the vocabulary size.
+    Scans the sparse vectors at least ``passes`` times and until the k-th value changes by less than
+    ``tolerance`` of itself (at most ``most`` times); the driver and each task hold width x (k + oversample) numbers, where
+    width is the vocabulary size.
     """
     raw = F.unwrap_udt(F.col(vector))
     rows = materialize(
@@ -87,8 +88,15 @@ def lsa_fit(
     )
     columns = min(k + oversample, width)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, columns)))[0]
-    for _ in range(passes - 1):
-        q = np.linalg.qr(_gram_product(rows, q))[0]
+    last = 0.0
+    for i in range(most - 1):
+        q, r = np.linalg.qr(_gram_product(rows, q))
+        # the diagonal of R tends to the squared singular values
+        found = np.sort(np.abs(np.diag(r)))[::-1]
+        kth = float(found[min(k, columns) - 1])
+        if i + 2 >= passes and abs(kth - last) <= tolerance * max(kth, 1e-300):
+            break
+        last = kth
     # Q^T X^T X Q, whose eigenpairs give the squared singular values and the rotation of Q
     small = q.T @ _gram_product(rows, q)
     values, rotation = np.linalg.eigh((small + small.T) / 2)

@@ -37,6 +37,20 @@ def dedupe_posts(df: DataFrame, order_col: str, key: str = "tweet_id") -> DataFr
     return df.groupBy(key).agg(F.max_by(row, order_col).alias("_row")).select("_row.*")
 
 
+def unique_posts(df: DataFrame, order_col: str | None = None, key: str = "tweet_id") -> DataFrame:
+    """``df`` with one row per id, checked by a count of the ids.
+
+    Of rows that repeat an id the last in ``order_col`` stays; without it the last by time and
+    content, so the choice does not depend on partitioning.
+    """
+    if df.groupBy(key).count().where(F.col("count") > 1).isEmpty():
+        return df
+    if order_col is not None:
+        return dedupe_posts(df, order_col, key)
+    place = F.struct(*[c for c in ("created_at",) if c in df.columns], F.xxhash64(*df.columns))
+    return dedupe_posts(df.withColumn("_place", place), "_place", key).drop("_place")
+
+
 def needed_parents(replies: DataFrame) -> DataFrame:
     """Distinct ids that the given posts reply to, over all brands."""
     return (
@@ -57,6 +71,7 @@ def brand_corpus(posts: DataFrame, brands: Sequence[str] = D.PROFILE_BRANDS) ->
     A post answered by several brands appears once for each of them. The pairs (brand, parent)
     are made distinct before the join, so a parent meets at most one row per brand.
     """
+    posts = unique_posts(posts)
     own = brand_posts(posts, brands).select(F.col("author_id").alias("brand"), *posts.columns)
     pairs = (
         own.where(F.col("in_reply_to").isNotNull())

@@ -126,7 +126,7 @@ def resolve_turns(
         F.max(F.when(customer, i)).alias("_last"),
         F.max(F.when(customer & text.rlike(gratitude), i)).alias("_thanks"),
         F.max(F.when(customer & text.rlike(frustration), i)).alias("_anger"),
-        (F.count_if("is_canned") == F.count_if(brand)).alias("_canned"),
+        ((F.count_if("is_canned") == F.count_if(brand)) & (F.count_if(brand) > 0)).alias("_canned"),
     )
 
     def after(name: str) -> Column:

@@ -13,6 +13,7 @@ from replyloom.functions.privacy import MaskRules, mask_steps, scrub
 from replyloom.functions.rules import canned_type, is_canned
 from replyloom.functions.text import round_half_up, split_signature, word_count
 from replyloom.operators.graph import path_members, thread_leaves
+from replyloom.operators.posts import unique_posts
 from replyloom.runtime import materialize, salted_join
 
 
@@ -67,7 +68,8 @@ def turn_gaps(posts: DataFrame) -> DataFrame:
 
 
 def thread_turns(posts: DataFrame, rules: ThreadRules = ThreadRules()) -> DataFrame:
-    """One row per turn of every root-to-leaf path."""
+    """One row per turn of every root-to-leaf path. Repeated ids count once (``unique_posts``)."""
+    posts = unique_posts(posts)
     # the reply columns are read in every round, the texts only once
     links = materialize(posts.select("tweet_id", "in_reply_to", "created_at"), "links")
     facts = materialize(
@@ -128,10 +130,7 @@ def assemble_threads(turns: DataFrame, rules: ThreadRules = ThreadRules()) -> Da
 def reconstruct_threads(
     posts: DataFrame, rules: ThreadRules = ThreadRules()
 ) -> DataFrame:
-    """Threads of a post table: paths, turns, masking, flags.
-
-    Post ids must be unique; see ``dedupe_posts``.
-    """
+    """Threads of a post table: paths, turns, masking, flags."""
     return assemble_threads(thread_turns(posts, rules), rules)
 
 
@@ -185,6 +184,7 @@ def thread_flags(
     columns of ``posts``.
     """
     extra = dict(extra or {})
+    posts = unique_posts(posts)
     brand = ~F.col("inbound")
     links = materialize(posts.select("tweet_id", "in_reply_to", "created_at"), "links")
     prepared = posts.join(turn_gaps(links), "tweet_id").withColumns(

@@ -1,9 +1,9 @@
 """Topic model: non-negative factorisation of sparse term weights by multiplicative updates.
 
 Each text keeps its few terms and its k topic weights in one row. The topic table H has
-k x vocabulary numbers, bounded by the vocabulary size, and is read as a one-row table. A round is
-one pass: texts are updated in place (map-only), and the sums for H are combined per task before the
-shuffle, so a round moves at most vocabulary x k numbers per task.
+k x vocabulary numbers, bounded by the vocabulary size, and is broadcast. A round updates the texts in
+batches (map-only), and the sums for H are combined per task before the shuffle, so a round moves at
+most vocabulary x k numbers per task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,58 +29,66 @@ class TopicModel:
     texts: DataFrame
     topics: np.ndarray
     losses: tuple[float, ...]
+    converged: bool = False
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _batch(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Topic weights (rows x k), and row, position and weight of every term of a batch."""
+    terms = {c: batch.column(c) for c in ("_positions", "_weights")}
+    lengths = np.diff(terms["_positions"].offsets.to_numpy())
+    row = np.repeat(np.arange(batch.num_rows), lengths)
+    w = batch.column("topics").flatten().to_numpy().reshape(-1, k)
+    return w, row, *(c.flatten().to_numpy() for c in terms.values())
 
 
 def _update_texts(df: DataFrame, h: np.ndarray, k: int) -> DataFrame:
-    """W <- W * (X H^T) / (W H H^T), row by row."""
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(h.T.tolist(), (h @ h.T).tolist())], "h array<array<double>>, g array<array<double>>"
-    ).select(F.struct("h", "g"))
-    zeros = F.array(*[F.lit(0.0)] * k)
-    joined = df.withColumn("_t", table.scalar()).withColumns(
-        {"_h": F.col("_t.h"), "_g": F.col("_t.g")}
-    )
-    numerator = F.aggregate(
-        "_terms",
-        zeros,
-        lambda acc, e: F.zip_with(
-            acc, F.get("_h", e["position"]), lambda a, x: a + x * e["weight"]
-        ),
-    )
-    denominator = F.transform("_g", lambda row: _dot(row, F.col("topics")))
-    return (
-        joined.withColumns({"_num": numerator, "_den": denominator})
-        .withColumn(
-            "topics",
-            F.zip_with(
-                F.col("topics"),
-                F.zip_with("_num", "_den", lambda a, b: a / F.greatest(b, F.lit(_TINY))),
-                lambda w, r: w * r,
-            ),
-        )
-        .drop("_t", "_h", "_g", "_num", "_den")
-    )
+    """W <- W * (X H^T) / (W H H^T), a batch of texts at a time."""
+    table = df.sparkSession.sparkContext.broadcast(h)  # k x vocabulary
+
+    def work(batches):
+        h = table.value
+        square = h @ h.T
+        for batch in batches:
+            w, row, position, weight = _batch(batch, k)
+            up = np.stack(
+                [np.bincount(row, weights=weight * h[j, position], minlength=len(w)) for j in range(k)], axis=1
+            )
+            w = w * up / np.maximum(w @ square, _TINY)
+            at = batch.schema.get_field_index("topics")
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(w) + 1, dtype=np.int32) * k), pa.array(w.ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [lists if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names
+            )
+
+    return df.mapInArrow(work, df.schema)
 
 
 def _sums(df: DataFrame, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """W^T X (k x vocabulary) and W^T W (k x k): both bounded, so they may reach the driver.
 
-    Each text gets k more entries, its own topic weights at the positions behind the vocabulary,
-    so that one aggregate gives both products.
+    A task adds up its own texts and hands on one row per column of the two products.
     """
-    own = F.transform(
-        "topics",
-        lambda w, j: F.struct((j + width).alias("position"), w.alias("weight")),
-    )
+
+    def work(batches):
+        both = np.zeros((k, width + k))
+        for batch in batches:
+            w, row, position, weight = _batch(batch, k)
+            for j in range(k):
+                both[j, :width] += np.bincount(position, weights=weight * w[row, j], minlength=width)
+            both[:, width:] += w.T @ w
+        used = np.flatnonzero(both.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), *(pa.array(both[j, used]) for j in range(k))],
+            ["position", *(f"s{j}" for j in range(k))],
+        )
+
     rows = (
-        df.select("topics", F.inline(F.concat("_terms", own)))
+        df.select("topics", "_positions", "_weights")
+        .mapInArrow(work, ", ".join(["position long", *(f"s{j} double" for j in range(k))]))
         .groupBy("position")
-        .agg(*[F.sum(F.col("topics")[j] * F.col("weight")).alias(f"s{j}") for j in range(k)])
+        .agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
         .collect()
     )
     both = np.zeros((k, width + k))
@@ -89,22 +98,30 @@ def _sums(df: DataFrame, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nmf(
-    vectors: DataFrame, keys: list[str], width: int, k: int = 8, rounds: int = 20, seed: int = 42,
-    vector: str = "vector", tolerance: float = 0.0,
+    vectors: DataFrame, keys: list[str], width: int, k: int = 8, rounds: int = 200, seed: int = 42,
+    vector: str = "vector", tolerance: float = 1e-4,
 ) -> TopicModel:
     """Factorise the non-negative sparse vectors into k topics.
 
     Texts start from a digest of their key and topics from a seeded generator, so the start is
     the same on any partitioning. The squared loss
-    follows from the sums of each round and never rises; ``tolerance`` stops early on its relative
-    change.
+    follows from the sums of each round and never rises; the fit has converged when it falls by less
+    than ``tolerance`` of its first value, which ``converged`` of the model tells.
     """
     rng = np.random.default_rng(seed)
-    start = materialize(vectors.select(*keys, entries(vector).alias("_terms")), "terms")
-    square = F.aggregate("_terms", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"])
+    terms = entries(vector)
+    start = materialize(
+        vectors.select(
+            *keys,
+            F.transform(terms, lambda e: e["position"].cast("int")).alias("_positions"),
+            F.transform(terms, lambda e: e["weight"]).alias("_weights"),
+        ),
+        "terms",
+    )
+    square = F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x * x)
     stats = start.agg(
         F.sum(square).alias("total"),
-        F.sum(F.aggregate("_terms", F.lit(0.0), lambda s, e: s + e["weight"])).alias("mass"),
+        F.sum(F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x)).alias("mass"),
         F.count(F.lit(1)).alias("n"),
     ).first()
     scale = float(np.sqrt(max(stats["mass"] or 0.0, _TINY) / max(stats["n"], 1) / width / k))
@@ -115,6 +132,7 @@ def nmf(
     ]
     state = start.withColumn("topics", F.array(*noise))
     losses: list[float] = []
+    converged = False
     for _ in range(rounds):
         state = materialize(_update_texts(state, h, k), "topics")
         wtx, wtw = _sums(state, k, width)
@@ -122,8 +140,9 @@ def nmf(
         loss = float(stats["total"] - 2 * np.sum(wtx * h) + np.sum((wtw @ h) * h))
         losses.append(loss)
         if len(losses) > 1 and losses[-2] - loss <= tolerance * abs(losses[0]):
+            converged = True
             break
-    return TopicModel(state.select(*keys, "topics"), h, tuple(losses))
+    return TopicModel(state.select(*keys, "topics"), h, tuple(losses), converged)
 
 
 def strongest_topic(texts: DataFrame, topics: str = "topics") -> DataFrame:

@@ -504,8 +504,8 @@ AND {sql_words('u.text')} >= 40 AND {sql_words('a.text')} >= 100""",
         f"""WITH {SQL_SPOKEN}, threads AS (SELECT 'delta_thread_' || (conv_id * 100 + root) AS thread_id,
   conv_id * 100 + root AS root_id, num_turns FROM judged WHERE num_turns >= 2 AND fb IS NOT NULL
   AND {sql_words('inquiry')} >= 6 AND {sql_words('reply')} >= 6),
-sampled AS (SELECT * FROM threads ORDER BY {SQL_ORDER.format('thread_id', 42)} LIMIT 500)
-SELECT thread_id, num_turns FROM sampled WHERE num_turns <> 3""",
+sampled AS (SELECT * FROM threads WHERE num_turns <> 3 ORDER BY {SQL_ORDER.format('thread_id', 42)} LIMIT 200)
+SELECT thread_id, num_turns FROM sampled""",
     ),
     "rating_candidates": (
         _rated,

@@ -228,7 +228,7 @@ judged AS (SELECT conv_id, count(*) AS num_turns, any_value(fb) AS fb,
   coalesce(bool_or(regexp_matches(text, '{THANKS}')) FILTER (customer AND turn > fb), false) AS thanks,
   coalesce(bool_or(regexp_matches(text, '{ANGER}')) FILTER (customer AND turn > fb), false) AS anger,
   any_value(words) FILTER (turn = fb) AS fw, any_value(canned) FILTER (turn = fb) AS fc,
-  count(*) FILTER (canned) = count(*) FILTER (NOT customer) AS pure,
+  count(*) FILTER (canned) = count(*) FILTER (NOT customer) AND count(*) FILTER (NOT customer) > 0 AS pure,
   arg_min(text, turn) AS inquiry, coalesce(any_value(text) FILTER (turn = fb), '') AS reply,
   max(turn) AS leaf, min(turn) AS root
   FROM opened GROUP BY conv_id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from replyloom import fixtures as X
@@ -10,7 +11,9 @@ from replyloom.operators import tfidf as V
 from replyloom.operators.density import density_cluster
 from replyloom.operators.lsa import explained_variance_ratio, lsa_fit
 from replyloom.operators.retrieval import compare_retrieval, cosine_join, retrieve
-from replyloom.operators.topics import nmf, strongest_topic, topic_shares
+from replyloom.operators.topics import (
+    TopicModel, nmf, strongest_topic, topic_keywords, topic_shares,
+)
 from replyloom.plans import escalation as E
 from replyloom.plans import systems as Y
 from replyloom.registry.common import GUARD
@@ -184,7 +187,21 @@ def _topic_model(s, d):
     docs = X.table(s, d, "documents").select("doc_id", "text")
     tfidf = V.tfidf_fit(docs, "text", TOPICS)
     vectors = tfidf.transform(docs, "text").drop("text")
-    return nmf(vectors, ["doc_id"], len(tfidf.vocabulary), 8, rounds=15), tfidf
+    return nmf(vectors, ["doc_id"], len(tfidf.vocabulary), 8), tfidf
+
+
+def _keywords(s, d):
+    """Keywords of given topics: one for each language, the summed weights of its documents."""
+    docs = X.table(s, d, "documents").select("doc_id", "text", "lang")
+    tfidf = V.tfidf_fit(docs, "text", CONFIG)
+    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    position = {t: i for i, t in enumerate(tfidf.vocabulary)}
+    h = np.zeros((len(langs), len(position)))
+    weights = V.tfidf_weights(tfidf, docs, ["lang"], "text").groupBy("lang", "term").agg(F.sum("weight"))
+    for lang, term, weight in weights.collect():  # languages x vocabulary
+        h[langs.index(lang), position[term]] = round(weight, 6)
+    found = topic_keywords(TopicModel(docs, h, ()), tfidf, 12)
+    return found.select("topic_id", "rank", "term")
 
 
 def _topics(s, d):
@@ -277,10 +294,8 @@ def _grounded(s, d):
 
 ENTRIES = {
     "term_statistics": (
-        lambda s, d: V.term_statistics(X.table(s, d, "documents"), "text", CONFIG).where(
-            "doc_count >= 3"
-        ),
-        f"WITH {sql_tfidf('documents', 'doc_id', 'text', 2500, 3)} SELECT * FROM stat",
+        lambda s, d: V.term_statistics(X.table(s, d, "documents"), "text", CONFIG),
+        f"WITH {sql_tfidf('documents', 'doc_id', 'text', 2500, 1)} SELECT * FROM stat",
     ),
     "tfidf_weights": (
         _weights,
@@ -372,6 +387,16 @@ SELECT doc_id AS query_id, esc AS escalate_to_human, CASE WHEN esc THEN '{Y.D.DI
     # no SQL equivalent: iterative models and what is built on their output
     "lsa": (_lsa, None),
     "nmf_topics": (_topics, None),
+    "topic_keywords": (
+        _keywords,
+        f"""WITH {sql_tfidf('documents', 'doc_id', 'text', 2500, 3)},
+h AS (SELECT lang, term, round(sum(weight), 6) AS w FROM wts JOIN documents USING (doc_id) GROUP BY ALL),
+grid AS (SELECT l.lang, v.term, coalesce(h.w, 0) AS w FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN voc v
+  LEFT JOIN h ON h.lang = l.lang AND h.term = v.term)
+SELECT (dense_rank() OVER (ORDER BY lang) - 1)::int AS topic_id, rank, term FROM (
+  SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY w DESC, term)::int AS rank FROM grid)
+WHERE rank <= 12""",
+    ),
     "escalation_model": (_escalation, None),
     "template_answers": (_template_answers, None),
     "route_full": (_full_answers, None),

@@ -63,16 +63,22 @@ def write_threads(
 
 
 def convert_json_to_jsonl(
-    spark: SparkSession, source: str, target: str, cap: int = 6000, schema: StructType = THREAD
+    spark: SparkSession, source: str, target: str, cap: int | None = None,
+    schema: StructType = THREAD, order: Sequence[str] = ("root_tweet_id", "leaf_tweet_id"),
 ) -> None:
-    """Turn a JSON array into JSON lines, dropping what cannot be parsed, at most ``cap`` rows."""
+    """Turn a JSON array into JSON lines, dropping what cannot be parsed.
+
+    All rows are written, or the first ``cap`` in the given order.
+    """
     rows = (
         spark.read.schema(schema)
         .option("multiLine", True)
         .option("mode", "DROPMALFORMED")
         .json(source)
     )
-    rows.limit(cap).write.mode("overwrite").json(target)
+    if cap is not None:
+        rows = rows.orderBy(*order).limit(cap)
+    rows.write.mode("overwrite").json(target)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -162,3 +162,14 @@ def test_running_sums_span_partitions(spark):
     got = runtime.running_sums(df, [F.col("id")], {"s": F.col("id")}, by=["g"], partitions=7)
     for r in got.collect():
         assert r["s"] == sum(range(r["g"], r["id"] + 1, 3))
+
+
+def test_repeated_posts_count_once(spark):
+    df = conversation(spark)
+    twice = df.unionByName(df.where("tweet_id in (2, 3)"))
+    want = {r["leaf_tweet_id"]: r for r in T.reconstruct_threads(df).collect()}
+    got = {r["leaf_tweet_id"]: r for r in T.reconstruct_threads(twice.repartition(3)).collect()}
+    assert got == want
+    flags = sorted(T.thread_flags(df).collect(), key=str)
+    assert sorted(T.thread_flags(twice).collect(), key=str) == flags
+    assert P.brand_corpus(twice, ["Delta"]).count() == P.brand_corpus(df, ["Delta"]).count()

@@ -177,3 +177,46 @@ def test_constant_system_never_escalates(spark):
     keyword = [r for s, r in got.items() if "Canned" not in s][0]
     assert (constant["fn"], constant["cost"], constant["mean_grounding_fidelity"]) == (1, 15.0, 0.2)
     assert (keyword["tp"], keyword["fn"], keyword["mean_grounding_fidelity"]) == (1, 0, 0.75)
+
+
+def test_label_candidates_skip_labelled_rows_first(spark):
+    said = "one two three four five six seven"
+    threads = spark.createDataFrame(
+        [(f"t{i}", i, said, said, 2) for i in range(600)],
+        "thread_id string, leaf_tweet_id long, customer_inquiry_text string, "
+        "initial_brand_reply string, num_turns int",
+    )
+    order = [r[0] for r in G.hash_sample(threads, "thread_id", 42, 600).collect()]
+    labels = spark.createDataFrame([(t,) for t in order[:500]], "thread_id string")
+    got = G.label_candidates(threads, labels, 500)
+    assert {r[0] for r in got.collect()} == set(order[500:])
+
+
+def test_ties_of_one_root_do_not_depend_on_partitioning(spark):
+    said = "one two three four five six seven"
+    threads = spark.createDataFrame(
+        [("t", i, said, said, 2) for i in range(50)],
+        "thread_id string, leaf_tweet_id long, customer_inquiry_text string, "
+        "initial_brand_reply string, num_turns int",
+    )
+    none = spark.createDataFrame([], "thread_id string")
+    kept = [
+        sorted(G.hash_sample(threads.repartition(p), "thread_id", 42, 7, ["leaf_tweet_id"]).collect())
+        for p in (1, 7)
+    ]
+    assert kept[0] == kept[1]
+    assert G.label_candidates(threads, none, 7).count() == 7
+
+
+def test_last_correction_counts(spark):
+    gold = spark.createDataFrame(
+        [("a", 0, "X", "n"), ("b", 1, "Y", "m")],
+        "id string, ground_truth_escalate int, ground_truth_intent string, human_rationale string",
+    )
+    fixes = spark.createDataFrame(
+        [("a", 1, "P", "first", "2024-01-01"), ("a", 0, "Q", "second", "2024-02-01")],
+        "id string, ground_truth_escalate int, ground_truth_intent string, human_rationale string, "
+        "corrected_at string",
+    )
+    got = {r["id"]: r for r in G.apply_corrections(gold, fixes.repartition(2)).collect()}
+    assert len(got) == 2 and got["a"]["ground_truth_intent"] == "Q" and got["b"]["ground_truth_intent"] == "Y"

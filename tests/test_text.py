@@ -194,3 +194,14 @@ def test_bands(spark):
     assert [r[0].split()[0] for r in df.select(J.kappa_band(F.col("k"))).collect()] == [
         "Near-Perfect", "Substantial", "Moderate", "Fair",
     ]
+
+
+def test_thread_without_brand_turn_has_no_reply(spark):
+    from replyloom.operators.resolution import resolve_turns
+
+    turns = spark.createDataFrame(
+        [(1, 0, "customer", "hello", False), (2, 0, "customer", "hi", False), (2, 1, "brand", "x", True)],
+        "conv_id long, turn_index int, speaker string, scrubbed_text string, is_canned boolean",
+    )
+    got = {r["conv_id"]: r["resolution_label"] for r in resolve_turns(turns, ["conv_id"]).collect()}
+    assert got == {1: "NO_BRAND_REPLY", 2: "DEFLECTED_UNVERIFIED"}
