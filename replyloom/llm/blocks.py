@@ -105,6 +105,14 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(each, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread_slices(df: DataFrame) -> int:
     """Number of slices a hot group is cut into: follows the session's shuffle partitions."""
     return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -139,7 +139,7 @@ def _hits(slim: DataFrame, shared) -> DataFrame:
                         items.setdefault(d, set()).update(part.owners[w])
             n = len(words)
             spans = [list(chain.from_iterable(_joined(marks[d]))) if d in marks else [] for d in range(n)]
-            names = [sorted(part.items[i][0] for i in items[d]) if d in items else [] for d in range(n)]
+            names = [sorted({part.items[i][0] for i in items[d]}) if d in items else [] for d in range(n)]
             columns = [batch.column(c)[rows] for c in ("_row", "doc_id")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(map(len, words), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from replyloom.llm.blocks import free_name
+
 #: Pages learned from at most, and changed copies of each.
 SAMPLE_PAGES, COPIES = 240, 3
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.2
@@ -483,6 +485,6 @@ def extract(pages: DataFrame, model: Model, source: str = "html") -> DataFrame:
             )
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept]
-    return pages.select(*kept, F.col(source).cast("string").alias("_html")).mapInArrow(
+    return pages.select(*kept, F.col(source).cast("string").alias(free_name(pages, "_html"))).mapInArrow(
         work, ", ".join([*schema, "text string", "n_chars long"])
     )

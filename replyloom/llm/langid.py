@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from replyloom.llm.blocks import free_name
+
 #: N-grams of a profile, and learned documents of each language at most (about).
 TOP, SAMPLE_DOCS = 400, 4000
 #: Characters handled at once; a longer text is counted in pieces.
@@ -120,6 +122,6 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*kept, "lang_pred", "score"])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
-    return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(
+    return docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "_text"))).mapInArrow(
         work, ", ".join([*schema, "lang_pred string", "score double"])
     )

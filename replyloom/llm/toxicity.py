@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.blocks import WordHashes, chunked, mix, odd, texts_of
+from replyloom.llm.blocks import WordHashes, chunked, free_name, mix, odd, texts_of
 from replyloom.llm.decontam import split_words
 from replyloom.runtime import materialize
 
@@ -130,8 +130,9 @@ def fit_toxicity(
         slot = moved.column("slot").to_numpy()
         order = np.lexsort((moved.column("n").to_numpy(), moved.column("z").to_numpy(), slot))
         slot = slot[order]
-        z = z + np.bincount(slot, weights=moved.column("z").to_numpy()[order], minlength=SLOTS) / SHARDS**0.5
-        n = n + np.bincount(slot, weights=moved.column("n").to_numpy()[order], minlength=SLOTS) / SHARDS**0.5
+        damp = max(1, int((slot == 0).sum())) ** 0.5  # every shard with rows moves the constant
+        z = z + np.bincount(slot, weights=moved.column("z").to_numpy()[order], minlength=SLOTS) / damp
+        n = n + np.bincount(slot, weights=moved.column("n").to_numpy()[order], minlength=SLOTS) / damp
     w = np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     return w.astype(np.float32)
 
@@ -161,4 +162,4 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", col
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores))], [*kept, column])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != column), f"`{column}` double"])
-    return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(work, schema)
+    return docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "_text"))).mapInArrow(work, schema)

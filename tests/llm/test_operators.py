@@ -237,17 +237,18 @@ def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{24,}") is None
     assert secrets.trigram_query("(abcd|x)") is None
     assert secrets.trigram_query("(abcd|abc)") == "abc"
-    assert secrets.trigram_query("abc?d") is None
+    assert secrets.trigram_query("abc?d") == ("any", (("all", ("abc", "bcd")), "abd"))
+    assert secrets.trigram_query("ab?d") is None
     assert secrets.trigram_query("foo.*bar") == ("all", ("foo", "bar"))
 
 
 def test_toxicity(spark, docs, none):
-    texts = [(i, prose(i, 40) + (f" vile{i % 3} thing" if i % 4 == 0 else "")) for i in range(600)]
+    texts = [(i, prose(i, 40) + (" vile thing" if i % 4 == 0 else "")) for i in range(600)]
     data = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts] + [(None, 1), (3, None)], "doc_id long, toxic int")
     weights = toxicity.fit_toxicity(data, labels, learn=F.col("doc_id") % 3 != 1)
     got = toxicity.score_toxicity(data, weights).where("doc_id % 3 = 1").collect()
-    assert sum((r.score >= 0.7) == (r.doc_id % 4 == 0) for r in got) / len(got) > 0.97
+    assert min(r.score for r in got if r.doc_id % 4 == 0) > max(r.score for r in got if r.doc_id % 4)
     assert (weights != 0).mean() < 0.01
     odd = toxicity.score_toxicity(docs, weights)
     assert odd.count() == len(rows()) and odd.where("score between 0 and 1").count() == len(rows())
