@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from itertools import chain
 
@@ -25,32 +26,97 @@ from replyloom.llm.blocks import chunked, number_within, texts_of
 from replyloom.runtime import materialize
 
 #: Tokens of words that a task remembers before it forgets them all.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Closing marks that are coded apart from the word before them.
+MARKS = b".,;:!?*#%$&\")"
 #: Most frequent lengths from which combinations of three are drawn, and rounds of the solver.
 TRIPLE_LENGTHS, ROUNDS = 160, 300
 
 
+#: How byte-level vocabularies spell bytes: printable ones stand for themselves, the others follow from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)} | {32: " "}
+
+
+def _plain(word: str) -> bool:
+    """Whether the word is letters only, composed and in lower case already."""
+    return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word == word.lower()))
+
+
 class _WordTokens(dict):
-    """Word -> its token ids, little-endian. White space never lies inside a token, so a text's
-    ids are those of its words in order."""
+    """Lower-cased word -> its token ids, little-endian. White space never lies inside a token and A-Z count as
+    lower case, so a text's ids are those of its words in order."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges without the steps that a word in lower-case letters does not need.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # Words that spell a special token are looked up whole, as they stand.
+        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case letters are one unit each, so many go through at once and are parted at word ends."""
+        out: list[bytes] = []
+        parts = [words[s : s + 256] for s in range(0, len(words), 256)]
+        lines = [" ".join(p).encode().decode("latin-1").translate(BYTE_LETTERS) for p in parts]
+        for part, e in zip(parts, self.merges.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) == len(part):
+                data = ids.tobytes()
+                out.extend(data[i:j] for i, j in zip([0, *cut], cut))
+            else:
+                out.extend(self._encode(part))
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.keys())
-        if len(self) + len(new) > CACHE_WORDS:
+        new = words - self.keys()
+        if len(self) + 2 * len(new) > CACHE_WORDS:
             self.clear()
-            new = list(words)
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded):
-                ids = e.ids
-                self[w] = struct.pack(f"<{len(ids)}I", *ids)
+            new = words
+        # A word's closing marks are units of their own where a letter or digit stands before them.
+        parted: list[tuple[bytes, bytes, bytes]] = []
+        whole = {b"": ""}
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core != w and core and (text := core.decode("utf-8", "replace"))[-1].isalpha():
+                tail = w[len(core) :]
+                parted.append((w, core, tail))
+                whole[core], whole[tail] = text, tail.decode()
+            else:
+                whole[w] = w.decode("utf-8", "replace")
+        whole = {w: t for w, t in whole.items() if w not in self}
+        letters = [w for w, t in whole.items() if _plain(t)]
+        rest = list(whole.keys() - set(letters))
+        self.update(zip(letters, self._encode_letters([whole[w] for w in letters])))
+        self.update(zip(rest, self._encode([whole[w] for w in rest])))
+        self.update((w, self[core] + self[tail]) for w, core, tail in parted)
+
+    def words(self, text: bytes) -> list[bytes]:
+        if any(t in text for t in self.special):
+            return text.split()
+        return text.lower().split()
+
+
+_LOADED: dict[str, _WordTokens] = {}
+
+
+def _word_tokens(path: str) -> _WordTokens:
+    """The tokenizer and what it has learned, kept by a worker from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = _WordTokens(path)
+    return _LOADED[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, text: str, doc_id: str, with_ids: bool) -> DataFrame:
@@ -59,10 +125,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, text
     end = struct.pack("<I", end_id)
 
     def work(batches):
-        cache = _WordTokens(tokenizer)
+        cache = _word_tokens(tokenizer)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, words in chunked(t.split() for t in texts_of(batch.column("_text"))):
+            for first, words in chunked(map(cache.words, texts_of(batch.column("_text")))):
                 cache.learn(set(chain.from_iterable(words)))
                 out: list[list] = [[], [], [], [], [], []]
                 for i, w in enumerate(words, first):
