@@ -8,11 +8,11 @@ partition is a signature, and a set issues as many as can differ, plus one. Sign
 elements come first (a fixed order that both sides share), which makes them selective. A set with too
 few non-empty partitions for this argument also issues single shingles as signatures.
 
-Candidates are compared in bounded blocks with parity sketches, whose differing bits never exceed
-the differing shingles, and each pair that may be a link is then verified on the full sets. Round one
-compares each member of a signature group with one member only; round two compares members that are
-still in different components. No link between components is lost, and pairs inside a component are
-never expanded.
+Documents that share signatures are compared in bounded blocks, first with parity sketches, whose
+differing bits never exceed the differing shingles. A block hands on a spanning forest of the pairs that may be links, so
+its output is linear in its rows. Trees of the forest are families; only their members' sets are
+fetched, and inside a family, again in blocks, every pair that is not yet connected is decided on the full sets. No link between
+components is lost, and pairs inside a component are never expanded.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from replyloom.llm.blocks import WordHashes, chunked, mix, odd, runs, texts_of, windows
 from replyloom.operators.components import connected_components
@@ -33,8 +32,12 @@ from replyloom.runtime import materialize
 FLUSH = 3_000_000
 #: Signatures that one receiving task is meant to hold.
 PER_TASK = 2_000_000
-#: Members of a signature group compared in one task.
+#: Members of a group compared in one task.
 BLOCK = 1000
+#: Groups up to this size are compared without arrays.
+SMALL = 12
+#: Shingles of full sets compared in one task.
+BLOCK_SHINGLES = 1_000_000
 #: Sketch bits for each shingle.
 SKETCH_BITS = 4
 #: Bits of the filter on documents whose sets are fetched (1 MB).
@@ -54,8 +57,11 @@ def _sets(words: list[list[bytes]], cache: WordHashes, width: int) -> tuple[np.n
             whole[on] += hashes[(first[short] + j)[on]] * odd(j)
         whole += lengths[short].astype(np.uint64) * odd(width)
         doc, value = np.concatenate((doc, short)), np.concatenate((value, mix(whole)))
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
+        order = np.argsort(doc, kind="stable")
+        doc, value = doc[order], value[order]
+    ends = np.cumsum(np.bincount(doc, minlength=len(words)))
+    for low, high in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+        value[low:high].sort()
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     return value[new], np.bincount(doc[new], minlength=len(words)).astype(np.int64)
@@ -79,7 +85,7 @@ def _band(n: np.ndarray) -> np.ndarray:
 def _sketch(value: np.ndarray, band: int) -> bytes:
     """Parities of the shingles hashed into SKETCH_BITS * 2^band bits."""
     bits = max(64, SKETCH_BITS << int(band))
-    flips = np.bincount((value % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    flips = np.bincount((value & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
@@ -125,17 +131,18 @@ def _signatures(value: np.ndarray, sizes: np.ndarray, rule: _Rule) -> tuple[np.n
             sig, owner = v, doc
         else:
             # The part is part of the content: equal content lies in the same part.
-            part = (mix(v ^ odd(5)) % parts[doc].astype(np.uint64)).astype(np.int64)
-            order = np.argsort((doc << 40) | part, kind="stable")
-            key = ((doc << 40) | part)[order]
+            part = (mix(v ^ odd(5)) & (parts[doc] - 1).astype(np.uint64)).astype(np.int64)
+            key = (doc << 40) | part
+            order = np.argsort(key)
+            key = key[order]
             at = runs(key)
-            sig = np.add.reduceat(mix(v)[order], at)
+            sig = np.add.reduceat(v[order] * odd(9) ^ (v[order] >> np.uint64(29)), at)
             count = np.diff(np.append(at, len(key)))
             owner = key[at] >> 40
         sig = mix(sig + (band[owner].astype(np.uint64) * np.uint64(4) + np.uint64(tag)) * odd(3))
         # Most elements first, then the signature itself: an order common to all sets.
-        rank = ((255 - np.minimum(count, 255)).astype(np.uint64) << np.uint64(56)) | (sig >> np.uint64(8))
-        order = np.lexsort((rank, owner))
+        rank = ((255 - np.minimum(count, 255)).astype(np.uint64) << np.uint64(36)) | (sig >> np.uint64(28))
+        order = np.argsort(owner.astype(np.uint64) << np.uint64(44) | rank)
         owner, sig = owner[order], sig[order]
         at = runs(owner)
         have = np.diff(np.append(at, len(owner)))
@@ -199,7 +206,7 @@ def _postings(docs: DataFrame, rule: _Rule, buckets: int) -> DataFrame:
 
     def packed(sigs, owners, nodes):
         bucket = (sigs >> np.uint64(48)).astype(np.int64) * buckets >> 16
-        order = np.lexsort((owners, bucket))
+        order = np.argsort(bucket << 40 | owners)
         sigs, owners, bucket = sigs[order], owners[order], bucket[order]
         at = np.append(runs(bucket), len(bucket))
         out = ([], [], [], [], [])
@@ -242,10 +249,8 @@ def _postings(docs: DataFrame, rule: _Rule, buckets: int) -> DataFrame:
 
 
 def _groups(postings: DataFrame, tasks: int) -> DataFrame:
-    """(members, node, first) for signatures of two sets or more.
-
-    ``members`` names a group by a hash of its nodes, so signatures with the same nodes are one
-    group; ``first`` is its least node.
+    """(members, node) for signatures of two sets or more. ``members`` names a group by a hash of
+    its nodes, so signatures with the same nodes are one group.
     """
 
     def work(batches):
@@ -282,108 +287,136 @@ def _groups(postings: DataFrame, tasks: int) -> DataFrame:
         one[once] = True
         good &= one
         rows = np.repeat(good, count)
-        least = np.repeat(node[at], count)[rows]
         name, node = np.repeat(name, count)[rows], node[rows]
         for s in range(0, len(node), 100_000):
             e = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name[e]), pa.array(node[e]), pa.array(least[e])], ["members", "node", "first"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(name[e]), pa.array(node[e])], ["members", "node"])
 
-    return postings.repartition(tasks, "bucket").mapInArrow(work, "members long, node long, first long").distinct()
+    return postings.repartition(tasks, "bucket").mapInArrow(work, "members long, node long").distinct()
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, rule: _Rule) -> DataFrame:
-    """Pairs (u, v) that sizes and sketches do not rule out."""
-    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    met = pairs.join(left, "u").join(right, "v")
+def _large(rows: DataFrame, shingles: Column) -> DataFrame:
+    """(family, _blocks) of the families that need several blocks."""
+    load = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum(shingles) / F.lit(BLOCK_SHINGLES))
+    return rows.groupBy("family").agg(F.ceil(load).cast("int").alias("_blocks")).where(F.col("_blocks") > 1)
 
-    def work(batches):
-        for batch in batches:
-            a, b = (batch.column(x).to_numpy() for x in ("nu", "nv"))
-            keep = rule.num * np.maximum(a, b) <= rule.den * np.minimum(a, b)
-            su, sv = (batch.column(x).to_pylist() for x in ("su", "sv"))
-            most = rule.most_apart(a + b)
-            for i in np.flatnonzero(keep):
-                width = min(len(su[i]), len(sv[i]))
-                x, y = (_folded(np.frombuffer(t[i], np.uint8), width) for t in (su, sv))
-                keep[i] = np.bitwise_count(x ^ y).sum() <= most[i]
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-    return met.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(work, "u long, v long")
-
-
-def _blocks(rest: DataFrame, rule: _Rule) -> DataFrame:
-    """Possible pairs between different components inside a group, in blocks of bounded size."""
-    group = W.partitionBy("members")
-    cut = rest.withColumn(
-        "_blocks", F.ceil(F.count(F.lit(1)).over(group) / F.lit(BLOCK)).cast("int")
-    ).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+
+def _compared(rows: DataFrame, large: DataFrame, rule: _Rule, exact: bool) -> DataFrame:
+    """Spanning forests (u, v) of the linked pairs inside each ``family`` of rows, in blocks of bounded size.
+
+    ``large`` has the number of blocks of families with more than one. Without ``exact`` a pair counts as linked unless sizes or sketches rule it out; with it the full sets decide.
+    """
+    cut = (
+        rows.join(large, "family", "left")
+        .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        .withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    )
+    keys = ["family", "_low", "_high"]
+    names = ["node", "n", "sketch", *(["shingles"] if exact else [])]
     met = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "members",
-        F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"),
-        "_block", "node", "component", "n", "sketch",
+        "family", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), "_block", *names
     )
-    keys = ["members", "_low", "_high"]
 
-    def pairs_of(rows: pa.Table):
-        block, node, comp, n = (rows.column(x).to_numpy() for x in ("_block", "node", "component", "n"))
-        low, high = rows.column("_low")[0].as_py(), rows.column("_high")[0].as_py()
-        sketches = rows.column("sketch").to_pylist()
+    def forest(part: pa.Table) -> pa.RecordBatch:
+        block, node, n = (part.column(x).to_numpy() for x in ("_block", "node", "n"))
+        low, high = part.column("_low")[0].as_py(), part.column("_high")[0].as_py()
+        sketches = part.column("sketch").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()] if exact else []
         size = np.fromiter(map(len, sketches), np.int64, len(sketches))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for width in np.unique(size):
+        root = np.arange(len(node))
+        us, vs = [], []
+        for width in np.unique(size).tolist():
             # Each set against those whose sketch is as long or the next length: others differ too much in size.
-            own, near = np.flatnonzero(size == width), np.flatnonzero((size == width) | (size == 2 * width))
+            near = np.flatnonzero((size == width) | (size == 2 * width))
             bits = np.stack([_folded(np.frombuffer(sketches[i], np.uint8), width) for i in near]).view(np.uint64)
-            place = np.searchsorted(near, own)
-            for k, i in zip(place, own):
-                ok = (comp[near] != comp[i]) & ((size[near] > width) | (node[near] > node[i]))
+            for k in np.flatnonzero(size[near] == width).tolist():
+                i = near[k]
+                ok = (root[near] != root[i]) & ((size[near] > width) | (node[near] > node[i]))
                 if low != high:
                     ok &= block[near] != block[i]
                 a, b = n[near], n[i]
                 ok &= rule.num * np.maximum(a, b) <= rule.den * np.minimum(a, b)
-                j = np.flatnonzero(ok)
-                j = j[np.bitwise_count(bits[j] ^ bits[k]).sum(axis=1) <= rule.most_apart(n[near[j]] + n[i])]
-                us.append(np.full(len(j), node[i]))
-                vs.append(node[near[j]])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                at = at[np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1) <= rule.most_apart(n[near[at]] + n[i])]
+                for j in near[at].tolist():
+                    if root[j] == root[i]:
+                        continue
+                    if exact:
+                        both = np.concatenate((sets[i], sets[j]))
+                        both.sort()
+                        common = int((both[1:] == both[:-1]).sum())
+                        if not rule.linked(common, len(sets[i]), len(sets[j])):
+                            continue
+                    root[root == root[j]] = root[i]
+                    us.append(node[i])
+                    vs.append(node[j])
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    def small(sketches: list[bytes], node: list[int], n: list[int], us: list[int], vs: list[int]) -> None:
+        """The same for a few rows of one block, without arrays."""
+        bits = [int.from_bytes(x, "little") for x in sketches]
+        width = [8 * len(x) for x in sketches]
+        root = list(range(len(node)))
+        for i in range(len(node)):
+            for j in range(i):
+                if root[i] == root[j] or rule.num * max(n[i], n[j]) > rule.den * min(n[i], n[j]):
+                    continue
+                x, y, w, v = bits[i], bits[j], width[i], width[j]
+                while w > v:
+                    w //= 2
+                    x = x >> w ^ x & (1 << w) - 1
+                while v > w:
+                    v //= 2
+                    y = y >> v ^ y & (1 << v) - 1
+                if (x ^ y).bit_count() <= rule.most_apart(n[i] + n[j]):
+                    old = root[j]
+                    root = [root[i] if r == old else r for r in root]
+                    us.append(node[i])
+                    vs.append(node[j])
 
     def work(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            us: list[int] = []
+            vs: list[int] = []
+            columns = [batch.column(x).to_pylist() for x in ("sketch", "node", "n")] if not exact else []
             key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
             at = np.append(np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))), batch.num_rows)
-            for s, e in zip(at[:-1], at[1:]):
+            inner = (at[1:-1] if len(at) > 2 else at[:0]).tolist()  # these groups neither began before nor go on
+            whole = {s for s, e in zip(inner[:-1], inner[1:]) if e - s <= SMALL and key[1, s] == key[2, s]} if not exact else set()
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+                if s in whole:
+                    small(*(c[s:e] for c in columns), us, vs)
+                    continue
                 part = batch.slice(s, e - s)
                 if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
-                    yield pairs_of(pa.Table.from_batches(held).combine_chunks())
+                    yield forest(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 held.append(part)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs)], ["u", "v"])
         if held:
-            yield pairs_of(pa.Table.from_batches(held).combine_chunks())
+            yield forest(pa.Table.from_batches(held).combine_chunks())
 
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long").distinct()
 
 
-def _wanted(pairs: DataFrame) -> bytes:
-    """Bit filter (fixed size) of the nodes in ``pairs``: false hits cost time, never results."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
-    at = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-    words = nodes.select(at.alias("_at")).groupBy(F.expr("shiftright(_at, 6)").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(_at % 64 as int)))").alias("bits")
-    )
+def _wanted(nodes: DataFrame) -> bytes:
+    """Bit filter (fixed size) of ``nodes``: false hits cost time, never results."""
+    words = nodes.select(F.pmod("node", F.lit(FILTER_BITS)).alias("_at")).groupBy(
+        F.expr("shiftright(_at, 6)").alias("word")
+    ).agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 as int)))").alias("bits"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
     for batch in words.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
         table[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
     return table.tobytes()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rule: _Rule) -> DataFrame:
-    """Links among ``pairs`` (u, v), from the full sets."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
+def _sets_of(docs: DataFrame, nodes: DataFrame, rule: _Rule) -> DataFrame:
+    """(node, shingles) of the given nodes; perhaps some more, perhaps more than once."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
 
     def fetch(batches):
         table = np.frombuffer(wanted.value, np.int64)
@@ -391,9 +424,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: _Rule) -> DataFrame:
         for _, _, value, sizes, keys in _walk(batches, rule.width):
             node, ends = keys.view(np.int64), np.cumsum(sizes)
             at = node % FILTER_BITS
-            hit = np.flatnonzero((sizes > 0) & ((table[at >> 6] >> (at & 63)) & 1 == 1))
-            hit = [i for i in hit.tolist() if int(keys[i]) not in seen]
-            once = {int(keys[i]): i for i in hit}
+            hit = np.flatnonzero((sizes > 0) & ((table[at >> 6] >> (at & 63)) & 1 == 1)).tolist()
+            once = {int(keys[i]): i for i in hit if int(keys[i]) not in seen}
             seen.update(once)
             hit = list(once.values())
             if hit:
@@ -402,22 +434,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: _Rule) -> DataFrame:
                     ["node", "shingles"],
                 )
 
-    fetched = docs.mapInArrow(fetch, "node long, shingles binary").dropDuplicates(["node"])
-    sets = materialize(fetched, "sets")
-
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                keep.append(bool(rule.linked(common, len(x), len(y))))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v"
-    )
-    return met.select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
+    return docs.mapInArrow(fetch, "node long, shingles binary")
 
 
 def similar_groups(
@@ -440,29 +457,15 @@ def similar_groups(
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * PER_TASK) + 1)
     nodes = table.where(F.col("sketch").isNotNull()).select("node", "n", "sketch").dropDuplicates(["node"])
     groups = materialize(_groups(_postings(slim, rule, min(4 * tasks, 1 << 16)), tasks), "groups")
-    star = groups.where(F.col("node") != F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    tried = materialize(_possible(star, nodes, rule), "pairs")
-    links = materialize(_verified(slim, tried, rule), "links")
+    shared = groups.withColumnRenamed("members", "family")
+    maybe = materialize(_compared(shared.join(nodes, "node"), _large(shared, F.lit(0)), rule, exact=False), "pairs")
+    families = materialize(connected_components(maybe), "families")
+    near = families.join(nodes, "node").withColumnRenamed("component", "family")
+    # Tasks may each have fetched a set: one row of each node goes on.
+    sets = _sets_of(slim, families, rule).dropDuplicates(["node"])
+    links = materialize(_compared(near.join(sets, "node"), _large(near, F.col("n")), rule, exact=True), "links")
     found = materialize(connected_components(links), "components")
 
-    named = groups.select("members", "node").join(found, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    by = W.partitionBy("members")
-    open_groups = (
-        named.withColumn("_least", F.min("component").over(by))
-        .withColumn("_most", F.max("component").over(by))
-        .where(F.col("_least") < F.col("_most"))
-        .select("members", "node", "component")
-    )
-    more = _blocks(open_groups.join(nodes, "node"), rule).join(
-        tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"
-    )
-    more = materialize(more, "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(materialize(_verified(slim, more, rule), "links"))
-        found = materialize(connected_components(links), "components")
-
     own = table.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -479,8 +482,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows with a null id stay. Of rows that repeat an id of a group all have that id and stay or go
     together with it, except that exact repeats of id and text become one row.
     """
-    names = similar_groups(docs, **options).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(names, "doc_id", "left_anti")
+    named = materialize(similar_groups(docs, **options), "near-duplicates")
+    gone = named.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if named.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
     return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(
         kept.where(F.col("doc_id").isNull())
     )
