@@ -301,21 +301,22 @@ def _large(rows: DataFrame, shingles: Column) -> DataFrame:
     return rows.groupBy("family").agg(F.ceil(load).cast("int").alias("_blocks")).where(F.col("_blocks") > 1)
 
 
-def _compared(rows: DataFrame, large: DataFrame, rule: _Rule, exact: bool) -> DataFrame:
-    """Spanning forests (u, v) of the linked pairs inside each ``family`` of rows, in blocks of bounded size.
+def _compared(rows: DataFrame, content: DataFrame, large: DataFrame, rule: _Rule, exact: bool) -> DataFrame:
+    """Spanning forests (u, v) of the linked pairs inside each ``family`` of rows (family, node), in blocks of bounded size.
 
-    ``large`` has the number of blocks of families with more than one. Without ``exact`` a pair counts as linked unless sizes or sketches rule it out; with it the full sets decide.
+    ``content`` has what is compared of each node; it joins last, so it is sent to the blocks once. ``large`` has the number of blocks of families with more than one. Without ``exact`` a pair counts as linked unless sizes or sketches rule it out; with it the full sets decide.
     """
+    keys = ["family", "_low", "_high"]
     cut = (
-        rows.join(large, "family", "left")
+        rows.select("family", "node")
+        .join(large, "family", "left")
         .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
         .withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select("family", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), "_block", "node")
     )
-    keys = ["family", "_low", "_high"]
     names = ["node", "n", "sketch", *(["shingles"] if exact else [])]
-    met = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "family", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), "_block", *names
-    )
+    met = cut.join(content, "node").select(*keys, "_block", *names)
 
     def forest(part: pa.Table) -> pa.RecordBatch:
         block, node, n = (part.column(x).to_numpy() for x in ("_block", "node", "n"))
@@ -458,12 +459,13 @@ def similar_groups(
     nodes = table.where(F.col("sketch").isNotNull()).select("node", "n", "sketch").dropDuplicates(["node"])
     groups = materialize(_groups(_postings(slim, rule, min(4 * tasks, 1 << 16)), tasks), "groups")
     shared = groups.withColumnRenamed("members", "family")
-    maybe = materialize(_compared(shared.join(nodes, "node"), _large(shared, F.lit(0)), rule, exact=False), "pairs")
+    maybe = materialize(_compared(shared, nodes, _large(shared, F.lit(0)), rule, exact=False), "pairs")
     families = materialize(connected_components(maybe), "families")
-    near = families.join(nodes, "node").withColumnRenamed("component", "family")
+    near = families.withColumnRenamed("component", "family")
     # Tasks may each have fetched a set: one row of each node goes on.
     sets = _sets_of(slim, families, rule).dropDuplicates(["node"])
-    links = materialize(_compared(near.join(sets, "node"), _large(near, F.col("n")), rule, exact=True), "links")
+    sizes = near.join(nodes.select("node", "n"), "node")
+    links = materialize(_compared(near, nodes.join(sets, "node"), _large(sizes, F.col("n")), rule, exact=True), "links")
     found = materialize(connected_components(links), "components")
 
     own = table.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"))
