@@ -24,6 +24,8 @@ SLOTS = 1 << 18
 SAMPLE_ROWS = 24_000
 SHARDS, ROUNDS = 4, 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
+#: Parts of one in which moves are added up.
+SCALE = float(1 << 30)
 #: Value of a pair of words; a word alone counts 1.
 PAIR_VALUE = 0.3
 
@@ -111,7 +113,7 @@ def fit_toxicity(
     sharded = rows_table.repartition(SHARDS, "id").sortWithinPartitions(F.xxhash64("id"), "id", "slots")
     z, n = np.zeros(SLOTS), np.zeros(SLOTS)
     for _ in range(ROUNDS):
-        state = spark.sparkContext.broadcast((z, n))
+        state = spark.sparkContext.broadcast((z.copy(), n.copy()))
 
         def learn_shard(batches):
             z, n = (x.copy() for x in state.value)
@@ -126,13 +128,14 @@ def fit_toxicity(
                     [pa.array(moved), pa.array(z[moved] - state.value[0][moved]), pa.array(n[moved] - state.value[1][moved])], ["slot", "z", "n"]
                 )
 
-        moved = sharded.mapInArrow(learn_shard, "slot long, z double, n double").toArrow()  # at most SHARDS * SLOTS rows
-        slot = moved.column("slot").to_numpy()
-        order = np.lexsort((moved.column("n").to_numpy(), moved.column("z").to_numpy(), slot))
-        slot = slot[order]
-        damp = max(1, int((slot == 0).sum())) ** 0.5  # every shard with rows moves the constant
-        z = z + np.bincount(slot, weights=moved.column("z").to_numpy()[order], minlength=SLOTS) / damp
-        n = n + np.bincount(slot, weights=moved.column("n").to_numpy()[order], minlength=SLOTS) / damp
+        # Whole numbers add up to the same sum in any order.
+        whole = [F.sum(F.round(F.col(c) * SCALE).cast("long")).alias(c) for c in ("z", "n")]
+        moves = sharded.mapInArrow(learn_shard, "slot long, z double, n double").groupBy("slot")
+        moved = moves.agg(*whole, F.count(F.lit(1)).alias("shards")).toArrow()  # at most SLOTS rows
+        slot, shards = moved.column("slot").to_numpy(), moved.column("shards").to_numpy()
+        damp = max(1, int(shards[slot == 0].sum())) ** 0.5 * SCALE  # every shard with rows moves the constant
+        z[slot] += moved.column("z").to_numpy() / damp
+        n[slot] += moved.column("n").to_numpy() / damp
     w = np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     return w.astype(np.float32)
 
