@@ -10,6 +10,7 @@ from replyloom.operators import density
 from replyloom.operators import tfidf as V
 from replyloom.operators.components import connected_components
 from replyloom.operators.lsa import explained_variance_ratio, lsa_fit
+from replyloom.operators import retrieval
 from replyloom.operators.retrieval import retrieve
 from replyloom.operators.topics import nmf, topic_keywords, topic_shares
 from replyloom.plans import escalation as E
@@ -95,6 +96,39 @@ def test_retrieval_against_brute_force(spark, mode):
         assert [got[q][k + 1] for k in range(5)] == [(i, pytest.approx(-s, abs=1.01e-4)) for s, i in ranked[:5]]
 
 
+def test_retrieval_keeps_queries_off_the_driver(spark, monkeypatch):
+    """Several parts, slices and blocks of queries give the rows of a single group."""
+    rng = random.Random(12)
+    config = V.TfidfConfig(2500, True, 1, 1.0, ())
+    levels = [0.95, 0.75, 0.6, 0.4, 0.2, 0.1]
+    kb = [(i, t, rng.choice(levels)) for i, t in corpus(90, 9)]
+    kb += [(i + 100, t, r) for i, t, r in kb[:30]] + [(300, kb[0][1], None), (301, "", 0.6)]
+    questions = corpus(25, 10) + [(50, "unknown words"), (51, kb[0][1])]
+    kb_df = spark.createDataFrame(kb, "kb_id int, customer_inquiry string, resolution_score double")
+    q_df = spark.createDataFrame(questions, "query_id int, text string")
+    model = V.tfidf_fit(kb_df, "customer_inquiry", config)
+
+    def fail(*_):
+        raise AssertionError("rows on the driver")
+
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(q_df), name, fail)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", fail)
+
+    def hits():
+        got = retrieval.compare_retrieval(model, q_df, kb_df, 4).collect()
+        return sorted((r["mode"], r["query_id"], r["rank"], r["kb_id"], r["composite_score"]) for r in got)
+
+    whole = hits()
+    assert {(m, q) for m, q, *_ in whole} == {(m, q) for m in retrieval.MODES for q, _ in questions}
+    for name, value in (("QUERY_BLOCK", 3), ("CELLS", 2000), ("KB_SLICE", 4), ("QUERY_PART", 7)):
+        monkeypatch.setattr(retrieval, name, value)
+    small = hits()
+    assert [r[:3] for r in small] == [r[:3] for r in whole]
+    assert [r[4] for r in small] == [pytest.approx(r[4], abs=1.01e-4) for r in whole]
+    assert sum(a[3] != b[3] for a, b in zip(small, whole)) <= 1  # sums on a rounding edge may swap
+
+
 def brute_clusters(points, min_size, min_samples, eps):
     ids = sorted(points)
     near = {i: [j for j in ids if math.dist(points[i], points[j]) <= eps] for i in ids}
