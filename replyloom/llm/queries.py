@@ -12,6 +12,7 @@ from replyloom.llm.kd_shards import kd_shards
 from replyloom.llm.langid import fit_profiles, identify
 from replyloom.llm.packing import pack
 from replyloom.llm.quality_rules import quality_verdicts
+from replyloom.llm.queries_audit import ENTRIES as AUDIT
 from replyloom.llm.secrets import ADDED, BASE, secret_spans, spans_text
 from replyloom.llm.site_quality import site_quality
 from replyloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -203,4 +204,5 @@ ENTRIES = {
     "op8_secret_scans": (op8_secret_scans, _sql_spans()),
     "op9_decontamination": (op9_decontamination, HITS_SQL),
     "op10_html_extraction": (op10_html_extraction, None),
+    **AUDIT,
 }
