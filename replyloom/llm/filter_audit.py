@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import permutations
 from math import factorial
 
@@ -31,6 +32,9 @@ from replyloom.runtime import work_folder
 BATCHES = 4
 #: Rows of the table for each bucket of the state, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 48
+#: From this many rows on the state is kept on disk (RocksDB), as it may outgrow the executors' memory; smaller state goes where the
+#: session says. The counts are the same.
+DISK_ROWS = 20_000_000
 #: Rows that a task adds up at once before it sends them.
 COMBINE_ROWS = 200_000
 
@@ -109,6 +113,18 @@ def _advance(held: pd.DataFrame, rows: pd.DataFrame, bit: int) -> tuple[pd.DataF
     return state[_STATE_COLUMNS], changes
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession, needed: bool):
+    """Streams that start inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if needed:
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    if needed:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def audit_changes(
     spark: SparkSession, path: str, labels: DataFrame, checks=text_checks, text: str = "text", part: str = "source", doc_id: str = "doc_id",
     batches: int = BATCHES, folder: str | None = None,
@@ -121,7 +137,8 @@ def audit_changes(
     """
     table = spark.read.parquet(path)
     files = max(1, len(table.inputFiles()))
-    buckets = max(LEAST_BUCKETS, -(-table.count() // BUCKET_ROWS))  # the count reads footers only
+    rows = table.count()  # reads footers only
+    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
     folder = folder or f"{work_folder(spark).rstrip('/')}/replyloom/audit-{uuid.uuid4().hex}"
     marks = labels.select(
         F.col(doc_id).cast("long").alias("id"),
@@ -174,16 +191,9 @@ def audit_changes(
         .groupBy("bucket")
         .applyInPandasWithState(advance, schema, "texts binary", "append", GroupStateTimeout.NoTimeout)
     )
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = (
-            changes.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True).start()
-        )
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    query = changes.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint")
+    with _state_on_disk(spark, rows >= DISK_ROWS):
+        query = query.trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/changes")
 
