@@ -11,6 +11,7 @@ among the pieces of the same length.
 
 from __future__ import annotations
 
+import codecs
 import os
 import struct
 import unicodedata
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from replyloom.llm.blocks import chunked, number_within, texts_of
 from replyloom.runtime import materialize
 
-#: Tokens of words that a task remembers before it forgets them all.
+#: Words whose tokens a task remembers at most: those since it last forgot, and as many from before.
 CACHE_WORDS = 500_000
 #: Closing marks that are coded apart from the word before them.
 MARKS = b".,;:!?*#%$&\")"
@@ -36,6 +37,7 @@ TRIPLE_LENGTHS, ROUNDS = 160, 300
 #: How byte-level vocabularies spell bytes: printable ones stand for themselves, the others follow from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)} | {32: " "}
+SPELLING = "".join(BYTE_LETTERS.get(b, chr(b)) for b in range(256))
 
 
 def _plain(word: str) -> bool:
@@ -43,6 +45,11 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word == word.lower()))
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether the word ends in a letter in the form that the tokenizer sees (``İ`` becomes a letter and a mark)."""
+    return word.isascii() or unicodedata.normalize("NFC", word).lower()[-1].isalpha()
+
+
 class _WordTokens(dict):
     """Lower-cased word -> its token ids, little-endian. White space never lies inside a token and A-Z count as
     lower case, so a text's ids are those of its words in order."""
@@ -58,6 +65,7 @@ class _WordTokens(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.before: dict[bytes, bytes] = {}
         # Words that spell a special token are looked up whole, as they stand.
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
 
@@ -65,42 +73,60 @@ class _WordTokens(dict):
         coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         """Words of lower-case letters are one unit each, so many go through at once and are parted at word ends."""
         out: list[bytes] = []
         parts = [words[s : s + 256] for s in range(0, len(words), 256)]
-        lines = [" ".join(p).encode().decode("latin-1").translate(BYTE_LETTERS) for p in parts]
-        for part, e in zip(parts, self.merges.encode_batch_fast(lines, add_special_tokens=False)):
+        lines = [b" ".join(p) for p in parts]
+        spelt = [x.decode() if x.isascii() else codecs.charmap_decode(x, "strict", SPELLING)[0] for x in lines]
+        for part, e in zip(parts, self.merges.encode_batch_fast(spelt, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cut) == len(part):
                 data = ids.tobytes()
                 out.extend(data[i:j] for i, j in zip([0, *cut], cut))
             else:
-                out.extend(self._encode(part))
+                out.extend(self._encode([w.decode() for w in part]))
         return out
 
     def learn(self, words: set[bytes]) -> None:
+        """Make sure of all ``words``; what was not asked for lately is forgotten when there are too many."""
         new = words - self.keys()
         if len(self) + 2 * len(new) > CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
             new = words
-        # A word's closing marks are units of their own where a letter or digit stands before them.
+        if self.before:
+            held = new & self.before.keys()
+            self.update((w, self.before[w]) for w in held)
+            new = new - held
+        # A word's closing marks are units of their own where a letter stands before them.
         parted: list[tuple[bytes, bytes, bytes]] = []
-        whole = {b"": ""}
+        letters: set[bytes] = set()
+        rest: dict[bytes, str] = {}
         for w in new:
+            if w.isalpha() and w.islower():
+                letters.add(w)
+                continue
             core = w.rstrip(MARKS)
-            if core != w and core and (text := core.decode("utf-8", "replace"))[-1].isalpha():
+            if core != w and core:
                 tail = w[len(core) :]
-                parted.append((w, core, tail))
-                whole[core], whole[tail] = text, tail.decode()
-            else:
-                whole[w] = w.decode("utf-8", "replace")
-        whole = {w: t for w, t in whole.items() if w not in self}
-        letters = [w for w, t in whole.items() if _plain(t)]
-        rest = list(whole.keys() - set(letters))
-        self.update(zip(letters, self._encode_letters([whole[w] for w in letters])))
-        self.update(zip(rest, self._encode([whole[w] for w in rest])))
+                if core.isalpha() and core.islower():
+                    parted.append((w, core, tail))
+                    letters.add(core)
+                    rest[tail] = tail.decode()
+                    continue
+                text = core.decode("utf-8", "replace")
+                if text[-1].isalpha() and _ends_in_letter(text):
+                    parted.append((w, core, tail))
+                    rest[core], rest[tail] = text, tail.decode()
+                    continue
+            rest[w] = w.decode("utf-8", "replace")
+        letters.update(w for w, t in rest.items() if not w.isascii() and _plain(t) and t.encode() == w)
+        some = [w for w in letters if w not in self]
+        self.update(zip(some, self._encode_letters(some)))
+        others = [w for w in rest if w not in self]
+        self.update(zip(others, self._encode([rest[w] for w in others])))
         self.update((w, self[core] + self[tail]) for w, core, tail in parted)
 
     def words(self, text: bytes) -> list[bytes]:
