@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from itertools import cycle
 
@@ -31,7 +32,7 @@ TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.2
 
 #: Fixed values of HTML: elements without content, with raw content, and those that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head select datalist".split())
+RAW = frozenset("script style title textarea".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -41,9 +42,14 @@ ENDED_BY = {
     "p": BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
     "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
 }
+#: The same by the beginning element, and the elements that such an end does not reach through.
+ENDS = {name: [k for k, v in ENDED_BY.items() if name in v] for name in frozenset().union(*ENDED_BY.values())}
+HOLDERS = ("table", "ul", "ol", "dl", "div", "section", "article", "main", "body")
 #: Words of tags and attributes whose meaning labels the learned pages.
 MAIN_TAGS = ("article", "main")
-OTHER_TAGS = ("nav", "aside", "footer", "form", "menu", "dialog", "button", "label", "input", "textarea")
+OTHER_TAGS = (
+    "nav", "aside", "footer", "form", "menu", "dialog", "button", "label", "input", "textarea", "select", "datalist", "template", "noscript", "head",
+)
 OTHER_WORDS = frozenset(
     "ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside "
     "widget related share sharing social comment comments reply replies discussion cookie cookies consent notice alert popup modal "
@@ -54,9 +60,11 @@ MAIN_NAMES = (
     "content", "main-content", "post", "post-body", "entry", "entry-content", "article-body", "article", "story", "text", "body-text", "page-content",
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+'|['\"])*?)>", re.S
-)
+#: Every repeat is possessive, so a match takes linear time. A quote that never closes is met by the loose form.
+_OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+_NAME = r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"
+_TOKEN = re.compile(rf"{_OTHER}|{_NAME}(?P<attr>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_LOOSE = re.compile(rf"{_OTHER}|{_NAME}(?P<attr>[^>]*+)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -74,12 +82,19 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """Elements and text runs; unclosed, crossed and stray tags are tolerated."""
+    """Elements and text runs, in time linear in the page; unclosed, crossed and stray tags are tolerated.
+
+    A tag whose quotes never close ends at the next ``>``, and so does every tag after it; a tag without any ``>`` is text. The
+    content of script, style, title and textarea is left out, to the end of the page where they are not closed.
+    """
     page = Page(["#root"], [()], [-1], [0], [])
     stack = [0]
     names = ["#root"]
+    open_at: dict[str, list[int]] = defaultdict(list)  # places of each name on the stack
     at, fresh = 0, True
     find_end: dict[str, re.Pattern] = {}
+    last = source.rfind(">")
+    token = _TOKEN
 
     def text(piece: str) -> None:
         nonlocal fresh
@@ -89,12 +104,26 @@ def parse(source: str) -> Page:
         elif piece and page.runs and not fresh:
             page.runs.append((page.runs[-1][0], " ", False))
 
+    def top(kinds) -> int:
+        return max((open_at[k][-1] for k in kinds if open_at[k]), default=0)
+
+    def cut(place: int) -> None:
+        while len(names) > place:
+            open_at[names.pop()].pop()
+            stack.pop()
+
     pos = 0
     while True:
-        m = _TOKEN.search(source, pos)
-        if m is None:
+        begin = source.find("<", pos)
+        if begin < 0 or begin > last and not source.startswith("<!--", begin):
             text(source[at:])
             return page
+        m = token.match(source, begin)
+        if m is None and token is _TOKEN and (m := _LOOSE.match(source, begin)):
+            token = _LOOSE  # the quotes do not close up to the end of the page
+        if m is None:
+            pos = begin + 1
+            continue
         text(source[at : m.start()])
         at = pos = m.end()
         name = m["tag"]
@@ -104,20 +133,13 @@ def parse(source: str) -> Page:
         if m["close"]:
             if name in BLOCKS:
                 fresh = True
-            if name in names:
-                while names[-1] != name:
-                    names.pop()
-                    stack.pop()
-                if len(stack) > 1:
-                    names.pop()
-                    stack.pop()
+            if open_at[name]:
+                cut(open_at[name][-1])
             continue
-        if name in RAW or name in ("title", "textarea"):
+        if name in RAW:
             if not m["attr"].endswith("/"):
-                end = find_end.get(name) or find_end.setdefault(name, re.compile(rf"</{re.escape(name)}\s*>", re.I))
+                end = find_end.get(name) or find_end.setdefault(name, re.compile(rf"</{name}\s*+>", re.I))
                 hit = end.search(source, at)
-                if name == "head" and hit is None:
-                    continue  # its end is optional
                 at = pos = hit.end() if hit else len(source)
             continue
         if name == "br" or name in VOID:
@@ -127,17 +149,10 @@ def parse(source: str) -> Page:
         if name in BLOCKS:
             fresh = True
         for _ in range(4):  # a new cell ends a paragraph, a cell and so on
-            for k in range(len(names) - 1, 0, -1):
-                if name in ENDED_BY.get(names[k], ()):
-                    del names[k:], stack[k:]
-                    break
-                if names[k] in ("table", "ul", "ol", "dl", "div", "section", "article", "main", "body"):
-                    k = 0
-                    break
-            else:
-                break
-            if not k:
+            place = top(ENDS[name]) if name in ENDS else 0
+            if not place or place < top(HOLDERS):
                 break
+            cut(place)
         words = ()
         if m["attr"]:
             found = " ".join(a or b or c for a, b, c in _ATTR.findall(m["attr"]))
@@ -146,6 +161,7 @@ def parse(source: str) -> Page:
         page.words.append(words)
         page.parent.append(stack[-1])
         page.depth.append(len(stack))
+        open_at[name].append(len(names))
         stack.append(len(page.tag) - 1)
         names.append(name)
 
@@ -383,8 +399,11 @@ def fit(sources: list[str], copies: int = COPIES, seed: int = 7) -> Model:
 
 
 def probabilities(model: Model, x: np.ndarray) -> np.ndarray:
-    """Probability of the main text for each element."""
+    """Probability of the main text for each element; without any tree by the density of its text."""
     f = np.full(len(x), model.base)
+    if not model.trees:
+        links, marks, own = x[:, 12], x[:, 14], x[:, 11]
+        f = own - 3.0 - 6.0 * links + 5.0 * marks
     if model.trees:
         binned = np.stack([np.searchsorted(model.edges[j], x[:, j], "left") for j in range(x.shape[1])], axis=1)
         row = np.arange(len(x))
@@ -440,8 +459,12 @@ def main_text(page: Page, inside: list[bool]) -> str:
 
 
 def fit_pages(pages: DataFrame, source: str = "html", page_id: str = "page_id", sample: int = SAMPLE_PAGES) -> Model:
-    """Learn from at most ``sample`` pages, chosen by a hash of their id."""
-    picked = pages.where(F.col(source).isNotNull()).select(
+    """Learn from at most ``sample`` of the pages that state their main part, chosen by a hash of their id.
+
+    Without any such page the model has no trees and goes by the density of text alone.
+    """
+    stated = F.col(source).rlike(rf"(?i)<({'|'.join(MAIN_TAGS)})[\s>]")
+    picked = pages.where(stated).select(
         F.xxhash64(F.col(page_id)).alias("_h"), F.xxhash64(source).alias("_t"), F.col(source).alias("_html")
     )
     return fit([r["_html"] for r in picked.orderBy("_h", "_t").limit(sample).collect()])
