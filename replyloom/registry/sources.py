@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,35 +70,66 @@ def _thread_files(s, d) -> DataFrame:
     )
 
 
-def _json_array(s, d) -> DataFrame:
-    """Nations as one JSON array, turned into lines."""
-    rows = X.table(s, d, "nation").select(
-        F.col("n_name").alias("thread_id"), F.col("n_nationkey").cast("long").alias("root_tweet_id"),
-        F.col("n_regionkey").cast("long").alias("leaf_tweet_id"),
+def _as_arrays(rows: DataFrame, path: str) -> None:
+    """Write rows as JSON arrays, one array to a file and one file to a task."""
+    lines = rows.select(F.to_json(F.struct("*")).alias("value"))
+
+    def bracket(batches):
+        first = True
+        for batch in batches:
+            for text in batch.column("value").to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [("[" if first else ",") + text]})
+                first = False
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
+
+    lines.mapInArrow(bracket, "value string").write.text(path)
+
+
+def _document_arrays(s, d) -> str:
+    source = _place(s, "array")
+    _as_arrays(X.table(s, d, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("thread_id"), F.col("doc_id").alias("root_tweet_id"),
+        F.col("text").alias("customer_inquiry_text"), F.col("lang").alias("initial_brand_reply"),
+        F.struct(F.array("source").alias("agent_signatures")).alias("metadata"),
+    ), source)
+    return source
+
+
+def _heads(threads: DataFrame) -> DataFrame:
+    return threads.select(
+        "thread_id", "root_tweet_id", F.md5("customer_inquiry_text").alias("digest"),
+        F.length("customer_inquiry_text").alias("chars"), F.col("initial_brand_reply").alias("lang"),
+        F.col("metadata.agent_signatures")[0].alias("source"),
     )
-    source, target = _place(s, "array"), _place(s, "lines")
-    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(source)
-    ST.convert_json_to_jsonl(s, source, target, schema=THREAD)
-    return ST.read_threads(s, target).select("thread_id", "root_tweet_id", "leaf_tweet_id")
+
+
+def _json_array(s, d) -> DataFrame:
+    """Documents in JSON arrays, turned into lines."""
+    target = _place(s, "lines")
+    ST.convert_json_to_jsonl(s, _document_arrays(s, d), target, schema=THREAD)
+    return _heads(ST.read_threads(s, target))
+
+
+def _array_elements(s, d) -> DataFrame:
+    """Documents in JSON arrays, read as they are."""
+    return _heads(ST.read_json_array(s, _document_arrays(s, d), THREAD))
+
+
+SQL_HEADS = """SELECT 'd' || doc_id AS thread_id, doc_id AS root_tweet_id, md5(text) AS digest, length(text)::int AS chars,
+  lang, source FROM documents"""
 
 
 def _taxonomy(s, d) -> DataFrame:
-    """Regions as tiers and nations as intents, as taxonomy JSON."""
-    odd = F.col("n_nationkey") % 2 == 1
+    """Every document as a taxonomy of its own: its language as tier, its source as intent."""
+    odd = F.col("doc_id") % 2 == 1
     policy = F.struct(
-        F.lower("n_name").alias("action_policy"), odd.alias("override"),
-        F.when(odd, F.array(F.lit("A"), F.lit("B"))).alias("sub_intents"),
+        F.concat(F.lit("policy "), "doc_id").alias("action_policy"), odd.alias("override"),
+        F.when(odd, F.array(F.substring("text", 1, 20), F.lit("B"))).alias("sub_intents"),
     )
-    tiers = (
-        X.table(s, d, "nation")
-        .join(X.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy("r_name")
-        .agg(F.map_from_entries(F.collect_list(F.struct("n_name", policy.alias("p")))).alias("intents"))
+    rules = X.table(s, d, "documents").where("lang is not null and source is not null").select(
+        F.to_json(F.create_map("lang", F.create_map("source", policy))).alias("value")
     )
-    text = tiers.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "intents")))).alias("value"))
-    path = _place(s, "taxonomy")
-    text.write.text(path)
-    return ST.read_taxonomy(s, path)
+    return ST.taxonomy_table(rules, "value")
 
 
 def _report(s, d) -> DataFrame:
@@ -122,15 +154,13 @@ ENTRIES = {
         "sum(length(text))::bigint AS chars, length(arg_min(text, turn))::int AS inquiry_chars "
         "FROM conversations GROUP BY conv_id",
     ),
-    "json_array": (
-        _json_array,
-        "SELECT n_name AS thread_id, n_nationkey::bigint AS root_tweet_id, n_regionkey::bigint AS leaf_tweet_id FROM nation",
-    ),
+    "json_array": (_json_array, SQL_HEADS),
+    "array_elements": (_array_elements, SQL_HEADS),
     "taxonomy": (
         _taxonomy,
-        "SELECT r_name AS tier, n_name AS intent, sub AS sub_intent, n_nationkey % 2 = 1 AS override, "
-        "lower(n_name) AS action_policy FROM (SELECT n.*, r_name, unnest(CASE WHEN n_nationkey % 2 = 1 "
-        "THEN ['A', 'B'] ELSE [NULL] END) AS sub FROM nation n JOIN region r ON n_regionkey = r_regionkey)",
+        "SELECT lang AS tier, source AS intent, sub AS sub_intent, doc_id % 2 = 1 AS override, "
+        "'policy ' || doc_id AS action_policy FROM (SELECT *, unnest(CASE WHEN doc_id % 2 = 1 "
+        "THEN [substr(text, 1, 20), 'B'] ELSE [NULL] END) AS sub FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)",
     ),
     "label_report": (_report, "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL"),
 }

@@ -10,24 +10,26 @@ from pyspark.sql import functions as F
 from replyloom.functions.text import parse_post_time
 from replyloom.operators.posts import normalise_ids
 from replyloom.schemas import POST_CSV
+from replyloom.sources.split_records import read_csv_records
 
 
 def read_posts(
     spark: SparkSession, path: str | Sequence[str], multi_line: bool = True
 ) -> DataFrame:
-    """Post CSV with quoted fields that may span lines.
+    """Post CSV with quoted fields that may span lines, read by as many tasks as its bytes give.
 
-    A file with line breaks inside quotes cannot be split, so a large archive should come as many
-    files. Set ``multi_line=False`` where no field spans lines and files can be split.
+    Set ``multi_line=False`` where no field spans lines: that saves the scan for open quotes.
     """
-    raw = (
-        spark.read.schema(POST_CSV)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    if multi_line:
+        raw = read_csv_records(spark, path, POST_CSV)
+    else:
+        raw = (
+            spark.read.schema(POST_CSV)
+            .option("header", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .csv(path)
+        )
     ids = F.filter(F.split("response_tweet_id", r"\s*,\s*"), lambda x: x != "")
     return normalise_ids(raw, "in_response_to_tweet_id").select(
         "tweet_id",

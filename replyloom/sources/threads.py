@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from replyloom.schemas import TAXONOMY, THREAD
+from replyloom.sources.split_records import read_json_elements
 
 
 def read_threads(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
@@ -20,9 +21,8 @@ def read_threads(spark: SparkSession, path: str, max_rows: int | None = None) ->
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """File holding one JSON array of objects. Such a file cannot be split: keep it for reports
-    and rule tables, and turn large ones into JSON lines once."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files holding one JSON array of objects each; large ones are read by many tasks."""
+    return read_json_elements(spark, path, schema)
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -70,12 +70,7 @@ def convert_json_to_jsonl(
 
     All rows are written, or the first ``cap`` in the given order.
     """
-    rows = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(source)
-    )
+    rows = read_json_elements(spark, source, schema)
     if cap is not None:
         rows = rows.orderBy(*order).limit(cap)
     rows.write.mode("overwrite").json(target)
