@@ -2,161 +2,87 @@
 
 A point is a core point when enough points, itself included, lie within ``eps``. Core points within
 ``eps`` of each other share a cluster, everything else is noise. This is what clustering by mutual
-reachability gives when it is cut at ``eps``.
+reachability gives when it is cut at ``eps``; ``hierarchy.py`` has all levels.
 
-Exact copies are merged into one weighted point first. Points meet on a grid: every point has one
-home cell and is a guest of each cell it may have a neighbour in. Cells are cut into blocks of
-bounded size, so a crowded cell is spread over many tasks. A block is compared with vector
-arithmetic and gives back one row per point (its neighbour count, or an edge of a spanning forest),
-never the pairs themselves.
+Exact copies are merged into one weighted point first. Points meet through the pivot index of
+``metric_index.py``, which compares a point only with cells that may hold a neighbour. A compared
+group gives back one row per point (its neighbour count, or an edge of a spanning forest), never
+the pairs themselves.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.operators.clusters import NOISE
-from replyloom.operators.components import connected_components
+from replyloom.operators.components import components_of, least_members
+from replyloom.operators.metric_index import MetricIndex, build_index, matrix, near_pairs, search, with_pieces
 from replyloom.runtime import materialize, running_sums, salted_join
 
-#: points per side of a compared block
-BLOCK = 1000
-#: the grid is refined while a cell holds more blocks than this, up to MAX_GRID coordinates
-CELL_BLOCKS = 50
-MAX_GRID = 6
-_ROWS = "pid long, weight long, home boolean, v array<double>, block string"
-
-
-def _grid_dimensions(points: DataFrame, eps: float) -> list[int]:
-    """Coordinates of the grid: those of largest variance, as many as keep every cell small.
 
-    Each further coordinate doubles the guest copies, so the grid stops growing at the first
-    size whose fullest cell holds at most ``CELL_BLOCKS`` blocks.
-    """
-    variance = (
-        points.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s"))
+def distinct_points(vectors: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors (id, v), and each different one with its least id and number of copies."""
+    plain = materialize(
+        vectors.select(id_col, F.transform(vector, lambda x: x.cast("double")).alias("v")), "vectors"
     )
-    widest = [r["i"] for r in variance.orderBy(F.desc("s"), "i").limit(MAX_GRID).collect()]
-    for n in range(2, len(widest)):
-        cells = points.groupBy(_home_cell(widest[:n], eps)).count()
-        if (cells.agg(F.max("count")).first()[0] or 0) <= CELL_BLOCKS * BLOCK:
-            return widest[:n]
-    return widest
-
+    points = plain.groupBy("v").agg(
+        F.min(id_col).cast("long").alias("pid"), F.count(F.lit(1)).alias("weight")
+    )
+    return plain, materialize(points, "points")
 
-def _cell(x: Column, eps: float) -> Column:
-    return F.floor(x / F.lit(2.0 * eps)).cast("long")
 
+def _sides(members: pa.Table, sent: pa.Table):
+    a, b = matrix(sent.column("v")), matrix(members.column("v"))
+    return near_pairs(a, b, sent.column("reach").to_numpy())
 
-def _home_cell(dims: list[int], eps: float) -> Column:
-    return F.array(*[_cell(F.col("v")[i], eps) for i in dims])
 
+def core_points(index: MetricIndex, min_samples: int, eps: float, report: bool = False) -> tuple[DataFrame, int]:
+    """Points (pid, v, weight, cell) with at least ``min_samples`` points within eps, itself
+    included, and the number of pairs compared (if asked to ``report`` it)."""
+    points = with_pieces(index, index.points)
+    asked = points.withColumn("reach", F.lit(float(eps)))
 
-def _blocks(points: DataFrame, dims: list[int], eps: float) -> DataFrame:
-    """Home and guest copies of all points with the block each copy is compared in."""
-    def extended(cells: Column, i: int) -> Column:
-        x = F.col("v")[i]
-        reached = F.array_distinct(F.array(_cell(x - F.lit(eps), eps), _cell(x + F.lit(eps), eps)))
-        return F.flatten(
-            F.transform(
-                cells, lambda c: F.transform(reached, lambda k: F.concat(c, F.array(k)))
-            )
+    def count(members: pa.Table, sent: pa.Table) -> pa.RecordBatch:
+        i, j, _ = _sides(members, sent)
+        n = np.bincount(i, weights=members.column("weight").to_numpy()[j], minlength=sent.num_rows)
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays(
+            [sent.column("pid").combine_chunks().take(pa.array(some)), pa.array(n[some].astype(np.int64))], ["pid", "n"]
         )
 
-    cells = F.array(F.array().cast("array<bigint>"))
-    for i in dims:
-        cells = extended(cells, i)
-    copies = (
-        points.withColumn("_home", _home_cell(dims, eps))
-        .withColumn("_cell", F.explode(cells))
-        .withColumn("home", F.col("_cell") == F.col("_home"))
-        .withColumn("cell", F.array_join(F.col("_cell").cast("array<string>"), ","))
-        .select("pid", "weight", "v", "home", "cell")
-    )
-    sizes = copies.groupBy("cell").agg(
-        F.ceil(F.count_if("home") / F.lit(BLOCK)).cast("int").alias("_homes"),
-        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_guests"),
-    )
-    placed = salted_join(copies, sizes.where(F.col("_homes") > 0), ["cell"], spread=["pid"])
-    chunk = F.xxhash64("pid")
-    as_home = placed.where("home").select(
-        "pid", "weight", "v", F.lit(True).alias("home"), "cell",
-        F.pmod(chunk, F.col("_homes")).alias("_a"),
-        F.explode(F.sequence(F.lit(0), F.col("_guests") - 1)).alias("_b"),
-    )
-    as_guest = placed.select(
-        "pid", "weight", "v", F.lit(False).alias("home"), "cell",
-        F.pmod(chunk, F.col("_guests")).alias("_b"),
-        F.explode(F.sequence(F.lit(0), F.col("_homes") - 1)).alias("_a"),
-    )
-    return as_home.unionByName(as_guest).select(
-        "pid", "weight", "home", "v", F.concat_ws("|", "cell", "_a", "_b").alias("block")
-    )
+    counts, compared = search(index, points, asked, count, "pid long, n long", ["weight"], None, report)
+    dense = counts.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples)
+    return points.join(dense.select("pid"), "pid", "left_semi"), compared
 
 
-def _split(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    home, guest = pdf[pdf["home"]], pdf[~pdf["home"]]
-    if home.empty or guest.empty:
-        return home, guest, np.zeros((len(home), len(guest)))
-    a, b = np.stack(home["v"].to_numpy()), np.stack(guest["v"].to_numpy())
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return home, guest, squares
-
-
-def _near(pdf: pd.DataFrame, eps: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    home, guest, squares = _split(pdf)
-    near = squares <= eps * eps
-    # the expanded square loses digits near the limit: compare those few pairs directly
-    close = np.argwhere(np.abs(squares - eps * eps) <= 1e-9 * (1.0 + eps * eps))
-    if len(close):
-        a, b = np.stack(home["v"].to_numpy()), np.stack(guest["v"].to_numpy())
-        for i, j in close:
-            near[i, j] = math.sqrt(float(((a[i] - b[j]) ** 2).sum())) <= eps
-    return home, guest, near
-
-
-def _forest(home: np.ndarray, guest: np.ndarray, near: np.ndarray) -> pd.DataFrame:
-    """Edges (u, v) that connect what ``near`` connects, at most one per point."""
-    big = np.iinfo(np.int64).max
-    left, right = home.copy(), guest.copy()
-    while True:
-        moved_right = np.minimum(right, np.where(near, left[:, None], big).min(0, initial=big))
-        moved_left = np.minimum(left, np.where(near, moved_right[None, :], big).min(1, initial=big))
-        if (moved_left == left).all() and (moved_right == right).all():
-            break
-        left, right = moved_left, moved_right
-    u, v = np.concatenate([home, guest]), np.concatenate([left, right])
-    return pd.DataFrame({"u": u[u != v], "v": v[u != v]}).drop_duplicates()
-
-
-def core_points(
-    points: DataFrame, dims: list[int], min_samples: int, eps: float
-) -> DataFrame:
-    """Points (pid, v, weight) with at least ``min_samples`` points within eps, itself included."""
+def near_edges(index: MetricIndex, points: DataFrame, eps: float) -> DataFrame:
+    """Edges (u, v) that connect points within eps of each other, as spanning forests of groups."""
+    asked = points.withColumn("reach", F.lit(float(eps)))
+    m = len(index.pivots)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        home, guest, near = _near(pdf, eps)
-        n = near @ guest["weight"].to_numpy() if len(guest) else np.zeros(len(home))
-        return pd.DataFrame({"pid": home["pid"].to_numpy(), "n": np.asarray(n, dtype="int64")})
-
-    counts = _blocks(points, dims, eps).groupBy("block").applyInPandas(count, "pid long, n long")
-    dense = counts.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples)
-    return points.join(dense.select("pid"), "pid", "left_semi")
+    def below(batch: pa.RecordBatch) -> np.ndarray:  # each pair of cells meets once
+        return np.arange(m)[None, :] <= batch.column("cell").to_numpy()[:, None]
 
+    def connect(members: pa.Table, sent: pa.Table) -> pa.RecordBatch | None:
+        i, j, _ = _sides(members, sent)
+        u, v = sent.column("pid").to_numpy()[i], members.column("pid").to_numpy()[j]
+        if not len(u):
+            return None
+        nodes, root = least_members(u, v)
+        kept = nodes != root
+        return pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array(root[kept])], ["u", "v"])
 
-def near_edges(points: DataFrame, dims: list[int], eps: float) -> DataFrame:
-    """Edges (u, v) that connect points within eps of each other, as spanning forests of blocks."""
+    return search(index, points, asked, connect, "u long, v long", [], below)[0]
 
-    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        home, guest, near = _near(pdf, eps)
-        return _forest(home["pid"].to_numpy(), guest["pid"].to_numpy(), near)
 
-    return _blocks(points, dims, eps).groupBy("block").applyInPandas(connect, "u long, v long")
+def numbered_clusters(sizes: DataFrame, component: str = "component") -> DataFrame:
+    """(component, label): components numbered from 0 in their order."""
+    return running_sums(sizes.select(component), [F.col(component)], {"_n": F.lit(1).cast("long")}).select(
+        component, (F.col("_n") - 1).cast("int").alias("label")
+    )
 
 
 def density_cluster(
@@ -168,20 +94,13 @@ def density_cluster(
     vector: str = "embedding",
 ) -> DataFrame:
     """(id, label): clusters numbered from 0 by their least member, noise and small ones -1."""
-    plain = materialize(
-        vectors.select(id_col, F.transform(vector, lambda x: x.cast("double")).alias("v")), "vectors"
-    )
-    points = materialize(
-        plain.groupBy("v").agg(
-            F.min(id_col).cast("long").alias("pid"), F.count(F.lit(1)).alias("weight")
-        ),
-        "points",
-    )
-    dims = _grid_dimensions(points, eps)
-    core = materialize(core_points(points, dims, min_samples, eps), "core")
-    edges = materialize(near_edges(core, dims, eps), "edges")
+    plain, points = distinct_points(vectors, id_col, vector)
+    index = build_index(points)
+    core, _ = core_points(index, min_samples, eps)
+    core = materialize(core, "core")
+    edges = materialize(near_edges(index, core, eps), "edges")
     parts = core.select("pid", "weight").join(
-        connected_components(edges).withColumnRenamed("node", "pid"), "pid", "left"
+        components_of(edges).withColumnRenamed("node", "pid"), "pid", "left"
     ).withColumn("component", F.coalesce("component", "pid"))
     parts = materialize(parts, "parts")
     big = (
@@ -189,11 +108,8 @@ def density_cluster(
         .agg(F.sum("weight").alias("members"))
         .where(F.col("members") >= min_cluster_size)
     )
-    numbered = running_sums(
-        big, [F.col("component")], {"_n": F.lit(1).cast("long")}
-    ).select("component", (F.col("_n") - 1).cast("int").alias("label"))
     # a component may hold most points: its one row is copied to the slices of a salted join
-    labels = salted_join(parts, numbered, ["component"], spread=["pid"]).select("pid", "label")
+    labels = salted_join(parts, numbered_clusters(big), ["component"], spread=["pid"]).select("pid", "label")
     named = points.join(labels, "pid", "left").select("v", "label")
     return salted_join(plain, named, ["v"], "left", spread=[id_col]).select(
         id_col, F.coalesce("label", F.lit(NOISE)).alias("label")
