@@ -113,9 +113,12 @@ def roc_curve(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return curve.unionByName(start)
 
 
-def _area(scored: DataFrame, p: str, y: str, kind: str) -> DataFrame:
-    """Trapezoid area. The previous point of a score follows from its own counts, so no
-    ordering of the points is needed beyond the running sums."""
+def areas(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """One row (pr_auc, roc_auc) by trapezoids, from one sort of the scores.
+
+    The previous point of a score follows from its own counts, so no ordering of the points is needed
+    beyond the running sums.
+    """
     by_score = materialize(_by_score(scored, p, y), "scores")
     totals = by_score.agg(
         F.struct(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
@@ -123,19 +126,17 @@ def _area(scored: DataFrame, p: str, y: str, kind: str) -> DataFrame:
     all_rows = totals.scalar()
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
-    if kind == "roc":
-        slab = (fp - fp0) * (tp + tp0) / F.lit(2.0) / all_rows["n"] / all_rows["p"]
-    else:
-        before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
-        slab = (tp - tp0) / all_rows["p"] * (tp / (tp + fp) + before) / F.lit(2.0)
-    return by_score.agg(F.sum(slab).alias(f"{kind}_auc"))
+    roc = (fp - fp0) * (tp + tp0) / F.lit(2.0) / all_rows["n"] / all_rows["p"]
+    before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
+    pr = (tp - tp0) / all_rows["p"] * (tp / (tp + fp) + before) / F.lit(2.0)
+    return by_score.agg(F.sum(pr).alias("pr_auc"), F.sum(roc).alias("roc_auc"))
 
 
 def pr_auc(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """Area under the precision-recall curve by trapezoids."""
-    return _area(scored, p, y, "pr")
+    return areas(scored, p, y).select("pr_auc")
 
 
 def roc_auc(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """Area under the ROC curve by trapezoids."""
-    return _area(scored, p, y, "roc")
+    return areas(scored, p, y).select("roc_auc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +15,16 @@ from replyloom.runtime import materialize
 
 @dataclass(frozen=True)
 class LsaModel:
-    """Right singular vectors (features x k) and singular values, falling."""
+    """Right singular vectors (features x k) and singular values, falling.
+
+    ``residuals`` bound the errors: a squared singular value lies within the residual of each.
+    ``converged`` tells whether all are below the tolerance.
+    """
 
     components: tuple[tuple[float, ...], ...]
     singular_values: tuple[float, ...]
+    residuals: tuple[float, ...] = ()
+    converged: bool = False
 
     def transform(self, vectors: DataFrame, vector: str = "vector", output: str = "lsa"):
         """Adds U * sigma = X * V as an array. Map-only: V has features x k entries.
@@ -40,72 +46,98 @@ class LsaModel:
         return table.withColumn(output, projected).drop("_v")
 
 
+#: Terms multiplied at once inside a task.
+CHUNK_TERMS = 50_000
+
+
 def _gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """X^T (X Q) in one pass: every task sums its rows into a features x columns matrix, and
     Spark adds up the matrices row by row."""
     width, columns = q.shape
+    shared = rows.sparkSession.sparkContext.broadcast(q)  # features x columns
 
     def partial(batches):
+        q = shared.value
         total = np.zeros((width, columns))
         for batch in batches:
-            lengths = batch["indices"].map(len).to_numpy()
-            if not lengths.sum():
-                continue
-            position = np.concatenate(batch["indices"].to_numpy()).astype("int64")
-            weight = np.concatenate(batch["values"].to_numpy())[:, None]
-            text = np.repeat(np.arange(len(batch)), lengths)
-            projected = np.zeros((len(batch), columns))
-            np.add.at(projected, text, weight * q[position])
-            np.add.at(total, position, weight * projected[text])
+            offsets = batch.column("indices").offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            position, weight = (batch.column(c).flatten().to_numpy() for c in ("indices", "values"))
+            offsets = offsets[np.append(True, np.diff(offsets) > 0)]  # rows without terms add nothing
+            row = 0
+            while row + 1 < len(offsets):
+                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_TERMS, "right")) - 1)
+                t = slice(offsets[row], offsets[end])
+                starts = offsets[row:end] - offsets[row]
+                w = weight[t][:, None]
+                projected = np.add.reduceat(w * q[position[t]], starts, axis=0)
+                text = np.repeat(np.arange(end - row), np.diff(offsets[row : end + 1]))
+                order = np.argsort(position[t], kind="stable")
+                held = position[t][order]
+                first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+                total[held[first]] += np.add.reduceat((w * projected[text])[order], first, axis=0)
+                row = end
         used = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"position": used.astype("int32"), "z": list(total[used])})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), *(pa.array(total[used, j]) for j in range(columns))],
+            ["position", *(f"z{j}" for j in range(columns))],
+        )
 
+    names = [f"z{j}" for j in range(columns)]
     summed = (
-        rows.mapInPandas(partial, "position int, z array<double>")
+        rows.mapInArrow(partial, ", ".join(["position int", *(f"{z} double" for z in names)]))
         .groupBy("position")
-        .agg(*[F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(columns)])
-        .collect()  # at most one short row per feature
+        .agg(*[F.sum(z).alias(z) for z in names])
+        .toArrow()  # at most one short row per feature
     )
     out = np.zeros((width, columns))
-    for r in summed:
-        out[r[0]] = r[1:]
+    out[summed.column("position").to_numpy()] = np.stack([summed.column(z).to_numpy() for z in names], axis=1)
     return out
 
 
 def lsa_fit(
-    vectors: DataFrame, width: int, k: int = 64, vector: str = "vector", passes: int = 6,
-    oversample: int = 10, seed: int = 42, tolerance: float = 5e-3, most: int = 60,
+    vectors: DataFrame, width: int, k: int = 64, vector: str = "vector", oversample: int = 10,
+    seed: int = 42, tolerance: float = 1e-3, most: int = 16,
 ) -> LsaModel:
-    """Truncated SVD by randomised subspace iteration (Halko, Martinsson and Tropp, 2011).
+    """Truncated SVD by block Lanczos steps on X^T X with full orthogonalisation.
 
-    Scans the sparse vectors at least ``passes`` times and until the k-th value changes by less than
-    ``tolerance`` of itself (at most ``most`` times); the driver and each task hold width x (k + oversample) numbers, where
-    width is the vocabulary size.
+    Every step is one scan of the sparse vectors; the basis of all steps gives the best approximations so
+    far, and the norm of A v - value v bounds their errors. Steps end when all k residuals are below
+    ``tolerance`` of the largest value, when the basis spans everything, or after ``most``, which
+    ``converged`` tells. The driver holds 2 x width x (k + oversample) x steps numbers, where width is the
+    vocabulary size; each task holds width x (k + oversample).
     """
-    raw = F.unwrap_udt(F.col(vector))
+    plain = vectors.schema[vector].dataType.typeName() == "struct"  # (indices, values)
+    raw = F.col(vector) if plain else F.unwrap_udt(F.col(vector))
     rows = materialize(
         vectors.select(raw["indices"].alias("indices"), raw["values"].alias("values")), "lsa"
     )
     columns = min(k + oversample, width)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, columns)))[0]
-    last = 0.0
-    for i in range(most - 1):
-        q, r = np.linalg.qr(_gram_product(rows, q))
-        # the diagonal of R tends to the squared singular values
-        found = np.sort(np.abs(np.diag(r)))[::-1]
-        kth = float(found[min(k, columns) - 1])
-        if i + 2 >= passes and abs(kth - last) <= tolerance * max(kth, 1e-300):
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, columns)))[0]
+    basis, image = np.zeros((width, 0)), np.zeros((width, 0))
+    for _ in range(most):
+        product = _gram_product(rows, block)
+        basis, image = np.hstack([basis, block]), np.hstack([image, product])
+        small = basis.T @ image
+        values, rotation = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:k]
+        values, rotation = values[order], rotation[:, order]
+        v = basis @ rotation
+        residuals = np.linalg.norm(image @ rotation - v * values, axis=0)
+        top = max(float(values.max(initial=0.0)), 1e-300)
+        converged = bool((residuals <= tolerance * top).all())
+        left = product - basis @ (basis.T @ product)
+        left -= basis @ (basis.T @ left)
+        q, r = np.linalg.qr(left)
+        block = q[:, np.abs(np.diag(r)) > 1e-10 * top][:, : width - basis.shape[1]]
+        if converged or not block.shape[1]:
             break
-        last = kth
-    # Q^T X^T X Q, whose eigenpairs give the squared singular values and the rotation of Q
-    small = q.T @ _gram_product(rows, q)
-    values, rotation = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(values)[::-1][:k]
-    order = order[values[order] > 1e-12 * max(values.max(), 1e-300)]
-    v = q @ rotation[:, order]
+    kept = values > 1e-12 * top
     return LsaModel(
-        tuple(tuple(float(x) for x in r) for r in v),
-        tuple(float(np.sqrt(x)) for x in values[order]),
+        tuple(tuple(float(x) for x in row) for row in v[:, kept]),
+        tuple(float(np.sqrt(x)) for x in values[kept]),
+        tuple(float(x) for x in residuals[kept]),
+        converged or not block.shape[1],
     )
 
 

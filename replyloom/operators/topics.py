@@ -1,9 +1,10 @@
-"""Topic model: non-negative factorisation of sparse term weights by multiplicative updates.
+"""Topic model: non-negative factorisation of sparse term weights, alternating least squares.
 
-Each text keeps its few terms and its k topic weights in one row. The topic table H has
-k x vocabulary numbers, bounded by the vocabulary size, and is broadcast. A round updates the texts in
-batches (map-only), and the sums for H are combined per task before the shuffle, so a round moves at
-most vocabulary x k numbers per task.
+With the topic table H given, the topic weights of a text solve a small non-negative least squares
+problem of their own; with all of them given, H follows from two sums over the texts, W^T X and W^T W. So
+a round is one scan of the written terms: every task solves for its texts by coordinate descent, adds up
+both sums, and forgets the weights. H has k x vocabulary numbers, bounded by the vocabulary
+size; it is broadcast, and solved for on the driver by coordinate descent as well.
 """
 
 from __future__ import annotations
@@ -16,65 +17,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from replyloom.operators.tfidf import TfidfModel, entries
+from replyloom.operators.tfidf import TfidfModel
 from replyloom.runtime import materialize
 
 _TINY = 1e-12
+#: Sweeps of coordinate descent at most, and the change at which a sweep is the last one.
+SWEEPS, STILL = 200, 1e-6
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """``texts`` has (keys, topics array<double>); ``topics`` is k x vocabulary."""
+    """``texts`` has (keys, topics array<double>); ``topics`` is k x vocabulary.
+
+    ``violation`` is the sum of the projected gradient of H over that of the first round.
+    """
 
     texts: DataFrame
     topics: np.ndarray
     losses: tuple[float, ...]
     converged: bool = False
+    violation: float = 1.0
+
+
+def non_negative(gram: np.ndarray, goal: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Least squares min x G x / 2 - g x with x >= 0 for every row of ``goal``, by coordinate descent."""
+    x = x.copy()
+    step = np.maximum(np.diag(gram), _TINY)
+    open_rows = np.arange(len(x))
+    for _ in range(SWEEPS):
+        own, target = x[open_rows], goal[open_rows]
+        moved = np.zeros(len(own))
+        for j in range(len(gram)):
+            new = np.maximum(0.0, own[:, j] - (own @ gram[:, j] - target[:, j]) / step[j])
+            moved = np.maximum(moved, np.abs(new - own[:, j]))
+            own[:, j] = new
+        x[open_rows] = own
+        open_rows = open_rows[moved > STILL * np.maximum(own.max(axis=1), _TINY)]
+        if not len(open_rows):
+            break
+    return x
 
 
-def _batch(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Topic weights (rows x k), and row, position and weight of every term of a batch."""
-    terms = {c: batch.column(c) for c in ("_positions", "_weights")}
-    lengths = np.diff(terms["_positions"].offsets.to_numpy())
+def _texts(batch: pa.RecordBatch, h: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Topic weights of a batch (rows x k), and row, position and weight of its terms."""
+    lengths = np.diff(batch.column("_positions").offsets.to_numpy())
     row = np.repeat(np.arange(batch.num_rows), lengths)
-    w = batch.column("topics").flatten().to_numpy().reshape(-1, k)
-    return w, row, *(c.flatten().to_numpy() for c in terms.values())
-
+    position, weight = (batch.column(c).flatten().to_numpy() for c in ("_positions", "_weights"))
+    goal = np.stack([np.bincount(row, weights=weight * t[position], minlength=batch.num_rows) for t in h], axis=1)
+    return non_negative(gram, goal, goal / np.maximum(np.diag(gram), _TINY)), row, position, weight
 
-def _update_texts(df: DataFrame, h: np.ndarray, k: int) -> DataFrame:
-    """W <- W * (X H^T) / (W H H^T), a batch of texts at a time."""
-    table = df.sparkSession.sparkContext.broadcast(h)  # k x vocabulary
 
-    def work(batches):
-        h = table.value
-        square = h @ h.T
-        for batch in batches:
-            w, row, position, weight = _batch(batch, k)
-            up = np.stack(
-                [np.bincount(row, weights=weight * h[j, position], minlength=len(w)) for j in range(k)], axis=1
-            )
-            w = w * up / np.maximum(w @ square, _TINY)
-            at = batch.schema.get_field_index("topics")
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(w) + 1, dtype=np.int32) * k), pa.array(w.ravel())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [lists if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names
-            )
-
-    return df.mapInArrow(work, df.schema)
-
-
-def _sums(df: DataFrame, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _sums(terms: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """W^T X (k x vocabulary) and W^T W (k x k): both bounded, so they may reach the driver.
 
     A task adds up its own texts and hands on one row per column of the two products.
     """
+    k, width = h.shape
+    table = terms.sparkSession.sparkContext.broadcast(h)
 
     def work(batches):
+        h = table.value
+        gram = h @ h.T
         both = np.zeros((k, width + k))
         for batch in batches:
-            w, row, position, weight = _batch(batch, k)
+            w, row, position, weight = _texts(batch, h, gram)
             for j in range(k):
                 both[j, :width] += np.bincount(position, weights=weight * w[row, j], minlength=width)
             both[:, width:] += w.T @ w
@@ -84,65 +90,74 @@ def _sums(df: DataFrame, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
             ["position", *(f"s{j}" for j in range(k))],
         )
 
-    rows = (
-        df.select("topics", "_positions", "_weights")
+    found = (
+        terms.select("_positions", "_weights")
         .mapInArrow(work, ", ".join(["position long", *(f"s{j} double" for j in range(k))]))
         .groupBy("position")
         .agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
-        .collect()
+        .toArrow()
     )
     both = np.zeros((k, width + k))
-    for r in rows:
-        both[:, r["position"]] = [r[f"s{j}"] for j in range(k)]
+    both[:, found.column("position").to_numpy()] = np.stack([found.column(f"s{j}").to_numpy() for j in range(k)])
     return both[:, :width], both[:, width:]
 
 
+def _weighted(terms: DataFrame, keys: list[str], h: np.ndarray) -> DataFrame:
+    """(keys, topics): the weights of all texts for the final topics."""
+    table = terms.sparkSession.sparkContext.broadcast(h)
+    k = len(h)
+
+    def work(batches):
+        h = table.value
+        gram = h @ h.T
+        for batch in batches:
+            w = _texts(batch, h, gram)[0]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * k), pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), lists], [*keys, "topics"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in terms.dtypes if c in keys)
+    return terms.mapInArrow(work, f"{schema}, topics array<double>")
+
+
 def nmf(
     vectors: DataFrame, keys: list[str], width: int, k: int = 8, rounds: int = 200, seed: int = 42,
     vector: str = "vector", tolerance: float = 1e-4,
 ) -> TopicModel:
     """Factorise the non-negative sparse vectors into k topics.
 
-    Texts start from a digest of their key and topics from a seeded generator, so the start is
-    the same on any partitioning. The squared loss
-    follows from the sums of each round and never rises; the fit has converged when it falls by less
-    than ``tolerance`` of its first value, which ``converged`` of the model tells.
+    Topics start from a seeded generator. The squared loss follows from the sums of each round and never
+    rises. The fit has converged when the projected gradient falls below ``tolerance`` of that of the first round, or
+    the loss stands still; the weights of the texts are optimal for their topics at any time.
     """
     rng = np.random.default_rng(seed)
-    terms = entries(vector)
-    start = materialize(
-        vectors.select(
-            *keys,
-            F.transform(terms, lambda e: e["position"].cast("int")).alias("_positions"),
-            F.transform(terms, lambda e: e["weight"]).alias("_weights"),
-        ),
-        "terms",
+    raw = F.unwrap_udt(F.col(vector))
+    terms = materialize(
+        vectors.select(*keys, raw["indices"].alias("_positions"), raw["values"].alias("_weights")), "terms"
     )
     square = F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x * x)
-    stats = start.agg(
+    stats = terms.agg(
         F.sum(square).alias("total"),
         F.sum(F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x)).alias("mass"),
         F.count(F.lit(1)).alias("n"),
     ).first()
+    total = stats["total"] or 0.0
     scale = float(np.sqrt(max(stats["mass"] or 0.0, _TINY) / max(stats["n"], 1) / width / k))
     h = scale * (0.5 + rng.random((k, width)))
-    noise = [
-        F.lit(scale) * (F.lit(0.5) + F.pmod(F.xxhash64(*keys, F.lit(seed + j)), F.lit(10007)) / 10007.0)
-        for j in range(k)
-    ]
-    state = start.withColumn("topics", F.array(*noise))
     losses: list[float] = []
-    converged = False
+    first, violation, converged = None, 1.0, False
     for _ in range(rounds):
-        state = materialize(_update_texts(state, h, k), "topics")
-        wtx, wtw = _sums(state, k, width)
-        h = h * wtx / np.maximum(wtw @ h, _TINY)
-        loss = float(stats["total"] - 2 * np.sum(wtx * h) + np.sum((wtw @ h) * h))
-        losses.append(loss)
-        if len(losses) > 1 and losses[-2] - loss <= tolerance * abs(losses[0]):
+        wtx, wtw = _sums(terms, h)
+        losses.append(float(total - 2 * np.sum(wtx * h) + np.sum((wtw @ h) * h)))
+        gradient = wtw @ h - wtx
+        projected = float(np.abs(np.where(h > 0, gradient, np.minimum(gradient, 0))).sum())
+        first = projected if first is None else first
+        violation = projected / max(first, _TINY)
+        still = len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * 0.01 * abs(losses[-1])
+        if violation <= tolerance or still:
             converged = True
             break
-    return TopicModel(state.select(*keys, "topics"), h, tuple(losses), converged)
+        h = non_negative(wtw, wtx.T, h.T).T
+    return TopicModel(_weighted(terms, keys, h), h, tuple(losses), converged, violation)
 
 
 def strongest_topic(texts: DataFrame, topics: str = "topics") -> DataFrame:

@@ -189,8 +189,16 @@ def system_full(
         .withColumn("p", F.col("_probabilities")[1])
         .drop("_probabilities")
     )
+    return answer_scored(scored, kb, retriever, tau, rules, group, k)
+
+
+def answer_scored(
+    scored: DataFrame, kb: DataFrame, retriever: TfidfModel, tau: float,
+    rules: Rules = D.GUARDRAIL, group: int = 0, k: int = 2,
+) -> DataFrame:
+    """The full system for queries (query_id, text, p) whose probability is known."""
     routed = route(scored, tau, rules=rules, group=group).drop("p")
-    hits = retrieve(retriever, queries.select("query_id", "text"), kb, k)
+    hits = retrieve(retriever, scored.select("query_id", "text"), kb, k)
     return full_answers(routed, hits, kb)
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from replyloom import fixtures as X
 from replyloom.operators import clusters as K
 from replyloom.operators import tfidf as V
-from replyloom.operators.density import density_cluster
+from replyloom.operators.density import density_cluster, distinct_points
+from replyloom.operators.hierarchy import hierarchical_clusters, spanning_tree
 from replyloom.operators.lsa import explained_variance_ratio, lsa_fit
+from replyloom.operators.metric_index import build_index
 from replyloom.operators.retrieval import compare_retrieval, cosine_join, retrieve
-from replyloom.operators.topics import (
-    TopicModel, nmf, strongest_topic, topic_keywords, topic_shares,
-)
+from replyloom.operators.topics import nmf, strongest_topic, topic_keywords, topic_shares
 from replyloom.plans import escalation as E
 from replyloom.plans import systems as Y
 from replyloom.registry.common import GUARD
@@ -108,7 +108,7 @@ def _cosines(s, d):
     model, kb = _retriever(s, d)
     q = V.long_weights(model.transform(questions(s, d), "text"), ["query_id"])
     k = V.long_weights(model.transform(kb, "customer_inquiry"), ["kb_id"])
-    pairs = cosine_join(q, k)
+    pairs = cosine_join(q, k, 0.1)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -170,6 +170,83 @@ SELECT vec_id, coalesce(label, -1) AS label FROM p LEFT JOIN part ON u = vec_id
 LEFT JOIN big USING (component)"""
 
 
+LEVELS = {"min_cluster_size": 4, "min_samples": 2}
+
+
+def _tree(s, d):
+    """Weights of the spanning tree; ties may pick other edges, but never other weights."""
+    _, points = distinct_points(X.table(s, d, "embeddings"), "vec_id", "embedding")
+    tree, _ = spanning_tree(build_index(points), LEVELS["min_samples"])
+    return tree.groupBy(F.round("w", 6).alias("w")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+def _hierarchy(s, d):
+    return hierarchical_clusters(X.table(s, d, "embeddings"), eps=0.0, **LEVELS)
+
+
+#: Prim's algorithm: a row holds the distance of every point to the tree so far.
+SQL_TREE = f"""p AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::double[] AS e FROM embeddings),
+dist AS MATERIALIZED (SELECT x.i, y.i AS j, list_distance(x.e, y.e) AS d FROM p x, p y),
+core AS MATERIALIZED (SELECT i, d AS core FROM (
+  SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM dist) WHERE r = {LEVELS['min_samples']}),
+reach AS MATERIALIZED (SELECT a.i, list(greatest(d, a.core, b.core) ORDER BY j) AS m FROM dist
+  JOIN core a ON a.i = dist.i JOIN core b ON b.i = j GROUP BY a.i),
+prim AS (
+  SELECT 1::bigint AS n, 1::bigint AS added, 1::bigint AS source, 0.0::double AS w,
+    list_transform(m, lambda x, k: CASE WHEN k = 1 THEN 1e300 ELSE x END) AS best,
+    list_transform(m, lambda x: 1::bigint) AS near, [1::bigint] AS inside FROM reach WHERE i = 1
+  UNION ALL
+  SELECT n + 1, c.at, near[c.at], best[c.at],
+    list_transform(best, lambda x, k: CASE WHEN k = c.at OR list_contains(inside, k) THEN 1e300 ELSE least(x, r.m[k]) END),
+    list_transform(near, lambda x, k: CASE WHEN r.m[k] < best[k] THEN c.at ELSE x END), list_append(inside, c.at)
+  FROM (SELECT *, list_position(best, list_min(best))::bigint AS at FROM prim) c JOIN reach r ON r.i = c.at
+  WHERE n < (SELECT count(*) FROM p)),
+tree AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY w, least(added, source), greatest(added, source)) AS k,
+    least(added, source) AS lo, greatest(added, source) AS hi, w FROM prim WHERE n > 1)"""
+
+#: Merges along the tree: a row holds the component of each point, and for each component (named by
+#: a point) its size, its cluster (0: none) and the sums of its stability; and the cluster that each
+#: point fell out of.
+SQL_HIERARCHY = f"""WITH RECURSIVE {SQL_TREE},
+m AS (
+  SELECT 0::bigint AS k, (SELECT list(i ORDER BY i) FROM p) AS comp, (SELECT list(1::bigint) FROM p) AS size,
+    (SELECT list(0::bigint) FROM p) AS cl, (SELECT list(0.0::double) FROM p) AS fell, (SELECT list(0.0::double) FROM p) AS below,
+    (SELECT list(0::bigint) FROM p) AS entry, []::struct(id bigint, parent bigint, stability double, below double)[] AS ended
+  UNION ALL
+  SELECT t_k, list_transform(comp, lambda c: CASE WHEN c = b THEN a ELSE c END),
+    list_transform(size, lambda x, i: CASE WHEN i = a THEN sa + sb ELSE x END),
+    list_transform(cl, lambda x, i: CASE WHEN i = a THEN now ELSE x END),
+    list_transform(fell, lambda x, i: CASE WHEN i <> a THEN x WHEN ca > 0 AND cb > 0 THEN (sa + sb) / w
+      WHEN ca > 0 THEN fa + sb / w WHEN cb > 0 THEN fb + sa / w WHEN now > 0 THEN (sa + sb) / w ELSE 0 END),
+    list_transform(below, lambda x, i: CASE WHEN i <> a THEN x
+      WHEN ca > 0 AND cb > 0 THEN greatest(fa - sa / w, ba) + greatest(fb - sb / w, bb)
+      WHEN ca > 0 THEN ba WHEN cb > 0 THEN bb ELSE 0 END),
+    CASE WHEN now = 0 OR (ca > 0 AND cb > 0) THEN entry
+      ELSE list_transform(entry, lambda x, i: CASE WHEN x = 0 AND (comp[i] = a OR comp[i] = b) THEN now ELSE x END) END,
+    CASE WHEN ca > 0 AND cb > 0 THEN list_concat(ended, [
+      {{'id': ca, 'parent': now, 'stability': fa - sa / w, 'below': ba}},
+      {{'id': cb, 'parent': now, 'stability': fb - sb / w, 'below': bb}}]) ELSE ended END
+  FROM (
+    SELECT *, CASE WHEN ca > 0 AND cb > 0 THEN t_k WHEN ca > 0 THEN ca WHEN cb > 0 THEN cb
+      WHEN sa + sb >= {LEVELS['min_cluster_size']} THEN t_k ELSE 0 END AS now
+    FROM (
+      SELECT *, size[a] AS sa, size[b] AS sb, cl[a] AS ca, cl[b] AS cb, fell[a] AS fa, fell[b] AS fb,
+        below[a] AS ba, below[b] AS bb
+      FROM (SELECT m.*, tree.k AS t_k, tree.w, comp[tree.lo] AS a, comp[tree.hi] AS b FROM m JOIN tree ON tree.k = m.k + 1)))),
+last AS MATERIALIZED (SELECT * FROM m ORDER BY k DESC LIMIT 1),
+ended AS MATERIALIZED (
+  SELECT e.id, e.parent, e.stability >= e.below AS good FROM (SELECT unnest(ended) AS e FROM last)),
+up AS (SELECT id, id AS spot, good, 0 AS n FROM ended UNION ALL
+  SELECT up.id, e.id, e.good, n + 1 FROM up JOIN ended x ON x.id = up.spot JOIN ended e ON e.id = x.parent),
+top AS (SELECT id, arg_max(spot, n) AS top FROM up WHERE good GROUP BY id),
+placed AS (SELECT vec_id, top FROM (
+  SELECT unnest(entry) AS id, unnest(range(1, len(entry) + 1)) AS i FROM last) JOIN p USING (i) JOIN top USING (id)),
+named AS (SELECT top, row_number() OVER (ORDER BY min(vec_id)) - 1 AS label FROM placed GROUP BY top)
+SELECT vec_id, coalesce(label, -1)::int AS label FROM p LEFT JOIN placed USING (vec_id) LEFT JOIN named USING (top)"""
+
+
 def _lsa(s, d):
     docs = X.table(s, d, "documents").select("doc_id", "text")
     model = V.tfidf_fit(docs, "text", CLUSTER)
@@ -191,17 +268,34 @@ def _topic_model(s, d):
 
 
 def _keywords(s, d):
-    """Keywords of given topics: one for each language, the summed weights of its documents."""
-    docs = X.table(s, d, "documents").select("doc_id", "text", "lang")
-    tfidf = V.tfidf_fit(docs, "text", CONFIG)
-    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
-    position = {t: i for i, t in enumerate(tfidf.vocabulary)}
-    h = np.zeros((len(langs), len(position)))
-    weights = V.tfidf_weights(tfidf, docs, ["lang"], "text").groupBy("lang", "term").agg(F.sum("weight"))
-    for lang, term, weight in weights.collect():  # languages x vocabulary
-        h[langs.index(lang), position[term]] = round(weight, 6)
-    found = topic_keywords(TopicModel(docs, h, ()), tfidf, 12)
-    return found.select("topic_id", "rank", "term")
+    """Keywords of the fitted topics."""
+    return topic_keywords(*_topic_model(s, d), 12)
+
+
+def _topic_fit(s, d):
+    """How far the fitted topics are from an optimum, and what is known of them without a fit."""
+    model, tfidf = _topic_model(s, d)
+    counted = topic_shares(model.texts).agg(F.sum("dominant_inquiries").alias("texts"))
+    return counted.select(
+        "texts", F.lit(len(tfidf.vocabulary)).cast("long").alias("terms"), F.lit(model.converged).alias("converged"),
+        F.lit(bool((model.topics >= 0).all())).alias("non_negative"),
+        F.lit(all(b <= a * (1 + 1e-9) for a, b in zip(model.losses, model.losses[1:]))).alias("falling"),
+    )
+
+
+def _lsa_moments(s, d):
+    """Sums of the powers of all singular values of the embeddings."""
+    width = 64
+    x = F.col("embedding").cast("array<double>")
+    vectors = X.table(s, d, "embeddings").select(
+        F.struct(F.sequence(F.lit(0), F.lit(width - 1)).alias("indices"), x.alias("values")).alias("vector")
+    )
+    model = lsa_fit(vectors, width, width)
+    values = np.array(model.singular_values) ** 2
+    return s.createDataFrame(
+        [(round(float(values.sum()), 3), round(float((values**2).sum()), 2), model.converged)],
+        "squares double, fourths double, converged boolean",
+    )
 
 
 def _topics(s, d):
@@ -232,6 +326,17 @@ def _escalation(s, d):
     return E.calibrate(_model_gold(s, d), rules=GUARD[:1], group=2, config=config)[1]
 
 
+def _escalation_fit(s, d):
+    """Whether the fitted classifier is at its optimum, and what is known of it without a fit."""
+    config = V.TfidfConfig(2500, True, 1, 1.0, STOP)
+    gold = _model_gold(s, d)
+    model = E.fit_escalation(gold, config=config)
+    return gold.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("y") == 1).alias("positive"),
+        F.lit(len(model.tfidf.vocabulary)).cast("long").alias("terms"), F.lit(model.violation < 1e-3).alias("optimal"),
+    )
+
+
 CLASSES = (("FRENCH", ("FR",)), ("GERMAN", ("DE",)), ("SPANISH", ("ES",)))
 
 
@@ -304,7 +409,8 @@ ENTRIES = {
     ),
     "cosine_join": (
         _cosines,
-        f"WITH {SQL_RETRIEVAL} SELECT query_id, kb_id, round(sim, 6) AS similarity FROM sims",
+        f"WITH {SQL_RETRIEVAL} SELECT query_id, kb_id, round(sim, 6) AS similarity FROM sims "
+        "WHERE sim >= 0.1",
     ),
     "retrieve_naive": (
         _retrieve("naive", 3), f"WITH {SQL_RETRIEVAL} " + sql_hits("naive", 3)
@@ -362,6 +468,11 @@ SELECT label, members,
 FROM n""",
     ),
     "density_cluster": (_density, SQL_DENSITY),
+    "spanning_tree": (
+        _tree,
+        f"WITH RECURSIVE {SQL_TREE} SELECT round(w, 6) AS w, count(*) AS edges FROM tree GROUP BY ALL",
+    ),
+    "hierarchy_cluster": (_hierarchy, SQL_HIERARCHY),
     "strongest_topic": (
         _strongest,
         "SELECT vec_id, list_position(t, list_max(t))::int - 1 AS topic_id FROM "
@@ -387,15 +498,24 @@ SELECT doc_id AS query_id, esc AS escalate_to_human, CASE WHEN esc THEN '{Y.D.DI
     # no SQL equivalent: iterative models and what is built on their output
     "lsa": (_lsa, None),
     "nmf_topics": (_topics, None),
-    "topic_keywords": (
-        _keywords,
-        f"""WITH {sql_tfidf('documents', 'doc_id', 'text', 2500, 3)},
-h AS (SELECT lang, term, round(sum(weight), 6) AS w FROM wts JOIN documents USING (doc_id) GROUP BY ALL),
-grid AS (SELECT l.lang, v.term, coalesce(h.w, 0) AS w FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN voc v
-  LEFT JOIN h ON h.lang = l.lang AND h.term = v.term)
-SELECT (dense_rank() OVER (ORDER BY lang) - 1)::int AS topic_id, rank, term FROM (
-  SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY w DESC, term)::int AS rank FROM grid)
-WHERE rank <= 12""",
+    "topic_keywords": (_keywords, None),
+    "topic_fit": (
+        _topic_fit,
+        f"WITH {sql_tfidf('documents', 'doc_id', 'text', TOPICS.max_features, TOPICS.min_df, TOPICS.max_df)} "
+        "SELECT (SELECT count(*) FROM documents) AS texts, count(*) AS terms, true AS converged, true AS non_negative, "
+        "true AS falling FROM voc",
+    ),
+    "lsa_moments": (
+        _lsa_moments,
+        "WITH e AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::double[]) AS x FROM embeddings), "
+        "g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM e a JOIN e b USING (vec_id) GROUP BY ALL) "
+        "SELECT round(sum(g) FILTER (i = j), 3) AS squares, round(sum(g * g), 2) AS fourths, true AS converged FROM g",
+    ),
+    "escalation_fit": (
+        _escalation_fit,
+        f"WITH {SQL_GOLD.replace('hashed AS', 'ghashed AS').replace('FROM hashed', 'FROM ghashed')}, "
+        f"{sql_tfidf('gold', 'doc_id', 'text', 2500, 1)} SELECT (SELECT count(*) FROM gold) AS rows, "
+        "(SELECT count(*) FROM gold WHERE y = 1) AS positive, count(*) AS terms, true AS optimal FROM voc",
     ),
     "escalation_model": (_escalation, None),
     "template_answers": (_template_answers, None),

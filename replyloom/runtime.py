@@ -51,13 +51,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rehash by ``key`` where the input leaves more than half of the session's cores idle.
+    """Rehash by ``key`` where the rows of the input lie in fewer tasks than half of the cores.
 
-    A few files with one row group each would leave text work to a few tasks. Input that is split
-    more finely is left alone.
+    A file with one row group is cut into several splits of which one holds all rows, so the splits
+    with rows are counted (from the footers alone). Input with many splits is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() > cores:
+    if df.rdd.getNumPartitions() > 4 * cores:
+        return df
+    if 2 * df.select(F.spark_partition_id().alias("p")).distinct().count() > cores:
         return df
     return df.repartition(cores, key)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replyloom import runtime
-from replyloom.operators import density
+from replyloom.operators import density, metric_index
 from replyloom.operators import tfidf as V
 from replyloom.operators.components import connected_components
 from replyloom.operators.lsa import explained_variance_ratio, lsa_fit
@@ -154,7 +154,7 @@ def brute_clusters(points, min_size, min_samples, eps):
 
 
 def test_density_clusters_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(density, "BLOCK", 16)  # many blocks per cell
+    monkeypatch.setattr(metric_index, "PIECE", 16)  # many pieces per cell
     rng = np.random.default_rng(3)
     blobs = [c + 0.05 * rng.standard_normal((60, 4)) for c in (np.zeros(4), np.full(4, 0.6))]
     noise = rng.uniform(-2, 2, (40, 4))
