@@ -24,8 +24,6 @@ SLOTS = 1 << 18
 SAMPLE_ROWS = 24_000
 SHARDS, ROUNDS = 4, 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
-#: Parts of one in which moves are added up.
-SCALE = float(1 << 30)
 #: Value of a pair of words; a word alone counts 1.
 PAIR_VALUE = 0.3
 
@@ -93,9 +91,10 @@ def fit_toxicity(
         ids, y = known.value
         cache = WordHashes()
         for batch in batches:
-            own = np.array(batch.column("id").to_pylist(), dtype=np.float64)
-            place = np.minimum(np.searchsorted(ids, np.nan_to_num(own)), max(len(ids) - 1, 0))
-            hit = np.flatnonzero(~np.isnan(own) & (ids[place] == own)) if len(ids) else np.zeros(0, np.int64)
+            column = batch.column("id")
+            own = column.fill_null(0).to_numpy()
+            place = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+            hit = np.flatnonzero((ids[place] == own) & column.is_valid().to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, np.int64)
             texts = texts_of(batch.column("_text").take(pa.array(hit)))
             for first, words in chunked(map(split_words, texts)):
                 doc, slot = _features(words, cache)
@@ -104,38 +103,52 @@ def fit_toxicity(
                 rows = [(key[a:b] % SLOTS).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
                 at = hit[first : first + len(words)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[at].astype(np.int64)), pa.array(y[place[at]], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                    [pa.array(own[at]), pa.array(y[place[at]], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
                     ["id", "y", "slots"],
                 )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("_text"))
-    rows_table = materialize(slim.mapInArrow(extract, "id long, y int, slots binary"), "toxicity")
-    sharded = rows_table.repartition(SHARDS, "id").sortWithinPartitions(F.xxhash64("id"), "id", "slots")
+    rows_table = slim.mapInArrow(extract, "id long, y int, slots binary")
+    dealt = rows_table.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int"))
+    # The features are made and dealt out once; every round reads them in this order.
+    ordered = dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("id"), "id", "slots")
+    shards = materialize(ordered.select("shard", "y", "slots"), "toxicity")
     z, n = np.zeros(SLOTS), np.zeros(SLOTS)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z.copy(), n.copy()))
 
         def learn_shard(batches):
-            z, n = (x.copy() for x in state.value)
-            seen = False
-            for batch in batches:
-                seen = seen or batch.num_rows > 0
-                slots = [np.append(np.int32(0), np.frombuffer(x, np.int32)) for x in batch.column("slots").to_pylist()]
-                _step(z, n, slots, batch.column("y").to_pylist())
-            if seen:
-                moved = np.flatnonzero((z != state.value[0]) | (n != state.value[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(moved), pa.array(z[moved] - state.value[0][moved]), pa.array(n[moved] - state.value[1][moved])], ["slot", "z", "n"]
+            own, z, n = None, None, None
+
+            def moved():
+                slot = np.flatnonzero((z != state.value[0]) | (n != state.value[1])).astype(np.int32)
+                dz, dn = z[slot] - state.value[0][slot], n[slot] - state.value[1][slot]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([own], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (slot, dz, dn))], ["shard", "slot", "z", "n"]
                 )
 
-        # Whole numbers add up to the same sum in any order.
-        whole = [F.sum(F.round(F.col(c) * SCALE).cast("long")).alias(c) for c in ("z", "n")]
-        moves = sharded.mapInArrow(learn_shard, "slot long, z double, n double").groupBy("slot")
-        moved = moves.agg(*whole, F.count(F.lit(1)).alias("shards")).toArrow()  # at most SLOTS rows
-        slot, shards = moved.column("slot").to_numpy(), moved.column("shards").to_numpy()
-        damp = max(1, int(shards[slot == 0].sum())) ** 0.5 * SCALE  # every shard with rows moves the constant
-        z[slot] += moved.column("z").to_numpy() / damp
-        n[slot] += moved.column("n").to_numpy() / damp
+            for batch in batches:
+                shard = batch.column("shard").to_numpy()
+                for at in np.split(np.arange(len(shard)), np.flatnonzero(shard[1:] != shard[:-1]) + 1):
+                    if not len(at):
+                        continue
+                    if shard[at[0]] != own:
+                        if own is not None:
+                            yield moved()
+                        own, (z, n) = int(shard[at[0]]), (x.copy() for x in state.value)
+                    rows = batch.slice(at[0], len(at))
+                    slots = [np.append(np.int32(0), np.frombuffer(x, np.int32)) for x in rows.column("slots").to_pylist()]
+                    _step(z, n, slots, rows.column("y").to_pylist())
+            if own is not None:
+                yield moved()
+
+        # A shard gives one row of at most SLOTS slots, whatever the size of the data; they are added up in order.
+        moves = shards.mapInArrow(learn_shard, "shard int, slot binary, z binary, n binary").toArrow().to_pylist()
+        damp = max(1, len(moves)) ** 0.5
+        for move in sorted(moves, key=lambda m: (m["shard"], m["slot"])):
+            slot = np.frombuffer(move["slot"], np.int32)
+            z[slot] += np.frombuffer(move["z"]) / damp
+            n[slot] += np.frombuffer(move["n"]) / damp
     w = np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     return w.astype(np.float32)
 
