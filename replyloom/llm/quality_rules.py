@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose measure lies above a cutoff. For every stratum and rule the lowest cutoff of a
-fixed grid is taken whose false rejection rate among good documents is bounded: the exact
-(Clopper-Pearson) upper bound from a labelled holdout must not exceed the rule's share of the allowed
-rate. The confidence is divided by the number of all bounds looked at (Bonferroni), so all guarantees hold together with
-the stated probability. A stratum without enough evidence gets no cutoff, and rejects nothing.
+Each rule rejects a document whose measure lies above a cutoff. For every stratum and rule the cutoffs of a fixed grid are
+tested from the loosest on, by exact (Clopper-Pearson) binomial bounds of a labelled holdout: a cutoff passes if, with
+the confidence asked for, it rejects no more good documents than the rule's share of the allowed rate. The first that fails ends the
+sequence, and the last that passed is taken. A fixed sequence needs no correction for its length, so the
+confidence is divided by the strata and rules alone (Bonferroni), and all guarantees hold together. A stratum without
+enough evidence, or without labels, gets no cutoff and rejects nothing.
 """
 
 from __future__ import annotations
@@ -16,14 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.blocks import texts_of
+from replyloom.llm.blocks import free_name, texts_of
 from replyloom.runtime import bin_index, materialize
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: Strata with cutoffs of their own, by labelled rows; the others share one.
-MOST_STRATA = 100
-POOLED = "(other)"
 
 _WHITE = b" \t\n\r\x0b\x0c"
 _NOT_SYMBOL = bytes(set(range(256)) - set(SYMBOLS))
@@ -58,9 +56,10 @@ def _measure(text: bytes) -> tuple[int, int, int, int, int, int]:
 
 
 def document_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with the six counts of every whole text (0 for null)."""
-    kept = [c for c in docs.columns if c != text]
+    """``docs`` without its text, with the six counts of every whole text (0 for null); columns of
+    their names are replaced."""
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    kept = [c for c in docs.columns if c != text and c.lower() not in names]
 
     def work(batches):
         for batch in batches:
@@ -68,7 +67,7 @@ def document_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in counts.T)], [*kept, *names])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
-    return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(
+    return docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "_text"))).mapInArrow(
         work, ", ".join([*schema, *(f"{c} long" for c in names)])
     )
 
@@ -112,14 +111,29 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return high
 
 
+def surely_below(k: int, n: int, rate: float, delta: float) -> bool:
+    """Whether ``binomial_upper(k, n, delta) <= rate`` (``delta`` below a half): at most k of n are that unlikely at this rate."""
+    if k >= n * rate:
+        return False
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)
+    total, term, j = 1.0, 1.0, k
+    while j > 0 and term > 1e-17 * total:  # the terms below fall faster than a geometric series
+        term *= j / (n - j + 1) * (1 - rate) / rate
+        total += term
+        j -= 1
+    return log + math.log(total) <= math.log(delta)
+
+
 def risk_cutoffs(
     measures: DataFrame, labels: DataFrame, stratum: str = "stratum", label: str = "quality", doc_id: str = "doc_id",
     rate: float = 0.05, delta: float = 0.05,
-) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> cutoff; pairs without one are missing.
+) -> DataFrame:
+    """(stratum, cutoffs): for every stratum with a cutoff a map from rule to cutoff.
 
     ``rate`` is the allowed share of rejected good documents of a stratum over all rules together, ``delta`` the
-    probability that any guarantee fails. Only rows labelled good count, as counts by stratum, rule and step of the grid.
+    probability that any guarantee fails. Rows count whose document is labelled good; one that has both labels is good. Null strata are one
+    of their own. Counts by stratum, rule and step of the grid are all that is shuffled; nothing reaches the driver but the
+    number of strata.
     """
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(doc_id).distinct()
     held = measures.join(good, doc_id, "left_semi")
@@ -127,30 +141,35 @@ def risk_cutoffs(
         F.struct(F.lit(name).alias("rule"), bin_index(measure(), GRID).alias("step")) for name, measure in RULES.items()
     ]
     # bin_index counts cutoffs <= measure; a cutoff rejects what lies strictly above it.
-    rows = (
-        held.select(F.coalesce(stratum, F.lit("")).alias("stratum"), F.explode(F.array(*steps)).alias("s"))
-        .groupBy("stratum", "s.rule", "s.step").count()
+    counts = materialize(
+        held.select(F.col(stratum).alias("stratum"), F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").count(), "steps"
     )
-    # Pool rare strata before the counts come to the driver: at most MOST_STRATA x rules x steps rows.
-    sizes = rows.groupBy("stratum").agg(F.sum("count").alias("_n"))
-    first = [r["stratum"] for r in sizes.orderBy(F.desc("_n"), "stratum").limit(MOST_STRATA).collect()]
-    pooled = rows.withColumn("stratum", F.when(F.col("stratum").isin(first), F.col("stratum")).otherwise(POOLED))
-    counts: dict[str, dict[str, np.ndarray]] = {}
-    for r in pooled.groupBy("stratum", "rule", "step").agg(F.sum("count").alias("n")).collect():
-        by = counts.setdefault(r["stratum"], {k: np.zeros(len(GRID) + 1, np.int64) for k in RULES})
-        by[r["rule"]][r["step"]] += r["n"]
-    looks = max(1, len(counts)) * len(RULES) * len(GRID)
-    out: dict[tuple[str, str], float] = {}
-    for name, by in sorted(counts.items()):
-        for rule, bins in by.items():
-            n = int(bins.sum())
-            above = n - np.cumsum(bins)  # at or above the next cutoff: never fewer than are rejected
-            for i, cutoff in enumerate(GRID):
-                k = int(above[i])
-                if k / n <= rate / len(RULES) and binomial_upper(k, n, delta / looks) <= rate / len(RULES):
-                    out[(name, rule)] = cutoff
-                    break
-    return out
+    tests = counts.select("stratum").distinct().count() * len(RULES)
+    share, confidence = rate / len(RULES), delta / max(1, tests)
+
+    def strictest(batches):
+        for batch in batches:
+            found = []
+            for entries in batch.column("steps").to_pylist():
+                bins = np.zeros(len(GRID) + 1, np.int64)
+                for e in entries:
+                    bins[e["step"]] += e["count"]
+                n = int(bins.sum())
+                above = n - np.cumsum(bins)  # at or above the next cutoff: never fewer than are rejected
+                cutoff = None
+                for i in reversed(range(len(GRID))):
+                    if not surely_below(int(above[i]), n, share, confidence):
+                        break
+                    cutoff = GRID[i]
+                found.append(cutoff)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("stratum"), batch.column("rule"), pa.array(found, pa.float64())], ["stratum", "rule", "cutoff"]
+            )
+
+    kind = measures.schema[stratum].dataType.simpleString()
+    listed = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("step", "count")).alias("steps"))  # at most a grid each
+    cutoffs = listed.mapInArrow(strictest, f"stratum {kind}, rule string, cutoff double").where("cutoff is not null")
+    return cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
 def quality_verdicts(
@@ -159,24 +178,21 @@ def quality_verdicts(
     """(doc_id, stratum, counts, base_failed, rejected_by, kept) of every row of ``docs``.
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated windows of three words. ``rejected_by``: the first rule above
-    its stratum's cutoff, or null. ``kept``: neither. A null text has no words and fails the base; null strata form one of their own. Repeated
+    its stratum's cutoff, or null. ``kept``: neither. A null text has no words and fails the base; null strata form one of their own. Strata without a cutoff reject nothing. Repeated
     rows are judged each; other columns are dropped.
     """
     slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text")
     )
     measures = materialize(document_measures(slim), "measures")
-    cutoffs = risk_cutoffs(measures, labels.withColumnRenamed(doc_id, "doc_id"), **risk)
-    own = sorted({s for s, _ in cutoffs if s != POOLED})
-    place = F.coalesce("stratum", F.lit(""))
-    place = F.when(place.isin(own), place).otherwise(F.lit(POOLED)) if own else F.lit(POOLED)
+    cutoffs = materialize(risk_cutoffs(measures, labels.withColumnRenamed(doc_id, "doc_id"), **risk), "cutoffs").withColumnRenamed("stratum", "_of")
+    names = measures.columns
+    # Most rows may lie in one stratum: a small table of cutoffs is broadcast by its size, a large one split by the skew join.
+    measures = measures.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_of")), "left")
     verdict = F.lit(None).cast("string")
     for rule, measure in reversed(list(RULES.items())):
-        table = [F.lit(x) for (s, r), c in sorted(cutoffs.items()) if r == rule for x in (s, c)]
-        if table:
-            cutoff = F.element_at(F.create_map(*table), place)
-            verdict = F.when(measure() > cutoff, F.lit(rule)).otherwise(verdict)
+        verdict = F.when(measure() > F.col("cutoffs")[rule], F.lit(rule)).otherwise(verdict)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measures.withColumn("base_failed", base).withColumn("rejected_by", verdict).withColumn(
+    return measures.select(*names, base.alias("base_failed"), verdict.alias("rejected_by")).withColumn(
         "kept", ~F.col("base_failed") & F.col("rejected_by").isNull()
     )
