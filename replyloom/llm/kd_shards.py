@@ -1,6 +1,6 @@
 """Sharding by a k-d tree over document metadata, with DataFrame functions only.
 
-The table of sizes and coordinates is written once. Every level of the tree costs three small
+The table of sizes and coordinates is written once for each level, with the node of every row. A level costs three small
 aggregates over it: extent and bytes of each node, a histogram of bytes along the widest dimension, and
 a second histogram inside the step where the wanted share of bytes is crossed, along a hash that breaks ties. So a
 single source, language or text that holds most bytes is still cut evenly. Leaves reach the target bytes because each node is cut at the
@@ -33,22 +33,6 @@ class _Node:
     tie: int = 0
 
 
-def _step_of(dim: str, low: float, high: float) -> Column:
-    if high <= low:
-        return F.lit(0)
-    return F.least(F.lit(STEPS - 1), F.floor((F.col(dim) - F.lit(low)) / F.lit(high - low) * STEPS)).cast("int")
-
-
-def _tree(nodes: dict[int, _Node], i: int = 1) -> Column:
-    """The node that a row has reached, as a decision over its coordinates."""
-    node = nodes[i]
-    if node.dim is None or 2 * i not in nodes:
-        return F.lit(i)
-    step = _step_of(node.dim, node.low, node.high)
-    left = (step < node.step) | ((step == node.step) & (F.col("_tie") < node.tie))
-    return F.when(left, _tree(nodes, 2 * i)).otherwise(_tree(nodes, 2 * i + 1))
-
-
 def _crossing(bins: dict[int, int], target: float) -> tuple[int, float]:
     """First step at which the running sum exceeds ``target``, and the sum before it."""
     total = 0
@@ -59,50 +43,66 @@ def _crossing(bins: dict[int, int], target: float) -> tuple[int, float]:
     return STEPS, total
 
 
-def _grow(table: DataFrame, dims: list[str], shards: int) -> dict[int, _Node]:
+def _step(dims: list[str]) -> Column:
+    """Step of a row along the dimension in which its node is cut."""
+    x = F.coalesce(*[F.when(F.col("_dim") == i, F.col(d)) for i, d in enumerate(dims)])
+    place = F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * STEPS)
+    return F.when(F.col("_high") > F.col("_low"), F.least(F.lit(STEPS - 1), place)).otherwise(0).cast("int")
+
+
+def _with_cuts(table: DataFrame, nodes: dict[int, _Node], level: list[int], dims: list[str]) -> DataFrame:
+    """Rows of the nodes of a level, with the cut of their node: a row for each node, fewer than there are shards."""
+    cuts = [(i, dims.index(nodes[i].dim), nodes[i].low, nodes[i].high, nodes[i].step, nodes[i].tie) for i in level]
+    held = table.sparkSession.createDataFrame(cuts, "_node int, _dim int, _low double, _high double, _cut int, _cut_tie int")
+    return table.join(F.broadcast(held), "_node", "left")
+
+
+def _grow(table: DataFrame, dims: list[str], shards: int) -> tuple[dict[int, _Node], DataFrame]:
+    """The tree, and the table with the leaf of every row in ``_node``; a level is written once."""
     nodes = {1: _Node(shards)}
-    level = [1]
+    columns = table.columns
+    table = table.withColumn("_node", F.lit(1))
+    level = [1] if shards > 1 else []
     extent: dict[str, float] = {}
     while level:
-        at = table.withColumn("_node", _tree(nodes)).where(F.col("_node").isin(level))
+        at = table.where(F.col("_node").isin(level))
         ends = [f(d).alias(f"{n}{d}") for d in dims for n, f in (("low", F.min), ("high", F.max))]
         stats = {r["_node"]: r for r in at.groupBy("_node").agg(F.sum("size").alias("bytes"), *ends).collect()}
-        for i in list(level):
-            if i not in stats:  # no rows: no need to cut, but all its leaves exist
-                level.remove(i)
-                continue
+        level = [i for i in level if i in stats]  # a node without rows is not cut, but all its leaves exist
+        if not level:
+            break
+        for i in level:
             spread = {d: float(stats[i][f"high{d}"]) - float(stats[i][f"low{d}"]) for d in dims}
             extent = extent or {d: v or 1.0 for d, v in spread.items()}
             dim = max(dims, key=lambda d: spread[d] / extent[d])
             nodes[i].dim, nodes[i].low, nodes[i].high = dim, float(stats[i][f"low{dim}"]), float(stats[i][f"high{dim}"])
-        if not level:
-            break
 
-        def along(value: dict[int, Column]) -> dict[int, dict[int, int]]:
-            step = F.coalesce(*[F.when(F.col("_node") == i, c) for i, c in value.items()])
-            rows = at.where(F.col("_node").isin(list(value))).select("_node", step.alias("step"), "size")
-            out: dict[int, dict[int, int]] = {i: {} for i in value}
-            for r in rows.where(F.col("step").isNotNull()).groupBy("_node", "step").agg(F.sum("size").alias("n")).collect():
+        def bins(rows: DataFrame, step: Column) -> dict[int, dict[int, int]]:
+            out: dict[int, dict[int, int]] = {i: {} for i in level}
+            for r in rows.groupBy("_node", step.alias("step")).agg(F.sum("size").alias("n")).collect():
                 out[r["_node"]][r["step"]] = r["n"]  # at most nodes x STEPS rows
             return out
 
-        steps = {i: _step_of(nodes[i].dim, nodes[i].low, nodes[i].high) for i in level}
-        goal, inside = {}, {}
-        for i, bins in along(steps).items():
+        goal = {}
+        for i, found in bins(_with_cuts(at, nodes, level, dims), _step(dims)).items():
             goal[i] = stats[i]["bytes"] * (nodes[i].leaves // 2) / nodes[i].leaves
-            nodes[i].step, before = _crossing(bins, goal[i])
+            nodes[i].step, before = _crossing(found, goal[i])
             goal[i] -= before
-            inside[i] = F.when(steps[i] == nodes[i].step, F.col("_tie"))
-        for i, bins in along(inside).items():
-            tie, before = _crossing(bins, goal[i])
-            nodes[i].tie = tie + (tie in bins and goal[i] - before > bins[tie] / 2)
+        inside = _with_cuts(at, nodes, level, dims).where(_step(dims) == F.col("_cut"))
+        for i, found in bins(inside, F.col("_tie")).items():
+            tie, before = _crossing(found, goal[i])
+            nodes[i].tie = tie + (tie in found and goal[i] - before > found[tie] / 2)
+        step = _step(dims)
+        right = (step > F.col("_cut")) | ((step == F.col("_cut")) & (F.col("_tie") >= F.col("_cut_tie")))
+        child = F.when(F.col("_dim").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + right.cast("int"))
+        table = materialize(_with_cuts(table, nodes, level, dims).select(*columns, child.alias("_node")), "level")
         below = []
         for i in level:
             left = nodes[i].leaves // 2
             nodes[2 * i], nodes[2 * i + 1] = _Node(left), _Node(nodes[i].leaves - left)
             below += [j for j in (2 * i, 2 * i + 1) if nodes[j].leaves > 1]
         level = below
-    return nodes
+    return nodes, table
 
 
 def kd_shards(
@@ -130,13 +130,13 @@ def kd_shards(
         ).withColumn("_tie", F.pmod(F.xxhash64("doc_id", "text_crc32", "_row"), F.lit(STEPS)).cast("int")),
         "metadata",
     )
-    nodes = _grow(table, list(coordinates), shards)
+    nodes, leaves = _grow(table, list(coordinates), shards)
     first, shard_of = 0, {}
     for i in sorted((i for i in nodes if 2 * i not in nodes), key=lambda i: bin(i)[3:]):
         shard_of[i] = first
         first += nodes[i].leaves
-    number = F.element_at(F.create_map(*[F.lit(x) for k, v in shard_of.items() for x in (k, v)]), _tree(nodes))
-    placed = table.select("doc_id", "size", "text_crc32", "_row", number.cast("int").alias("shard"))
+    number = F.element_at(F.create_map(*[F.lit(x) for k, v in shard_of.items() for x in (k, v)]), F.col("_node"))
+    placed = leaves.select("doc_id", "size", "text_crc32", "_row", number.cast("int").alias("shard"))
     return number_within(placed, "shard", ["doc_id", "text_crc32", "_row"], "slot").select(
         "doc_id", "size", "text_crc32", "shard", "slot"
     )
