@@ -6,7 +6,7 @@ corpus, the rarest one is a sufficient prefix. The join meets documents and wind
 meeting fixes where the window must lie; it is dropped if it would reach over either end of the
 document (positional and length bound), and else verified word by word.
 
-Items go through in slices of bounded size, each broadcast to the documents. Nothing depends on the number of documents that share a window.
+Items go through in slices of bounded size, one after the other, each broadcast to the documents. Nothing depends on the number of documents that share a window.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.blocks import WordHashes, chunked, mix, odd, texts_of, windows
+from replyloom.runtime import materialize
 
 #: Words: runs of ASCII letters, digits and whatever is not ASCII.
 SEPARATORS = bytes(set(range(0x30)) | set(range(0x3A, 0x61)) | set(range(0x7B, 0x80)))
@@ -160,18 +161,21 @@ def _joined(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _slices(benchmark: DataFrame, text: str, item_id: str, window: int):
-    """Items in slices of about ``SLICE_WORDS`` words, read one part at a time."""
+def _named(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
     named = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("_text"))
-    named = named.where(F.col("item").isNotNull())
-    size = named.agg(F.sum(F.length("_text"))).first()[0] or 0
-    parts = int(size // (4 * SLICE_WORDS)) + 1
-    for i in range(parts):
-        own = named.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i).distinct().toArrow()
-        found = [(k, split_words(t)) for k, t in zip(own.column("item").to_pylist(), texts_of(own.column("_text")))]
-        found = sorted((k, w) for k, w in found if w)
-        if found or i == 0:
-            yield _Slice(found, window)
+    return named.where(F.col("item").isNotNull())
+
+
+def _parts(benchmark: DataFrame, text: str, item_id: str) -> int:
+    """Number of slices of about ``SLICE_WORDS`` words."""
+    size = _named(benchmark, text, item_id).agg(F.sum(F.length("_text"))).first()[0] or 0
+    return int(size // (4 * SLICE_WORDS)) + 1
+
+
+def _slice(benchmark: DataFrame, text: str, item_id: str, window: int, i: int, parts: int) -> _Slice:
+    own = _named(benchmark, text, item_id).where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i).distinct().toArrow()
+    found = [(k, split_words(t)) for k, t in zip(own.column("item").to_pylist(), texts_of(own.column("_text")))]
+    return _Slice(sorted((k, w) for k, w in found if w), window)
 
 
 def benchmark_hits(
@@ -188,12 +192,15 @@ def benchmark_hits(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")
     ).withColumn("_row", F.lit(0).cast("long"))
     context = docs.sparkSession.sparkContext
-    slices = list(_slices(benchmark, item_text, item_id, window))
-    if len(slices) == 1:
-        return _summed(_hits_of(slim, context, slices[0]))
-    # Several slices: rows are named by content, so that their results can be put together.
+    parts = _parts(benchmark, item_text, item_id)
+    if parts == 1:
+        return _summed(_hits_of(slim, context, _slice(benchmark, item_text, item_id, window, 0, 1)))
+    # Several slices: rows are named by content, so that their results can be put together. A slice is read, used and
+    # written before the next one, so the driver holds one at a time.
     slim = slim.withColumn("_row", F.xxhash64("doc_id", "_text"))
-    found = reduce(DataFrame.unionByName, (_hits_of(slim, context, part) for part in slices))
+    found = reduce(DataFrame.unionByName, (
+        materialize(_hits_of(slim, context, _slice(benchmark, item_text, item_id, window, i, parts), i > 0), "slice") for i in range(parts)
+    ))
     merged = (
         found.groupBy("_row", "doc_id")
         .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
@@ -211,12 +218,14 @@ def benchmark_hits(
     ))
 
 
-def _hits_of(slim: DataFrame, context, part: _Slice) -> DataFrame:
+def _hits_of(slim: DataFrame, context, part: _Slice, hit_only: bool = False) -> DataFrame:
+    """Rows of ``_hits`` for a slice; ``hit_only`` leaves out documents without a hit."""
     if len(part.keys):
         draft = context.broadcast(part)
         part.choose(_frequencies(slim, draft))
         draft.unpersist()
-    return _hits(slim, context.broadcast(part))
+    found = _hits(slim, context.broadcast(part))
+    return found.where(F.size("spans") > 0) if hit_only else found
 
 
 def _summed(found: DataFrame) -> DataFrame:
