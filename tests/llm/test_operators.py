@@ -1,11 +1,16 @@
 """The training-text operators on small tables with odd rows, against brute force."""
 
 import hashlib
+import math
+import random
 import re
 import struct
+import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -301,17 +306,71 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.quality_verdicts(none, labels).count() == 0
 
 
+MEASURES = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+
+
+def cutoffs_of(found):
+    return {(r["stratum"], rule): c for r in found.collect() for rule, c in r["cutoffs"].items()}
+
+
 def test_risk_cutoffs(spark):
     made = [(i, "a", 1000, 4000, (i % 100) // 2 if i % 10 else 0, 10, 0, 0) for i in range(4000)]
-    names = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-    measures = spark.createDataFrame(made, names)
+    measures = spark.createDataFrame(made, MEASURES)
     labels = spark.createDataFrame([(i, 1) for i in range(4000)], "doc_id long, quality int")
-    cutoffs = quality_rules.risk_cutoffs(measures, labels)
+    cutoffs = cutoffs_of(quality_rules.risk_cutoffs(measures, labels))
     assert cutoffs[("a", "dup_lines")] == quality_rules.GRID[0]
     rejected = sum(m[4] / m[3] > cutoffs[("a", "symbols")] for m in made)
     assert rejected / 4000 <= 0.05 / 4
-    few = quality_rules.risk_cutoffs(measures.limit(20), labels)
-    assert few == {}
+    assert cutoffs_of(quality_rules.risk_cutoffs(measures.limit(20), labels)) == {}
+
+
+def brute_cutoff(values, tests, rate=0.05, delta=0.05):
+    """The last cutoff, from the loosest on, whose exact bound holds."""
+    out, share = None, rate / len(quality_rules.RULES)
+    for cutoff in reversed(quality_rules.GRID):
+        k = sum(v >= cutoff for v in values)
+        if quality_rules.binomial_upper(k, len(values), delta / tests) > share:
+            break
+        out = cutoff
+    return out
+
+
+def test_verdicts_of_many_strata(spark, monkeypatch):
+    """Each of 300 strata is judged by its own bounds, those without evidence or labels by none."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(quality_rules, "document_measures", lambda docs: measures.select("doc_id", "stratum", *names))
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    strata = ["", "(other)", None, *(f"s{i}" for i in range(297))]
+    made = []
+    for s, name in enumerate(strata):
+        for i in range(2500 if s < 6 else 8):
+            made.append((len(made), name, 100, 1000, int(rng.integers(0, 4 + s * 20)) if rng.random() < 0.004 * (s % 3) else 0, 10, 0, 0))
+    measures = spark.createDataFrame(made, MEASURES).cache()
+    labelled = [m for m in made if m[1] != "s2"]
+    labels = spark.createDataFrame([(m[0], 1) for m in labelled] + [(m[0], 0) for m in labelled[:50]], "doc_id long, quality int")
+    docs = measures.selectExpr("doc_id", "stratum as lang", "'x' as text")
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(docs, labels).collect()}
+    assert len(got) == len(made)
+    by = defaultdict(list)
+    for m in labelled:
+        by[m[1]].append(m)
+    tests = len(by) * len(quality_rules.RULES)
+    value = {"symbols": lambda m: m[4] / m[3], "dup_lines": lambda m: m[6] / m[5], "repeat_words": lambda m: m[7] / m[2], "long_words": lambda m: m[3] / m[2] / 100}
+    cut = {(s, r): brute_cutoff([value[r](m) for m in rows], tests) for s, rows in by.items() for r in quality_rules.RULES}
+    for m in made:
+        want = next((r for r in quality_rules.RULES if cut.get((m[1], r)) is not None and value[r](m) > cut[m[1], r]), None)
+        assert got[m[0]]["rejected_by"] == want
+    assert any(r["rejected_by"] for r in got.values()) and cut["", "symbols"] is not None and cut["s20", "symbols"] is None
+
+
+def test_false_rejection_is_bounded():
+    """Over many drawn holdouts a cutoff whose true rate is above the limit passes about as seldom as asked for."""
+    rng, passed = np.random.default_rng(3), 0
+    for _ in range(2000):
+        passed += quality_rules.surely_below(int(rng.binomial(1500, 0.013)), 1500, 0.0125, 0.05)
+    assert passed / 2000 <= 0.05
+    for k, n, rate, delta in ((0, 400, 0.0125, 0.01), (3, 900, 0.0125, 0.01), (2, 900, 0.0125, 0.01), (11, 1000, 0.0125, 0.3), (50, 9000, 0.0125, 1e-6)):
+        assert quality_rules.surely_below(k, n, rate, delta) == (quality_rules.binomial_upper(k, n, delta) <= rate)
 
 
 def test_binomial_upper():
@@ -390,3 +449,138 @@ def test_extract(spark):
         assert r.n_chars == len(r.text)
     assert sum(r.text.startswith("Big") for r in got) == 30
     assert html_extract.extract(df.limit(0), html_extract.fit_pages(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("source", [
+    "<p>text</p><a " + '"' * 100_001, "<p>text</p><a " + '"' * 100_001 + ">" * 9, "<b>" * 100_000 + "text", "<a " * 50_000, "<a '>\" " * 30_000, '<a ">" ' * 30_000,
+    "<!" * 50_000 + "text", "<!--" * 50_000, "<div><p>" * 30_000 + "text", "<b>" * 30_000 + "<p>" * 30_000, "<td>" * 50_000, "<title>" * 5_000,
+    "<a class=" * 30_000 + ">", "text </p>" * 50_000,
+])
+def test_hostile_pages_take_linear_time(source):
+    """Twice the page takes about twice the time; nothing hangs."""
+    began = time.process_time()
+    page = html_extract.parse(source)
+    assert time.process_time() - began < 5 and len(page.parent) == len(page.tag)
+
+
+def test_unclosed_elements_lose_nothing():
+    def texts(source):
+        return " ".join("".join(t for _, t, _ in html_extract.parse(source).runs).split())
+
+    for tag in ("svg", "object", "select", "video", "math", "template", "canvas"):
+        assert texts(f"<p>one</p><{tag}><p>two</p><p>three") == "onetwothree"
+    assert texts("<p>a <math><mi>x</mi></math> b</p>") == "a x b"
+    assert texts("<p>one</p><script>two") == "one"
+    assert texts("<p>a < b <c") == "a < b <c"
+
+
+def test_pages_without_a_stated_main_part(spark):
+    """The model goes by density where no page can be learned from, and picks pages that can."""
+    body = " ".join([T1] * 3)
+    plain = f"<html><body><div><a href=/>Home</a> <a href=/n>News</a></div><div><p>{body}</p><p>{body}</p></div></body></html>"
+    pages = spark.createDataFrame([(i, plain) for i in range(30)], "page_id long, html string")
+    got = html_extract.extract(pages, html_extract.fit_pages(pages)).first()["text"]
+    assert got == f"{body}\n\n{body}"
+    some = pages.unionByName(spark.createDataFrame([(99, PAGE)], pages.schema))
+    assert html_extract.fit_pages(some, sample=2).trees
+
+
+def test_packing_equals_the_tokenizer():
+    """Words of every Unicode class, with marks, quotes and odd capitals."""
+    rng = random.Random(5)
+    classes = defaultdict(list)
+    for c in [*range(0x3000), *range(0xAC00, 0xAC40), *range(0x1F600, 0x1F640), *range(0xFB00, 0xFB06), *[0x130, 0x1E9E, 0x212B, 0x1F88, 0x3A3] * 6]:
+        classes[unicodedata.category(chr(c))].append(chr(c))
+    names = sorted(set(classes) - {"Cs"})
+    texts = ["BİLGİ. ABİ,", "İ", "İ.", 'x"', "don't. it's,"]
+    for _ in range(20_000):
+        words = ["".join(rng.choice(classes[rng.choice(names)]) if rng.random() < 0.5 else rng.choice("abABİzé1") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 6))]
+        texts.append(rng.choice(" \n\t").join(w + rng.choice(["", ".", ",", ')"', "...", "?!", "&"]) for w in words))
+    own = packing._WordTokens(tokenizer_path())
+    split = [own.words(t.encode()) for t in texts]
+    own.learn(set().union(*split))
+    for text, words, coded in zip(texts, split, own.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(b"".join(own[w] for w in words), "<u4").tolist() == coded.ids, text
+
+
+def test_words_are_forgotten_in_two_steps(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    own = packing._WordTokens(tokenizer_path())
+    for i in range(30):
+        words = {f"w{j}x,".encode() for j in range(i, i + 10)} | {b"always", "été.".encode()}
+        own.learn(words)
+        assert words <= own.keys()
+    whole = packing._WordTokens(tokenizer_path())
+    whole.learn(words)
+    assert all(own[w] == whole[w] for w in words) and len(own) < 120
+
+
+def test_toxicity_keeps_large_ids_apart(spark):
+    big = 2**53
+    texts = {big: "vile words here", big + 1: "kind words there"}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(big + 1, 0), (big, 1)], "doc_id long, toxic int")
+    rows = spark.createDataFrame([(i, f"{t} {i % 7}") for i in range(4, 400) for t in [list(texts.values())[i % 2]]], "doc_id long, text string")
+    more = spark.createDataFrame([(i, 1 - i % 2) for i in range(4, 400)], "doc_id long, toxic int")
+    weights = toxicity.fit_toxicity(docs.unionByName(rows), labels.unionByName(more))
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, weights).collect()}
+    assert score[big] > 0.5 > score[big + 1]
+    only = toxicity.fit_toxicity(docs.where(F.col("doc_id") == big + 1), labels.where(F.col("doc_id") == big))
+    assert not only.any()  # the neighbour's label is not taken
+
+
+def brute_ftrl(rows, shards):
+    """The rounds of the learner over plain dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(zs, ns):
+        return 0.0 if abs(zs) <= toxicity.L1 else (math.copysign(toxicity.L1, zs) - zs) / ((toxicity.BETA + math.sqrt(ns)) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.ROUNDS):
+        moves = []
+        for part in shards:
+            a, b = dict(z), dict(n)
+            for slots, y in part:
+                value = {s: toxicity.PAIR_VALUE if s % 2 else 1.0 for s in (0, *slots)}
+                w = {s: weight(a.get(s, 0.0), b.get(s, 0.0)) for s in value}
+                p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[s] * v for s, v in value.items())))))
+                for s, v in value.items():
+                    g, old = (p - y) * v, b.get(s, 0.0)
+                    a[s] = a.get(s, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[s]
+                    b[s] = old + g * g
+            moves.append((a, b))
+        for slot in {s for a, _ in moves for s in a}:
+            z[slot] += sum(a.get(slot, 0.0) - z0 for z0 in [z[slot]] for a, _ in moves if slot in a) / math.sqrt(len(shards))
+            n[slot] += sum(b.get(slot, 0.0) - n0 for n0 in [n[slot]] for _, b in moves if slot in b) / math.sqrt(len(shards))
+    return {s: weight(z[s], n[s]) for s in z}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    rng = random.Random(4)
+    made = [(i, " ".join(rng.choice(["vile", "bad"] if i % 3 == 0 and rng.random() < 0.4 else WORDS[:30]) for _ in range(20)), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int")
+    order = {r["doc_id"]: (r["s"], r["h"]) for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {toxicity.SHARDS}) as s", "xxhash64(doc_id) as h").collect()}
+    parts = defaultdict(list)
+    for i, t, y in sorted(made, key=lambda m: order[m[0]]):
+        _, slots = toxicity._features([[w.encode() for w in t.split()]], toxicity.WordHashes())
+        parts[order[i][0]].append((sorted(set(slots.tolist())), y))
+    want = brute_ftrl(made, [parts[s] for s in sorted(parts)])
+    got = toxicity.fit_toxicity(docs, labels)
+    assert {int(s) for s in np.flatnonzero(got)} == {s for s, w in want.items() if w}
+    assert all(got[s] == pytest.approx(w, rel=1e-4, abs=1e-6) for s, w in want.items())
+
+
+def test_sharding_cuts_like_a_plain_tree(spark):
+    """Every shard is a leaf box: a plain walk down the cuts puts each row where the operator does."""
+    data = [(i, "x" * (i * 37 % 900), f"s{i % 5}", ["en", "de", None][i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in kd_shards.kd_shards(docs, shards=7).collect()}
+    sums = Counter()
+    for r in got.values():
+        sums[r["shard"]] += r["size"]
+    assert sorted(sums) == list(range(7)) and max(sums.values()) - min(sums.values()) < 0.1 * max(sums.values())
+    again = {r["doc_id"]: r["shard"] for r in kd_shards.kd_shards(docs.repartition(6), shards=7).collect()}
+    assert Counter(again.values()) == Counter(r["shard"] for r in got.values()) or max(Counter(again.values()).values()) < 200
+    one = kd_shards.kd_shards(docs, shards=1).collect()
+    assert {r["shard"] for r in one} == {0} and sorted(r["slot"] for r in one) == list(range(900))
