@@ -76,8 +76,21 @@ def _depth(s, d):
     )
 
 
+#: what every n-th event says besides, one entity of each kind
+ENTITIES = (
+    ("urls", 5, "https://some.org/1"), ("flights", 7, "DL 123"), ("phones", 11, "202-555-1736"), ("cards", 13, "5111 1111 1111 1111"),
+    ("pnrs", 17, "confirmation code ABC123"),
+)
+
+
 def _summary(s, d):
-    return T.cleaning_summary(X.event_posts(s, d), EVENT_RULES)
+    posts = X.event_posts(s, d)
+    said = [F.when(F.col("tweet_id") % n == 0, F.lit(f"{text}, ")).otherwise("") for _, n, text in ENTITIES]
+    return T.cleaning_summary(posts.withColumn("text", F.concat(*said, "text")), EVENT_RULES)
+
+
+SQL_SAID = " || ".join(f"CASE WHEN event_id % {n} = 0 THEN '{text}, ' ELSE '' END" for _, n, text in ENTITIES)
+SQL_KINDS = ", ".join(f"sum((tweet_id % {n} = 0)::int) AS {kind}" for kind, n, _ in ENTITIES)
 
 
 def _handoffs(s, d):
@@ -217,7 +230,7 @@ HAVING depth >= 2 AND count(*) FILTER (NOT inbound) > 0""",
     ),
     "cleaning_summary": (
         _summary,
-        SQL_EVENT_TURNS + ", flags AS (" + SQL_EVENT_FLAGS + """,
+        SQL_EVENT_TURNS.replace("'@user' || user_id", f"{SQL_SAID} || '@user' || user_id") + ", flags AS (" + SQL_EVENT_FLAGS + f""", {SQL_KINDS},
   sum(len(regexp_extract_all(rest, '@[A-Za-z0-9_]+'))) AS handles
   FROM masked GROUP BY 1, 2, 3 HAVING depth >= 2 AND count(*) FILTER (NOT inbound) > 0)
 SELECT count(*) AS total_threads, count(*) FILTER (multi_agent_handoff) AS multi_agent_handoffs,
@@ -225,8 +238,8 @@ SELECT count(*) AS total_threads, count(*) FILTER (multi_agent_handoff) AS multi
   count(*) FILTER (max_gap_hours >= 48) AS temporal_gap_gt_48h,
   count(*) FILTER (canned_turns > 0) AS contains_canned_macros,
   count(*) FILTER (is_pure_canned_deflection) AS pure_canned_deflection_threads,
-  0::bigint AS urls, sum(handles)::bigint AS handles, 0::bigint AS pnrs, 0::bigint AS flights,
-  0::bigint AS phones, 0::bigint AS cards,
+  sum(urls)::bigint AS urls, sum(handles)::bigint AS handles, sum(pnrs)::bigint AS pnrs, sum(flights)::bigint AS flights,
+  sum(phones)::bigint AS phones, sum(cards)::bigint AS cards,
   (SELECT count(*) FROM (SELECT 1 FROM flags GROUP BY root_tweet_id HAVING count(*) > 1))
     AS branching_threads
 FROM flags""",

@@ -188,11 +188,10 @@ def _judged(s, d):
 
 
 def conversation_turns(s, d):
-    """Turn rows of conversations, system turns left out."""
-    kind = F.when(F.col("role") == "assistant", R.canned_type(F.col("text"), **CANNED))
+    """Turn rows of conversations; system turns are the brand's, as in ``fixtures.conversation_posts``."""
+    kind = F.when(F.col("role") != "user", R.canned_type(F.col("text"), **CANNED))
     return (
         X.table(s, d, "conversations")
-        .where("role <> 'system'")
         .select(
             "conv_id",
             F.col("turn").alias("turn_index"),
@@ -207,21 +206,15 @@ THREAD_RULES = T.ThreadRules(mask=MASK, canned=CANNED)
 
 
 def conversation_threads(s, d):
-    """Assembled threads of conversations, system turns left out."""
-    spoken = linear(s, d).join(
-        X.table(s, d, "conversations")
-        .where("role <> 'system'")
-        .select((F.col("conv_id") * 100 + F.col("turn")).alias("tweet_id")),
-        "tweet_id", "left_semi",
-    )
-    return T.reconstruct_threads(spoken, THREAD_RULES)
+    """Assembled threads of conversations."""
+    return T.reconstruct_threads(linear(s, d), THREAD_RULES)
 
 
 SQL_SCRUB = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 SQL_SPOKEN = f"""spoken AS (
   SELECT conv_id, turn, role = 'user' AS customer, text, {sql_words('text')} AS words,
-    role = 'assistant' AND {SQL_TYPE} <> 'substantive_contextual' AS canned
-  FROM conversations WHERE role <> 'system'),
+    role <> 'user' AND {SQL_TYPE} <> 'substantive_contextual' AS canned
+  FROM conversations),
 opened AS (SELECT *, min(turn) FILTER (NOT customer) OVER (PARTITION BY conv_id) AS fb FROM spoken),
 judged AS (SELECT conv_id, count(*) AS num_turns, any_value(fb) AS fb,
   count(*) FILTER (customer AND turn > fb) AS later,
