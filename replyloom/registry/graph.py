@@ -10,6 +10,7 @@ from replyloom.operators import graph as G
 from replyloom.operators import posts as P
 from replyloom.operators import profile as B
 from replyloom.operators import threads as T
+from replyloom.operators.gold import showcase
 from replyloom.registry.common import (
     BRANDS, CANNED, SQL_BRANCHING, SQL_EVENTS, SQL_LINEAR, SQL_PATHS, branching, linear, sql_words,
 )
@@ -83,13 +84,23 @@ ENTITIES = (
 )
 
 
-def _summary(s, d):
-    posts = X.event_posts(s, d)
+def _said(s, d):
     said = [F.when(F.col("tweet_id") % n == 0, F.lit(f"{text}, ")).otherwise("") for _, n, text in ENTITIES]
-    return T.cleaning_summary(posts.withColumn("text", F.concat(*said, "text")), EVENT_RULES)
+    return X.event_posts(s, d).withColumn("text", F.concat(*said, "text"))
+
+
+def _summary(s, d):
+    return T.cleaning_summary(_said(s, d), EVENT_RULES)
+
+
+def _showcase(s, d):
+    """The first two threads of each of the four categories, all of which occur."""
+    threads = T.reconstruct_threads(_said(s, d), EVENT_RULES)
+    return showcase(threads, 2).select("category", "rank", "root_tweet_id", "leaf_tweet_id")
 
 
 SQL_SAID = " || ".join(f"CASE WHEN event_id % {n} = 0 THEN '{text}, ' ELSE '' END" for _, n, text in ENTITIES)
+SQL_SAID_TURNS = SQL_EVENT_TURNS.replace("'@user' || user_id", f"{SQL_SAID} || '@user' || user_id")
 SQL_KINDS = ", ".join(f"sum((tweet_id % {n} = 0)::int) AS {kind}" for kind, n, _ in ENTITIES)
 
 
@@ -230,7 +241,7 @@ HAVING depth >= 2 AND count(*) FILTER (NOT inbound) > 0""",
     ),
     "cleaning_summary": (
         _summary,
-        SQL_EVENT_TURNS.replace("'@user' || user_id", f"{SQL_SAID} || '@user' || user_id") + ", flags AS (" + SQL_EVENT_FLAGS + f""", {SQL_KINDS},
+        SQL_SAID_TURNS + ", flags AS (" + SQL_EVENT_FLAGS + f""", {SQL_KINDS},
   sum(len(regexp_extract_all(rest, '@[A-Za-z0-9_]+'))) AS handles
   FROM masked GROUP BY 1, 2, 3 HAVING depth >= 2 AND count(*) FILTER (NOT inbound) > 0)
 SELECT count(*) AS total_threads, count(*) FILTER (multi_agent_handoff) AS multi_agent_handoffs,
@@ -244,4 +255,15 @@ SELECT count(*) AS total_threads, count(*) FILTER (multi_agent_handoff) AS multi
     AS branching_threads
 FROM flags""",
     ),
+    "showcase": (
+        _showcase,
+        SQL_SAID_TURNS + ", flags AS (" + SQL_EVENT_FLAGS + """,
+  bool_or(tweet_id % 7 = 0) AND bool_or(tweet_id % 17 = 0) AS pnr_flight
+  FROM masked GROUP BY 1, 2, 3 HAVING depth >= 2 AND count(*) FILTER (NOT inbound) > 0),
+named AS (SELECT *, unnest([CASE WHEN multi_agent_handoff THEN 'multi_agent_handoff' END,
+  CASE WHEN temporal_gap_gt_24h THEN 'temporal_gap_gt_24h' END, CASE WHEN is_pure_canned_deflection THEN 'canned_deflection' END,
+  CASE WHEN pnr_flight THEN 'pii_scrubbed_pnr_flight' END]) AS category FROM flags)
+SELECT category, (row_number() OVER (PARTITION BY category ORDER BY root_tweet_id, leaf_tweet_id))::int AS rank, root_tweet_id, leaf_tweet_id
+FROM named WHERE category IS NOT NULL QUALIFY rank <= 2""",
+    ),
 }

@@ -225,10 +225,6 @@ def _rated(s, d):
     )
 
 
-def _showcase(s, d):
-    return G.showcase(conversation_threads(s, d), 2).select("category", "rank", "thread_id")
-
-
 def _static_systems(s, d):
     q = X.gold(s, d).withColumnRenamed("doc_id", "query_id")
     answers = [
@@ -517,13 +513,6 @@ SELECT thread_id, {sql_words('reply')} AS words, CASE WHEN {_sql_contains(RUBRIC
   THEN 4.8::double ELSE 2.0::double END AS actionability FROM threads""",
     ),
     "balance_gold": (_balanced, _balanced_sql()),
-    "showcase": (
-        _showcase,
-        f"""WITH {SQL_SPOKEN} SELECT 'canned_deflection' AS category,
-  (row_number() OVER (ORDER BY conv_id))::int AS rank,
-  'delta_thread_' || (conv_id * 100 + root) AS thread_id FROM judged
-WHERE pure AND fb IS NOT NULL AND num_turns >= 2 ORDER BY conv_id LIMIT 2""",
-    ),
     "route_scores": (
         _routed,
         f"""WITH {SQL_GOLD}, {SQL_HIT} SELECT doc_id, category IS NOT NULL OR p >= 0.45
