@@ -97,7 +97,8 @@ def test_smaller_ids_in_later_batches_retract(spark, tmp_path):
         # the same folder goes on where the run before ended
         changes = A.audit_changes(spark, path, labels, folder=folder)
         held = {(r["part"], r["mask"]): r["n"] for r in changes.groupBy("part", "mask").sum("n").withColumnRenamed("sum(n)", "n").collect()}
-        assert held == {(f"s{j}", 16 if j < i else 0): 1 for j in range(i + 1)} | {(f"s{j}", 0): 0 for j in range(i)}
+        assert {k: n for k, n in held.items() if n} == {(f"s{j}", 16 if j < i else 0): 1 for j in range(i + 1)}
+        assert all(held[f"s{j}", 0] == 0 for j in range(i))  # retracted
         total = {tuple(r) for r in A.audit_orders(changes).select("part", "kept").where("filter_order = 'ABCDE' and step = 5").collect()}
         assert total == {(f"s{j}", int(j == i)) for j in range(i + 1)}
 
@@ -239,7 +240,7 @@ def test_patterns(spark):
 
 
 @pytest.mark.parametrize("line,tokens", [
-    ("||casino-", ("casino",)), ("casino-x/", ()), ("/ads/", ("ads",)), ("/ads", ()), ("/ads|", ("ads",)), ("|a*b.c/", ("c",)), ("||x.y^", ("x", "y")), ("*", ()), ("", ()),
+    ("||casino-", ("casino",)), ("casino-x/", ("x",)), ("/ads/", ("ads",)), ("/ads", ()), ("/ads|", ("ads",)), ("|a*b.c/", ("c",)), ("||x.y^", ("x", "y")), ("*", ()), ("", ()),
     ("a-bc-d", ("bc",)), ("@@||good.org/p*q/r/", ("good", "org", "r")),
 ])
 def test_mandatory_tokens(line, tokens):
