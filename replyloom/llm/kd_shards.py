@@ -53,7 +53,9 @@ def _step(dims: list[str]) -> Column:
 def _with_cuts(table: DataFrame, nodes: dict[int, _Node], level: list[int], dims: list[str]) -> DataFrame:
     """Rows of the nodes of a level, with the cut of their node: a row for each node, fewer than there are shards."""
     cuts = [(i, dims.index(nodes[i].dim), nodes[i].low, nodes[i].high, nodes[i].step, nodes[i].tie) for i in level]
-    held = table.sparkSession.createDataFrame(cuts, "_node int, _dim int, _low double, _high double, _cut int, _cut_tie int")
+    names = ("_node", "_dim", "_low", "_high", "_cut", "_cut_tie")
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(cut, names)]) for cut in cuts])
+    held = table.sparkSession.range(1).select(F.inline(rows))
     return table.join(F.broadcast(held), "_node", "left")
 
 
