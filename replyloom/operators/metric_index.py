@@ -212,7 +212,7 @@ def search(
     copied = F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(x)) for x in parts]), F.col("cell") + 1) - 1))
     if (parts == 1).all():
         copied = F.lit(0)
-    home = members.select("cell", "piece", copied.cast("int").alias("part"), *extra, F.lit(0.0).alias("reach"), F.lit(0).alias("sent"))
+    home = members.select("cell", "piece", copied.alias("part"), *extra, F.lit(0.0).alias("reach"), F.lit(0).alias("sent"))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = home.unionByName(out).repartition(tasks, "cell", "piece", "part").sortWithinPartitions("cell", "piece", "part", "sent")
 

@@ -127,7 +127,7 @@ def brute(x, least, k, eps=0.0):
 
 def two_densities(seed=1):
     rng = np.random.default_rng(seed)
-    tight = [rng.normal(c, 0.05, (60, 2)) for c in ((0, 0), (0.5, 0.5))]
+    tight = [rng.normal(c, 0.05, (60, 2)) for c in ((0, 0), (0.3, 0.3))]
     x = np.concatenate([*tight, rng.normal(4, 0.7, (80, 2)), rng.uniform(-4, 8, (30, 2))]).round(3)
     return np.concatenate([x, x[:15]])
 
