@@ -203,10 +203,10 @@ def fold_ancestors(
 
 
 def _below(rows: DataFrame, above: DataFrame, scope: list[str], folds: dict[str, str]) -> DataFrame:
-    """``rows`` with what their parent in ``above`` holds, as ``_present``, ``_kind``, ``_next`` and
-    ``_root``, and the folds combined with it."""
+    """``rows`` with what their parent in ``above`` holds, as ``_present``, ``_next`` and ``_root``, and
+    the folds combined with it."""
     table = above.select(
-        *scope, F.col("tweet_id").alias("_up"), F.lit(True).alias("_present"), F.col("_kind"),
+        *scope, F.col("tweet_id").alias("_up"), F.lit(True).alias("_present"),
         F.col("_up").alias("_next"), F.col("root_id").alias("_root"), *[F.col(n).alias(f"_above_{n}") for n in folds],
     )
     met = salted_join(rows, table, [*scope, "_up"], "left", ["tweet_id"])
@@ -235,30 +235,29 @@ def contract(start: DataFrame, scope: list[str], folds: dict[str, str], most: in
     while (left := open_rows.count()) > most:
         counts.append(left)
         turn = len(counts)
-        drawn = coin("tweet_id", turn) & ~coin("_up", turn)
-        # An answer that was moved past a spliced post may point to a post finished a round earlier.
-        above = reduce(DataFrame.unionByName, [f.withColumn("_kind", F.lit("done")) for f in finished[-2:]]).unionByName(
-            open_rows.where(drawn).withColumn("_kind", F.lit("spliced"))
-        )
-        moved = materialize(_below(open_rows, above, scope, folds).withColumn("_drawn", drawn), "round")
-        done = F.coalesce(F.col("_kind") == "done", F.lit(False))
+        # First what answers a post that was finished in the round before, then splicing among the rest.
+        met = materialize(_below(open_rows, finished[-1], scope, folds), "met")
+        done = F.col("_present").isNotNull()
         finished.append(
-            moved.where(done).withColumns({"_up": F.lit(None).cast("long"), "root_id": F.col("_root")}).select(*columns)
+            met.where(done).withColumns({"_up": F.lit(None).cast("long"), "root_id": F.col("_root")}).select(*columns)
         )
-        spliced.append(moved.where(~done & F.col("_drawn")).select(*columns))
-        past = F.when(F.col("_kind") == "spliced", F.col("_next")).otherwise(F.col("_up"))
+        rest = met.where(~done).select(*columns)
+        drawn = coin("tweet_id", turn) & ~coin("_up", turn)
+        spliced.append(rest.where(drawn))
+        moved = materialize(_below(rest.where(~drawn), spliced[-1], scope, folds), "round")
+        past = F.when(F.col("_present"), F.col("_next")).otherwise(F.col("_up"))
         # what points to itself hangs on a cycle
-        open_rows = moved.where(~done & ~F.col("_drawn")).withColumn("_up", past).where(F.col("_up") != F.col("tweet_id")).select(*columns)
+        open_rows = moved.withColumn("_up", past).where(F.col("_up") != F.col("tweet_id")).select(*columns)
     if left:
-        last = reduce(DataFrame.unionByName, finished[-2:])
-        heads = last.join(open_rows.select(*scope, F.col("_up").alias("tweet_id")).distinct(), [*scope, "tweet_id"], "left_semi")
+        wanted = open_rows.select(*scope, F.col("_up").alias("tweet_id")).distinct()
+        heads = finished[-1].join(wanted, [*scope, "tweet_id"], "left_semi")
         marked = heads.select(*columns).withColumn("_head", F.lit(True)).unionByName(open_rows.withColumn("_head", F.lit(False)))
         solved = materialize(_fold_rest(marked, scope, folds), "rest")
         finished.append(solved.where(~F.col("_head")).drop("_head").withColumn("_up", F.lit(None).cast("long")).select(*columns))
     known = finished[len(counts) + 1 :]
     for turn in reversed(range(len(spliced))):
         known.append(finished[turn + 1])
-        above = reduce(DataFrame.unionByName, known).withColumn("_kind", F.lit("done"))
+        above = reduce(DataFrame.unionByName, known)
         filled = materialize(_below(spliced[turn], above, scope, folds), "filled").where(F.col("_present").isNotNull())
         known.append(filled.withColumns({"_up": F.lit(None).cast("long"), "root_id": F.col("_root")}).select(*columns))
     return reduce(DataFrame.unionByName, [*known, finished[0]]).drop("_up"), counts

@@ -173,3 +173,62 @@ def test_repeated_posts_count_once(spark):
     flags = sorted(T.thread_flags(df).collect(), key=str)
     assert sorted(T.thread_flags(twice).collect(), key=str) == flags
     assert P.brand_corpus(twice, ["Delta"]).count() == P.brand_corpus(df, ["Delta"]).count()
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_contraction_equals_following(spark, monkeypatch, scoped):
+    """Rounds of contraction give what one task gives; a round reads fewer rows than the one before."""
+    rng = random.Random(6)
+    edges = [(i, i - 1 if rng.random() < 0.8 else rng.choice([None, rng.randrange(i), 999])) for i in range(1, 160)] + [(0, None)]
+    edges += [(200, 201), (201, 202), (202, 200), (203, 202), (204, 204)]  # cycles and what hangs on them
+    rows = [(f"b{k}", i, p, f"s{i * 7 % 5}" if i % 3 else None, i % 4 if i % 5 else None) for k in range(2) for i, p in edges]
+    df = spark.createDataFrame(rows, "brand string, tweet_id long, in_reply_to long, sig string, n long")
+    df, scope = (df, ["brand"]) if scoped else (df.where("brand = 'b0'"), [])
+    measures = {"low": (F.col("sig"), "min"), "high": (F.col("sig"), "max"), "total": (F.col("n"), "sum"), "own": (F.col("n"), "own")}
+    columns = [*scope, "tweet_id", "root_id", "depth", "low", "high", "total", "own"]
+
+    def found():
+        folded = G.fold_ancestors(df, scope, measures)
+        return sorted(map(tuple, folded.nodes.select(*columns).collect()), key=repr), sorted(r["leaf_id"] for r in folded.leaves.collect())
+
+    one = found()
+    parent = dict(edges)
+
+    def path(i):
+        out = [i]
+        while parent.get(out[-1]) in parent:
+            out.append(parent[out[-1]])
+            if len(out) > len(parent):
+                return None
+        return out
+
+    by = {(k, i): (sig, n) for k, i, _, sig, n in rows}
+    want = []
+    for k in ["b0", "b1"] if scoped else ["b0"]:
+        for i in parent:
+            if (p := path(i)) is not None:
+                sigs = [by[k, x][0] for x in p if by[k, x][0] is not None]
+                numbers = [by[k, x][1] for x in p]
+                total = sum(x or 0 for x in numbers) if len(p) > 1 else numbers[0]
+                want.append((*([k] if scoped else []), i, p[-1], len(p), min(sigs, default=None), max(sigs, default=None), total, by[k, i][1]))
+    assert one[0] == sorted(want, key=repr)
+    monkeypatch.setattr(G, "ONE_TASK_POSTS", 10)
+    counts = []
+    contract = G.contract
+
+    def counted(*args):
+        nodes, left = contract(*args)
+        counts.extend(left)
+        return nodes, left
+
+    monkeypatch.setattr(G, "contract", counted)
+    assert found() == one
+    assert len(counts) >= 3 and all(b < a for a, b in zip(counts, counts[1:]))
+
+
+@pytest.mark.parametrize("bound,rows", [(10, 200_000), (1_000_000, 3)])
+def test_giant_threads_take_the_jumps(spark, monkeypatch, bound, rows):
+    edges = [(0, None), *((i, i - 1) for i in range(1, 40)), (50, None), (51, 50), (52, 50), (60, 61), (61, 60)]
+    monkeypatch.setattr(G, "ONE_TASK_POSTS", bound)
+    monkeypatch.setattr(G, "WALK_ROWS", rows)
+    assert spark_paths(posts(spark, chain(*edges))) == brute_paths(edges)

@@ -15,7 +15,7 @@ from replyloom.operators.retrieval import retrieve
 from replyloom.operators.topics import nmf, topic_keywords, topic_shares
 from replyloom.plans import escalation as E
 from replyloom.plans import systems as Y
-from replyloom.streaming.route import route_stream
+from replyloom.streaming.route import route_files, route_stream
 
 WORDS = ["bag", "lost", "flight", "late", "seat", "refund", "crew", "meal", "gate", "miles"]
 
@@ -310,3 +310,66 @@ def test_stream_equals_batch(spark, gold, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(target).select(*batch.columns).collect()))
     assert got == sorted(map(tuple, batch.collect())) and len(got) == 60
     assert all("<CUSTOMER_HANDLE>" in r[1] for r in got)
+
+
+def test_files_are_routed_once(spark, tmp_path):
+    """A second run routes new files only; a run that stops half way doubles no row."""
+    source, folder = str(tmp_path / "posts"), str(tmp_path / "state")
+    rows = [(i, f"text {i}", (i % 10) / 10) for i in range(40)]
+    spark.createDataFrame(rows, "id int, text string, p double").repartition(4).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+
+    def routed(score):
+        return route_files(spark, source, schema, folder, score, 0.5, files=1)
+
+    def fails(df):
+        late = F.when(F.col("id") % 10 == 7, F.raise_error(F.lit("stop"))).otherwise(F.col("p"))
+        return df.withColumn("p", late.cast("double"))
+
+    with pytest.raises(Exception, match="stop"):
+        routed(fails)
+    first = sorted((r["id"], r["escalate_to_human"]) for r in routed(lambda df: df).collect())
+    assert first == [(i, p >= 0.5) for i, _, p in rows]
+    spark.createDataFrame([(99, "more", 0.9)], "id int, text string, p double").write.mode("append").parquet(source)
+    assert sorted(r["id"] for r in routed(lambda df: df).collect()) == [*range(40), 99]
+    assert routed(lambda df: df).count() == 41
+
+
+@pytest.mark.parametrize("least", [0.0, 0.15, 0.4, 0.9])
+def test_threshold_join_equals_all_pairs(spark, monkeypatch, least):
+    monkeypatch.setattr(retrieval, "KB_SLICE", 9)
+    monkeypatch.setattr(retrieval, "QUERY_PART", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(7)
+
+    def side(n, key):
+        rows = []
+        for i in range(n):
+            terms = rng.choice(30, rng.integers(0, 12), replace=False)
+            weights = rng.random(len(terms)) ** 3 + 1e-3
+            rows += [(i, int(t), float(w)) for t, w in zip(terms, weights / max(np.linalg.norm(weights), 1e-9))]
+        return rows, spark.createDataFrame(rows, f"{key} long, position int, weight double")
+
+    q, q_df = side(20, "query_id")
+    k, k_df = side(40, "kb_id")
+    a, b = np.zeros((20, 30)), np.zeros((40, 30))
+    for m, rows in ((a, q), (b, k)):
+        for i, t, w in rows:
+            m[i, t] = w
+    sims = a @ b.T
+    want = {(i, j): sims[i, j] for i, j in zip(*np.nonzero((sims >= max(least, 1e-12))))}
+    got = {(r["query_id"], r["kb_id"]): r["similarity"] for r in retrieval.cosine_join(q_df, k_df, least).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_fits_tell_their_distance_from_the_optimum(spark, gold):
+    fitted = E.fit_escalation(gold, config=V.TfidfConfig(50, True, 1, 1.0, ()))
+    assert fitted.violation < 1e-3
+    _, tfidf, vectors = planted(spark)
+    model = nmf(vectors, ["id"], len(tfidf.vocabulary), k=2)
+    assert model.converged and model.violation < 0.1
+    few = lsa_fit(vectors, len(tfidf.vocabulary), 2, oversample=1)
+    whole = lsa_fit(vectors, len(tfidf.vocabulary), len(tfidf.vocabulary))
+    assert few.converged and whole.converged
+    for got, true, room in zip(few.singular_values, whole.singular_values, few.residuals):
+        assert abs(got**2 - true**2) <= room + 1e-9
