@@ -15,9 +15,9 @@ FIELDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("text",
 ODD = ['', 'a', '"', '""', ',', '\n', '\r\n', '\\', '\\"', 'é', ' ', '}', '{', '[', ']', '"}', '\\\\"', ' x ', "word " * 9, '\n\n"\n', '","', '}{"a":"']
 
 
-@pytest.fixture(params=[97, 400, 100_000])
+@pytest.fixture(params=[97, 100_000])
 def ranges(spark, request):
-    """Byte ranges far smaller than a record, of a few records, and of whole files."""
+    """Byte ranges smaller than a record, and of whole files."""
     names = {"spark.sql.files.maxPartitionBytes": str(request.param), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
     for k, v in names.items():
         spark.conf.set(k, v)
