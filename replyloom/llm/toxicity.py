@@ -9,9 +9,13 @@ parameter mixing, McDonald et al. 2010).
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.blocks import WordHashes, chunked, free_name, mix, odd, texts_of
@@ -23,6 +27,8 @@ SLOTS = 1 << 18
 #: Most labelled rows that are learned from.
 SAMPLE_ROWS = 24_000
 SHARDS, ROUNDS = 4, 8
+#: Rows of features that a task takes in at once.
+BATCH_ROWS = 256
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
 #: Value of a pair of words; a word alone counts 1.
 PAIR_VALUE = 0.3
@@ -62,7 +68,14 @@ def _labelled_sample(labels: DataFrame, label: str, doc_id: str, learn: Column,
     return ids[order], y[order]
 
 
-def _step(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], labels: list[int]) -> None:
+def _slots(column: pa.Array) -> Iterator[np.ndarray]:
+    """Slots of each row with the constant before them, one row at a time."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    for a, b in pairwise(offsets):
+        yield np.append(np.int32(0), np.frombuffer(column.buffers()[2], np.int32, (b - a) // 4, a) if b > a else np.zeros(0, np.int32))
+
+
+def _step(z: np.ndarray, n: np.ndarray, rows: Iterable[np.ndarray], labels: list[int]) -> None:
     """One pass of FTRL-proximal over the rows, in place."""
     for slots, y in zip(rows, labels):
         zs, ns, value = z[slots], n[slots], _value(slots)
@@ -74,6 +87,20 @@ def _step(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], labels: list[int
         n[slots] = ns + g * g
 
 
+@contextmanager
+def _short_batches(spark: SparkSession):
+    """Few rows at a time between files, Spark and Python: a row of features takes as much room as a text."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id",
     learn: Column | None = None, rows: int = SAMPLE_ROWS,
@@ -137,18 +164,20 @@ def fit_toxicity(
                             yield moved()
                         own, (z, n) = int(shard[at[0]]), (x.copy() for x in state.value)
                     rows = batch.slice(at[0], len(at))
-                    slots = [np.append(np.int32(0), np.frombuffer(x, np.int32)) for x in rows.column("slots").to_pylist()]
-                    _step(z, n, slots, rows.column("y").to_pylist())
+                    _step(z, n, _slots(rows.column("slots")), rows.column("y").to_pylist())
             if own is not None:
                 yield moved()
 
         # A shard gives one row of at most SLOTS slots, whatever the size of the data; they are added up in order.
-        moves = shards.mapInArrow(learn_shard, "shard int, slot binary, z binary, n binary").toArrow().to_pylist()
+        with _short_batches(spark):
+            moves = shards.mapInArrow(learn_shard, "shard int, slot binary, z binary, n binary").toArrow().to_pylist()
         damp = max(1, len(moves)) ** 0.5
         for move in sorted(moves, key=lambda m: (m["shard"], m["slot"])):
             slot = np.frombuffer(move["slot"], np.int32)
             z[slot] += np.frombuffer(move["z"]) / damp
             n[slot] += np.frombuffer(move["n"]) / damp
+        state.unpersist()
+    known.unpersist()
     w = np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     return w.astype(np.float32)
 
