@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,3 +375,44 @@ def test_fits_tell_their_distance_from_the_optimum(spark, gold):
     assert few.converged and whole.converged
     for got, true, room in zip(few.singular_values, whole.singular_values, few.residuals):
         assert abs(got**2 - true**2) <= room + 1e-9
+
+
+@pytest.mark.parametrize("mode", retrieval.MODES)
+def test_retrieval_by_blocks_equals_all_pairs_without_a_shuffle(spark, monkeypatch, mode):
+    monkeypatch.setattr(retrieval, "KB_SLICE", 7)
+    monkeypatch.setattr(retrieval, "QUERY_PART", 5)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    met = []
+    meetings = retrieval._meetings
+    monkeypatch.setattr(retrieval, "_meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    rng = np.random.default_rng(3)
+    levels = (0.95, 0.75, 0.6, 0.2, 0.1, None)
+
+    def texts(n):
+        return [" ".join(f"w{t}" for t in rng.integers(0, 20, rng.integers(0, 8))) for _ in range(n)]
+
+    known = [(i, t, levels[i % 6]) for i, t in enumerate(texts(50) + ["w1 w2 w3"] * 12)]
+    asked = list(enumerate(texts(20) + ["w1 w2 w3", "unknown"]))
+    kb = spark.createDataFrame(known, "kb_id long, customer_inquiry string, resolution_score double")
+    model = V.tfidf_fit(kb, "customer_inquiry", V.TfidfConfig(300, True, 1, 1.0, ()))
+
+    def vectors(df, text, key):
+        return {r[key]: r["vector"].toArray() for r in model.transform(df, text).collect()}
+
+    q_df = spark.createDataFrame(asked, "query_id long, text string")
+    a, b = vectors(q_df, "text", "query_id"), vectors(kb, "customer_inquiry", "kb_id")
+    got = {}
+    for r in retrieval.retrieve(model, q_df, kb, 3, mode).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["kb_id"], r["composite_score"]))
+    assert len(got) == len(asked)
+    for i, rows in got.items():
+        scored = []
+        for j, _, resolution in known:
+            sim = float(a[i] @ b[j])
+            if mode != "naive":
+                sim = -1.0 if resolution is None else sim * 0.2 if resolution <= 0.2 else sim * 0.65 + resolution * 0.35
+            scored.append((-math.floor(sim * 1e4 + 0.5) / 1e4, j))
+        want = [(n, j, pytest.approx(-s, abs=1.01e-4)) for n, (s, j) in enumerate(sorted(scored)[:3], 1)]
+        assert sorted(rows) == want
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
