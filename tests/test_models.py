@@ -383,8 +383,8 @@ def test_retrieval_by_blocks_equals_all_pairs_without_a_shuffle(spark, monkeypat
     monkeypatch.setattr(retrieval, "QUERY_PART", 5)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
     met = []
-    meetings = retrieval._meetings
-    monkeypatch.setattr(retrieval, "_meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    meet = retrieval.met_blocks
+    monkeypatch.setattr(retrieval, "met_blocks", lambda *a: met.append(meet(*a)) or met[-1])
     rng = np.random.default_rng(3)
     levels = (0.95, 0.75, 0.6, 0.2, 0.1, None)
 
@@ -416,3 +416,30 @@ def test_retrieval_by_blocks_equals_all_pairs_without_a_shuffle(spark, monkeypat
         assert sorted(rows) == want
     plan = met[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_cosine_join_query_returns_every_pair_that_shares_a_term(spark, data):
+    from replyloom.registry.vectors import ENTRIES
+
+    run, sql = ENTRIES["cosine_join"]
+    assert "sim >=" not in sql
+    assert run(spark, data).where("similarity < 0.1").count() > 0
+
+
+@pytest.mark.parametrize("bigrams", [False, True])
+def test_terms_are_counted_as_numbers(spark, bigrams):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{t}" for t in rng.integers(0, 9, n)) for n in (0, 1, 2, 30, 200)] * 3
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "w1 w1 w1"]], "text string").coalesce(1)
+    corpus, docs = Counter(), Counter()
+    for t in [*texts, "w1 w1 w1"]:
+        words = t.split()
+        grams = words + ([f"{a} {b}" for a, b in zip(words, words[1:])] if bigrams else [])
+        corpus.update(grams)
+        docs.update(set(grams))
+    config = V.TfidfConfig(10, bigrams, 1, 1.0, ())
+    got = V.term_statistics(df, "text", config)
+    assert {r["term"]: (r["corpus_count"], r["doc_count"]) for r in got.collect()} == {t: (n, docs[t]) for t, n in corpus.items()}
+    # one row for a term of a batch, not one for every occurrence
+    counted = [*V._counted(pa.array([t.split() for t in texts]), bigrams)]
+    assert sum(b.num_rows for b in counted) == len(corpus)
