@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from replyloom.operators.clusters import NOISE
 from replyloom.operators.components import components_of
 from replyloom.operators.density import distinct_points, numbered_clusters
-from replyloom.operators.metric_index import SENT, MetricIndex, build_index, matrix, near_pairs, rough_distances, search, with_pieces
+from replyloom.operators.metric_index import MetricIndex, build_index, matrix, near_pairs, rough_distances, search, with_pieces
 from replyloom.runtime import materialize, running_sums, salted_join
 
 #: Tree edges that a pass merges; a group of them is held by one task.
@@ -156,7 +156,7 @@ def _round(
     limit = limit.join(listed, "comp", "left").select("comp", F.least("bound", F.coalesce(F.col("e.w"), "bound")).alias("reach"))
     asked = _join(nodes, limit, ["comp"]).where(F.col("core") <= F.col("reach"))
     asked = asked.select("pid", "v", "core", "comp", "reach")
-    if report or index.members.sum() > SENT:  # scanned twice
+    if report:  # scanned twice
         asked = materialize(asked, "asked")
 
     def nearest_other(members: pa.Table, sent: pa.Table) -> pa.RecordBatch | None:

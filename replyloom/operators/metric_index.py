@@ -2,17 +2,17 @@
 
 A sample of the points serves as pivots. Every point lies in the cell of its nearest pivot, and a cell knows the least and the
 greatest distance of its members from the pivot. By the triangle inequality a point at distance d from a pivot
-can have neighbours within r in that cell only if the ring of the cell, widened by r, contains d. A search sends each
-point to the cells it cannot rule out, and compares it there with all members.
+can have neighbours within r in that cell only if the ring of the cell, widened by r, contains d. A search compares each
+point with all members of the cells it cannot rule out.
 
 Pivots are bounded (``MAX_PIVOTS``), so they and the rings travel by broadcast. Large cells are cut into
-pieces, and the points sent to a crowded cell into parts, so a compared group holds one piece in memory
-and streams the points sent to it.
+pieces. Members, cell by cell, and the points that ask are each written once as blocks; a task reads a pair of
+blocks and compares the points with the cells that they reach, so no point is copied to the cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.runtime import materialize
+from replyloom.runtime import materialize, met_blocks, written_blocks
 
-#: Most pivots, members of a piece, and points that are sent to one copy of a piece.
+#: Most pivots, members of a piece, and points that are compared with one piece at once.
 MAX_PIVOTS, PIECE, SENT = 2048, 2000, 100_000
+#: Points of a written block.
+BLOCK = 5000
 #: Cells of a matrix of distances that a task holds at a time.
 CELLS = 2_000_000
 #: Room for the rounding of distances that are computed from squares.
@@ -156,80 +158,41 @@ def sent_to_cells(index: MetricIndex, asked: DataFrame, allowed: Callable | None
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
-    """Members of a group at once, then the points sent to it batch by batch; rows come sorted."""
-    held: list[pa.RecordBatch] = []
-    key = None
-    for batch in batches:
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "piece", "part", "sent")]
-        change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        for start, end in pairwise((0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows)):
-            this = tuple(int(k[start]) for k in keys)
-            if held and this != key:
-                yield False, pa.Table.from_batches(held)
-                held = []
-            key = this
-            if this[3]:
-                yield True, pa.Table.from_batches([batch.slice(start, end - start)])
-            else:
-                held.append(batch.slice(start, end - start))
-
-
 def search(
     index: MetricIndex, members: DataFrame, asked: DataFrame, work: Callable[[pa.Table, pa.Table], pa.RecordBatch | None], schema: str,
     columns: list[str], allowed: Callable | None = None, report: bool = False,
 ) -> tuple[DataFrame, int]:
     """Rows of ``work(members of a piece, points sent to it)``, and the number of pairs compared (0 unless asked to
-    ``report`` it: tables too small to crowd a cell are not counted otherwise).
+    ``report`` it).
 
     ``members`` has (pid, v, cell, piece) and ``asked`` (pid, v, reach); both have ``columns`` besides. ``allowed`` may
     rule out further cells (batch of ``asked`` -> matrix of booleans).
     """
-    spark = asked.sparkSession
-    counted = report or index.members.sum() > SENT
-    sent = sent_to_cells(index, asked, allowed) if counted else np.zeros(len(index.pivots), np.int64)
-    pieces, parts = index.pieces, np.maximum(1, -(-sent // SENT))
-    cells = _queries(index, asked, allowed)
+    sent = sent_to_cells(index, asked, allowed) if report else np.zeros(len(index.pivots), np.int64)
+    shared = asked.sparkSession.sparkContext.broadcast((index.pivots, index.inner, index.outer, index.members))
     extra = ["pid", "v", *columns]
-    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
-    types = ", ".join(f"{c} {kinds[c]}" for c in extra)
-
-    def copies(batches):
-        for batch in batches:
-            row, cell = np.nonzero(cells(batch)) if batch.num_rows else (np.zeros(0, np.int64),) * 2
-            times = pieces[cell]
-            piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            part = (batch.column("pid").to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[cell]
-            for s in range(0, len(row), 10_000):
-                t = slice(s, s + 10_000)
-                taken = pa.RecordBatch.from_arrays([batch.column(c) for c in (*extra, "reach")], [*extra, "reach"]).take(pa.array(row[t]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x[t].astype(np.int32)) for x in (cell, piece, part)), *taken.columns], ["cell", "piece", "part", *extra, "reach"]
-                )
-
-    out = asked.mapInArrow(copies, f"cell int, piece int, part int, {types}, reach double").withColumn("sent", F.lit(1))
-    copied = F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(x)) for x in parts]), F.col("cell") + 1) - 1))
-    if (parts == 1).all():
-        copied = F.lit(0)
-    home = members.select("cell", "piece", copied.alias("part"), *extra, F.lit(0.0).alias("reach"), F.lit(0).alias("sent"))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = home.unionByName(out).repartition(tasks, "cell", "piece", "part").sortWithinPartitions("cell", "piece", "part", "sent")
-
-    def compare(batches):
-        own, key = None, None
-        for is_sent, rows in _groups(batches):
-            this = tuple(rows.column(c)[0].as_py() for c in ("cell", "piece", "part"))
-            if not is_sent:
-                own, key = rows, this
-            elif this == key:
-                step = max(1, CELLS // own.num_rows)
-                for s in range(0, rows.num_rows, step):
-                    found = work(own, rows.slice(s, step))
-                    if found is not None and found.num_rows:
-                        yield found
-
-    return met.mapInArrow(compare, schema), int((sent * index.members).sum())
+    home = members.select("cell", "piece", *extra).repartition("cell", "piece").sortWithinPartitions("cell", "piece")
+
+    def compare(held: pa.Table, sent: pa.Table):
+        keys = [held.column(c).to_numpy() for c in ("cell", "piece")]
+        new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        starts = np.concatenate(([0], np.flatnonzero(new) + 1, [held.num_rows]))
+        used = keys[0][starts[:-1]]
+        pivots, inner, outer, sizes = (x[used] for x in shared.value)
+        own = MetricIndex(None, pivots, inner, outer, sizes, sizes)
+        hit = own.reached(matrix(sent.column("v")), sent.column("reach").to_numpy())
+        if allowed is not None:
+            hit &= allowed(sent)[:, used]
+        for i, (start, end) in enumerate(pairwise(starts.tolist())):
+            rows = np.flatnonzero(hit[:, i])
+            step = max(1, min(SENT, CELLS // (end - start)))
+            for s in range(0, len(rows), step):
+                found = work(held.slice(start, end - start), sent.take(pa.array(rows[s : s + step])))
+                if found is not None and found.num_rows:
+                    yield found
+
+    found = met_blocks(written_blocks(home, "members", BLOCK), written_blocks(asked, "sent", BLOCK), compare, schema)
+    return found, int((sent * index.members).sum())
 
 
 def with_pieces(index: MetricIndex, points: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Neighbour index, spanning tree and clusters of any density, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from replyloom.operators import density as D
@@ -210,3 +211,28 @@ def test_components_in_one_task_or_by_stars(spark, most):
     got = components_of(spark.createDataFrame(edges, "u long, v long"), most).collect()
     want = {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(9)}}
     assert {r["node"]: r["component"] for r in got} == want
+
+
+def test_search_copies_no_point_to_the_cells(spark, monkeypatch):
+    """Asked points of all cells, in blocks of a few, against brute force; only the members are dealt out, once."""
+    monkeypatch.setattr(M, "PIECE", 5)
+    monkeypatch.setattr(M, "BLOCK", 7)
+    met = []
+    meet = M.met_blocks
+    monkeypatch.setattr(M, "met_blocks", lambda *a: met.append(meet(*a)) or met[-1])
+    v = np.random.default_rng(9).normal(size=(60, 3))
+    points = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "pid long, weight long, v array<double>")
+    index = M.build_index(points, pivots=6)
+    members = M.with_pieces(index, index.points)
+
+    def near(members, sent):
+        i, j, _ = M.near_pairs(M.matrix(sent.column("v")), M.matrix(members.column("v")), sent.column("reach").to_numpy())
+        a, b = sent.column("pid").to_numpy()[i], members.column("pid").to_numpy()[j]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    found, _ = M.search(index, members, members.selectExpr("*", "1.0D AS reach"), near, "a long, b long", [])
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 1.0))}
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
