@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from replyloom.operators.clusters import NOISE
 from replyloom.operators.components import components_of
 from replyloom.operators.density import distinct_points, numbered_clusters
-from replyloom.operators.metric_index import MetricIndex, build_index, matrix, near_pairs, rough_distances, search, with_pieces
+from replyloom.operators.metric_index import MetricIndex, build_index, matrix, near_pairs, rough_distances, search, upper_distances, with_pieces
 from replyloom.runtime import materialize, running_sums, salted_join
 
 #: Tree edges that a pass merges; a group of them is held by one task.
@@ -59,7 +59,10 @@ def _bounded_reach(index: MetricIndex, points: DataFrame, min_samples: int) -> D
 
 def _least(members: pa.Table, sent: pa.Table, k: int) -> pa.RecordBatch:
     """The k nearest members of each sent point, as rows (pid, other, w, d)."""
-    i, j, d = near_pairs(matrix(sent.column("v")), matrix(members.column("v")), sent.column("reach").to_numpy())
+    a, b, reach = matrix(sent.column("v")), matrix(members.column("v")), sent.column("reach").to_numpy()
+    if k <= len(b):  # only what may be among the k nearest is computed exactly
+        reach = np.minimum(reach, np.partition(upper_distances(a, b), k - 1, axis=1)[:, k - 1])
+    i, j, d = near_pairs(a, b, reach)
     other = members.column("pid").to_numpy()[j]
     order = np.lexsort((other, d, i))
     i, j, d, other = i[order], j[order], d[order], other[order]
@@ -160,10 +163,18 @@ def _round(
         asked = materialize(asked, "asked")
 
     def nearest_other(members: pa.Table, sent: pa.Table) -> pa.RecordBatch | None:
-        reach = sent.column("reach").to_numpy()
-        i, j, d = near_pairs(matrix(sent.column("v")), matrix(members.column("v")), reach)
-        mine, theirs = sent.column("comp").to_numpy()[i], members.column("comp").to_numpy()[j]
-        w = np.maximum(np.maximum(d, sent.column("core").to_numpy()[i]), members.column("core").to_numpy()[j])
+        a, b, reach = matrix(sent.column("v")), matrix(members.column("v")), sent.column("reach").to_numpy()
+        (mine, core), (theirs, far_core) = ([t.column(c).to_numpy() for c in ("comp", "core")] for t in (sent, members))
+        # the least edge of a component is not above the least of these bounds, so only pairs up to there are computed exactly
+        upper = np.maximum(np.maximum(upper_distances(a, b), core[:, None]), far_core[None, :])
+        upper[mine[:, None] == theirs[None, :]] = np.inf
+        comps, at = np.unique(mine, return_inverse=True)
+        least = np.full(len(comps), np.inf)
+        np.minimum.at(least, at, upper.min(axis=1))
+        reach = np.minimum(reach, least[at])
+        i, j, d = near_pairs(a, b, reach)
+        mine, theirs = mine[i], theirs[j]
+        w = np.maximum(np.maximum(d, core[i]), far_core[j])
         good = (mine != theirs) & (w <= reach[i])
         if not good.any():
             return None

@@ -26,7 +26,7 @@ from replyloom.runtime import materialize, met_blocks, written_blocks
 #: Most pivots, members of a piece, and points that are compared with one piece at once.
 MAX_PIVOTS, PIECE, SENT = 2048, 2000, 100_000
 #: Points of a written block.
-BLOCK = 5000
+BLOCK = 2000
 #: Cells of a matrix of distances that a task holds at a time.
 CELLS = 2_000_000
 #: Room for the rounding of distances that are computed from squares.
@@ -47,6 +47,11 @@ def rough_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def upper_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances by one matrix product that are surely not too small."""
+    return rough_distances(a, b) + 2 * SLACK * (1.0 + np.sqrt(max((a * a).sum(1).max(initial=0.0), (b * b).sum(1).max(initial=0.0))))
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, distance) of all pairs within ``reach`` of the row of a.
 
@@ -171,7 +176,9 @@ def search(
     sent = sent_to_cells(index, asked, allowed) if report else np.zeros(len(index.pivots), np.int64)
     shared = asked.sparkSession.sparkContext.broadcast((index.pivots, index.inner, index.outer, index.members))
     extra = ["pid", "v", *columns]
-    home = members.select("cell", "piece", *extra).repartition("cell", "piece").sortWithinPartitions("cell", "piece")
+    tasks = max(asked.sparkSession.sparkContext.defaultParallelism, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    home = members.select("cell", "piece", *extra).repartition(tasks, "cell", "piece").sortWithinPartitions("cell", "piece")
+    asked = asked.repartition(tasks, "pid")
 
     def compare(held: pa.Table, sent: pa.Table):
         keys = [held.column(c).to_numpy() for c in ("cell", "piece")]

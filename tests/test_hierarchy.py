@@ -236,3 +236,17 @@ def test_search_copies_no_point_to_the_cells(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 1.0))}
     plan = met[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_least_edges_compute_few_pairs_exactly(spark, monkeypatch):
+    """Vectors far apart: nearly all pairs lie within the first bounds, few may be a least edge."""
+    x = np.random.default_rng(4).normal(size=(40, 32))
+    assert (M.upper_distances(x, x) >= np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))).all()
+    table = pa.table({"pid": np.arange(40), "weight": np.ones(40, np.int64), "v": x.tolist(), "reach": np.full(40, 99.0)})
+    computed = []
+    monkeypatch.setattr(H, "near_pairs", lambda *a: computed.append(M.near_pairs(*a)) or computed[-1])
+    found = H._least(table, table, 2).to_pandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert len(computed[0][0]) <= 100
+    for i in range(40):
+        assert found[found.pid == i].other.tolist() == np.argsort(d[i], kind="stable")[:2].tolist()
