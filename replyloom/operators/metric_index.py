@@ -176,7 +176,7 @@ def search(
     sent = sent_to_cells(index, asked, allowed) if report else np.zeros(len(index.pivots), np.int64)
     shared = asked.sparkSession.sparkContext.broadcast((index.pivots, index.inner, index.outer, index.members))
     extra = ["pid", "v", *columns]
-    tasks = max(asked.sparkSession.sparkContext.defaultParallelism, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = asked.sparkSession.sparkContext.defaultParallelism
     home = members.select("cell", "piece", *extra).repartition(tasks, "cell", "piece").sortWithinPartitions("cell", "piece")
     asked = asked.repartition(tasks, "pid")
 
