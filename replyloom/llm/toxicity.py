@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from replyloom.llm.blocks import WordHashes, chunked, free_name, mix, odd, texts_of
 from replyloom.llm.decontam import split_words
@@ -29,6 +30,8 @@ SAMPLE_ROWS = 24_000
 SHARDS, ROUNDS = 4, 8
 #: Rows of features that a task takes in at once.
 BATCH_ROWS = 256
+#: Rows that are scored and handed on at once, and words whose features are made at once.
+SCORE_ROWS, FEATURE_WORDS = 1024, 100_000
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
 #: Value of a pair of words; a word alone counts 1.
 PAIR_VALUE = 0.3
@@ -123,7 +126,7 @@ def fit_toxicity(
             place = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
             hit = np.flatnonzero((ids[place] == own) & column.is_valid().to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, np.int64)
             texts = texts_of(batch.column("_text").take(pa.array(hit)))
-            for first, words in chunked(map(split_words, texts)):
+            for first, words in chunked(map(split_words, texts), FEATURE_WORDS):
                 doc, slot = _features(words, cache)
                 key = np.unique(doc * SLOTS + slot)
                 cut = np.searchsorted(key, np.arange(len(words) + 1) * SLOTS)
@@ -190,21 +193,26 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", col
     slots = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((slots.astype(np.int32), weights[slots]))
     kept = [c for c in docs.columns if c != column]
+    # a text that is kept anyway is not sent a second time
+    once = text in kept and docs.schema[text].dataType == StringType()
+    at = kept.index(text) if once else len(kept)
 
     def work(batches):
         w = np.zeros(SLOTS)
         w[model.value[0]] = model.value[1]
         cache = WordHashes()
         for batch in batches:
-            scores = []
-            for _, words in chunked(map(split_words, texts_of(batch.column(batch.num_columns - 1)))):
-                doc, slot = _features(words, cache)
-                on = w[slot] != 0
-                key = np.unique(doc[on] * SLOTS + slot[on])
-                total = np.bincount(key // SLOTS, weights=w[key % SLOTS] * _value(key % SLOTS), minlength=len(words)) + w[0]
-                scores.append(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
-            columns = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores))], [*kept, column])
+            for start in range(0, batch.num_rows, SCORE_ROWS):
+                part = batch.slice(start, SCORE_ROWS)
+                scores = []
+                for _, words in chunked(map(split_words, texts_of(part.column(at))), FEATURE_WORDS):
+                    doc, slot = _features(words, cache)
+                    on = w[slot] != 0
+                    key = np.unique(doc[on] * SLOTS + slot[on])
+                    total = np.bincount(key // SLOTS, weights=w[key % SLOTS] * _value(key % SLOTS), minlength=len(words)) + w[0]
+                    scores.append(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(np.concatenate(scores))], [*kept, column])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != column), f"`{column}` double"])
-    return docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "_text"))).mapInArrow(work, schema)
+    sent = docs.select(*kept) if once else docs.select(*kept, F.col(text).cast("string").alias(free_name(docs, "_text")))
+    return sent.mapInArrow(work, schema)

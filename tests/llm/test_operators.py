@@ -515,6 +515,24 @@ def test_words_are_forgotten_in_two_steps(monkeypatch):
     assert all(own[w] == whole[w] for w in words) and len(own) < 120
 
 
+def test_toxicity_scores_short_slices(spark, monkeypatch):
+    """A text that is kept goes to Python once, and rows come back in short batches, whatever comes in."""
+    data = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("ba ke "), F.col("id") % 7).alias("text"))
+    weights = np.zeros(toxicity.SLOTS, np.float32)
+    _, slots = toxicity._features([[b"ba", b"3"]], toxicity.WordHashes())
+    weights[slots] = 1.0
+    whole = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(data, weights).collect()}
+    assert len(whole) == 3000 and len({whole[i] for i in range(0, 3000, 7)}) == 1 and whole[3] > whole[4]
+    taken = []
+    monkeypatch.setattr(type(data), "mapInArrow", lambda self, work, schema: taken.append((self, work)))
+    toxicity.score_toxicity(data, weights)
+    sent, work = taken[0]
+    assert sent.columns == ["doc_id", "text"]
+    out = list(work(iter(sent.toArrow().combine_chunks().to_batches())))
+    assert max(b.num_rows for b in out) <= toxicity.SCORE_ROWS
+    assert {i: x for b in out for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist())} == whole
+
+
 def test_toxicity_keeps_large_ids_apart(spark):
     big = 2**53
     texts = {big: "vile words here", big + 1: "kind words there"}
