@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,23 +28,31 @@ class LsaModel:
     converged: bool = False
 
     def transform(self, vectors: DataFrame, vector: str = "vector", output: str = "lsa"):
-        """Adds U * sigma = X * V as an array. Map-only: V has features x k entries.
-
-        V is a one-row table read by a scalar subquery, so that it travels once per executor.
-        """
-        spark = vectors.sparkSession
-        rows = spark.createDataFrame([([list(r) for r in self.components],)], "v array<array<double>>")
+        """Adds U * sigma = X * V as an array. Map-only: V has features x k entries, broadcast to the tasks."""
         k = len(self.singular_values)
-        zeros = F.array(*[F.lit(0.0)] * k)
-        table = vectors.withColumn("_v", rows.scalar())
-        projected = F.aggregate(
-            entries(vector),
-            zeros,
-            lambda acc, e: F.zip_with(
-                acc, F.get("_v", e["position"]), lambda a, x: a + x * e["weight"]
-            ),
-        )
-        return table.withColumn(output, projected).drop("_v")
+        table = np.array(self.components).reshape(-1, k)
+        shared = vectors.sparkSession.sparkContext.broadcast(table)
+
+        @F.arrow_udf("array<double>")
+        def project(positions: pa.Array, weights: pa.Array) -> pa.Array:
+            offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(positions), 0).to_numpy())))
+            position, weight = positions.flatten().to_numpy(), weights.flatten().to_numpy()
+            out = np.zeros((len(positions), k))
+            filled = np.flatnonzero(np.diff(offsets))
+            row = 0
+            while row < len(filled):
+                start = offsets[filled[row]]
+                end = max(row + 1, int(np.searchsorted(offsets[filled + 1], start + CHUNK_TERMS, "right")))
+                rows = filled[row:end]
+                t = slice(start, offsets[rows[-1] + 1])
+                out[rows] = np.add.reduceat(weight[t][:, None] * shared.value[position[t]], offsets[rows] - start, axis=0)
+                row = end
+            # a row without a vector has no projection
+            ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * k)
+            return pa.ListArray.from_arrays(ends, pa.array(out.ravel()), mask=positions.is_null())
+
+        raw = F.unwrap_udt(F.col(vector))
+        return vectors.withColumn(output, project(raw["indices"], raw["values"]))
 
 
 #: Terms multiplied at once inside a task.

@@ -443,3 +443,70 @@ def test_terms_are_counted_as_numbers(spark, bigrams):
     # one row for a term of a batch, not one for every occurrence
     counted = [*V._counted(pa.array([t.split() for t in texts]), bigrams)]
     assert sum(b.num_rows for b in counted) == len(corpus)
+
+
+ODD_TEXTS = [
+    None, "", " ", "a b c", "...", "the", "Ünï_çödé ünï_çödé 12 x 3", "w1 the w2 a w3, W1-w2\n\nw3", "w1 w2", "w1. w2!", "ß SS ÀB àb", "w1",
+    "\u0661\u0662 w1 \U0001d7d8\U0001d7d9 w2", "I\u0307stanbul w1", "x" * 300 + " w2",
+]
+
+
+def _plain_vectors(texts, config):
+    """Vocabulary and vectors by brute force; words are taken by Spark's own expression."""
+    stop = set(config.stop_words)
+    grams = []
+    for words in texts:
+        kept = [w for w in words if w not in stop]
+        grams.append(Counter(kept + ([f"{a} {b}" for a, b in zip(kept, kept[1:])] if config.use_bigrams else [])))
+    corpus, docs = sum(grams, Counter()), Counter(t for g in grams for t in g)
+    n = len(texts)
+    known = [t for t in corpus if config.min_df <= docs[t] and (config.max_df >= 1 or docs[t] <= config.max_df * n)]
+    known = sorted(sorted(known, key=lambda t: (-corpus[t], t.encode()))[: config.max_features])
+    idf = [math.log((1 + n) / (1 + docs[t])) + 1 for t in known]
+    raw = [np.array([g[t] * w for t, w in zip(known, idf)]) for g in grams]
+    return known, idf, [x / np.linalg.norm(x) if x.any() else x for x in raw]
+
+
+@pytest.mark.parametrize("most", [6, 500])
+@pytest.mark.parametrize("config", [V.TfidfConfig(0, True, 1, 1.0, ("the",)), V.TfidfConfig(0, True, 2, 0.6, ()), V.TfidfConfig(0, False, 1, 0.5, ("w2",))])
+def test_vocabulary_and_vectors_equal_plain_counting(spark, monkeypatch, config, most):
+    config = V.replace(config, max_features=most)
+    rng = np.random.default_rng(8)
+    texts = ODD_TEXTS + [" ".join(f"w{t}" for t in rng.zipf(1.5, n) % 40) for n in (1, 2, 30, 80, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    words = {r["id"]: r["w"] for r in df.select("id", V.terms(F.coalesce("text", F.lit(""))).alias("w")).collect()}
+    known, idf, want = _plain_vectors([words[i] for i in range(len(texts))], config)
+    monkeypatch.setattr(V, "TEXTS", 4)
+    # no term goes through as a text of two words before the vocabulary is known
+    counted = []
+    monkeypatch.setattr(V, "term_statistics", lambda *a: counted.append(a))
+    model = V.tfidf_fit(df, "text", config)
+    assert not counted
+    assert list(model.vocabulary) == known and model.idf == pytest.approx(idf)
+    got = {r["id"]: r["vector"].toArray() for r in model.transform(df, "text").collect()}
+    assert len(got) == len(texts)
+    for i, x in enumerate(want):
+        assert got[i] == pytest.approx(x, abs=1e-12)
+
+
+def test_words_beyond_the_limit_are_counted_as_text(spark, monkeypatch):
+    df = spark.createDataFrame([("w1 w2 w3 w1 w2",), ("w2 w3",)], "text string")
+    config = V.TfidfConfig(50, True, 1, 1.0, ())
+    want = V.tfidf_fit(df, "text", config)
+    monkeypatch.setattr(V, "PAIR_WORDS", 2)
+    assert V.tfidf_fit(df, "text", config) == want
+
+
+def test_projection_in_chunks_and_without_a_vector(spark, monkeypatch):
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.sql import types as T
+    from replyloom.operators import lsa
+
+    monkeypatch.setattr(lsa, "CHUNK_TERMS", 3)
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("vector", VectorUDT())])
+    rows = [(0, SparseVector(3, {0: 1.0, 2: 2.0})), (1, SparseVector(3, {})), (2, None), (3, SparseVector(3, {0: 1.0, 1: 1.0, 2: 1.0})), (4, SparseVector(3, {1: 3.0}))]
+    model = lsa.LsaModel(((1.0, 0.0), (0.0, 1.0), (2.0, 3.0)), (2.0, 1.0))
+    projected = model.transform(spark.createDataFrame(rows, schema).coalesce(1))
+    assert "zip_with" not in projected._jdf.queryExecution().toString()
+    got = {r["id"]: r["lsa"] for r in projected.collect()}
+    assert got == {0: [5.0, 6.0], 1: [0.0, 0.0], 2: None, 3: [3.0, 4.0], 4: [0.0, 3.0]}
