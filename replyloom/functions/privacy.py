@@ -12,6 +12,8 @@ from replyloom import defaults as D
 
 _OPEN, _CLOSE = "\x01", "\x02"
 _MARKED = f"{_OPEN}[^{_CLOSE}]*{_CLOSE}"
+#: Never occurs, as marks enclose at least one character; a plain text, which is soon searched for.
+_NOTHING = (_OPEN + _CLOSE) * 4
 
 
 @dataclass(frozen=True)
@@ -52,15 +54,32 @@ def mask_steps(text: Column, rules: MaskRules = MaskRules()) -> tuple[Column, di
     """
     counts: dict[str, Column] = {}
     # The two control characters mark the spans that are decided in a second step.
-    out = F.translate(text, _OPEN + _CLOSE, "")
+    base = out = F.translate(text, _OPEN + _CLOSE, "")
+
+    def needs(mark: str, known: bool):
+        """Gives a pattern to the texts that have ``mark``, and to the others one that never matches."""
+        if not known:
+            return F.lit
+        has = F.contains(base, F.lit(mark))
+        return lambda pattern: F.when(has, F.lit(pattern)).otherwise(F.lit(_NOTHING))
+
+    # Only the default patterns are known to need their mark, and no token must bring it in.
+    tokens = (
+        rules.brand_url_token, rules.flight_prefix, D.TOKEN_SHORT_URL, D.TOKEN_OTHER_URL, D.TOKEN_EMAIL, D.TOKEN_PHONE,
+        D.TOKEN_CARD, D.TOKEN_BOOKING, D.TOKEN_TICKET,
+    )
+    no_at = not any("@" in t for t in tokens)
+    in_url = needs("://", rules.url == D.URL)
+    in_email = needs("@", rules.email == D.EMAIL and no_at)
+    in_handle = needs("@", rules.handle == D.HANDLE and no_at)
 
     url = rules.pattern(rules.url)
-    counts["urls"] = F.regexp_count(out, F.lit(url))
-    out = F.regexp_replace(out, url, f"{_OPEN}$0{_CLOSE}")
-    out = F.regexp_replace(out, _within(re.escape(rules.brand_site)), rules.brand_url_token)
+    counts["urls"] = F.regexp_count(out, in_url(url))
+    out = F.regexp_replace(out, in_url(url), F.lit(f"{_OPEN}$0{_CLOSE}"))
+    out = F.regexp_replace(out, in_url(_within(re.escape(rules.brand_site))), F.lit(rules.brand_url_token))
     short = "(?:" + "|".join(re.escape(s) for s in rules.short_sites) + ")"
-    out = F.regexp_replace(out, _within(short), D.TOKEN_SHORT_URL)
-    out = F.regexp_replace(out, _MARKED, D.TOKEN_OTHER_URL)
+    out = F.regexp_replace(out, in_url(_within(short)), F.lit(D.TOKEN_SHORT_URL))
+    out = F.regexp_replace(out, in_url(_MARKED), F.lit(D.TOKEN_OTHER_URL))
 
     plain = (
         ("emails", rules.pattern(rules.email), D.TOKEN_EMAIL),
@@ -71,13 +90,14 @@ def mask_steps(text: Column, rules: MaskRules = MaskRules()) -> tuple[Column, di
         ("flights", rules.pattern(rules.flight, True), f"{rules.flight_prefix}$1>"),
     )
     for kind, pattern, token in plain:
-        counts[kind] = F.regexp_count(out, F.lit(pattern))
-        out = F.regexp_replace(out, pattern, token)
-
-    out = F.regexp_replace(out, rules.handle, f"{_OPEN}$1{_CLOSE}")
-    out = F.regexp_replace(out, f"(?i){_OPEN}{re.escape(rules.brand)}{_CLOSE}", f"@{rules.brand}")
-    counts["handles"] = F.regexp_count(out, F.lit(_MARKED))
-    out = F.regexp_replace(out, _MARKED, D.TOKEN_HANDLE)
+        found = in_email(pattern) if kind == "emails" else F.lit(pattern)
+        counts[kind] = F.regexp_count(out, found)
+        out = F.regexp_replace(out, found, F.lit(token))
+
+    out = F.regexp_replace(out, in_handle(rules.handle), F.lit(f"{_OPEN}$1{_CLOSE}"))
+    out = F.regexp_replace(out, in_handle(f"(?i){_OPEN}{re.escape(rules.brand)}{_CLOSE}"), F.lit(f"@{rules.brand}"))
+    counts["handles"] = F.regexp_count(out, in_handle(_MARKED))
+    out = F.regexp_replace(out, in_handle(_MARKED), F.lit(D.TOKEN_HANDLE))
     out = F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
     return out, counts
 

@@ -205,3 +205,31 @@ def test_thread_without_brand_turn_has_no_reply(spark):
     )
     got = {r["conv_id"]: r["resolution_label"] for r in resolve_turns(turns, ["conv_id"]).collect()}
     assert got == {1: "NO_BRAND_REPLY", 2: "DEFLECTED_UNVERIFIED"}
+
+
+def test_masking_skips_rules_whose_mark_is_absent(spark):
+    """Patterns that are not known to need a mark are tried on every text, and give the same."""
+    import dataclasses
+
+    from replyloom import defaults as D
+    from replyloom.functions.privacy import MaskRules, mask_steps
+
+    texts = [
+        None, "", "plain words, code 12", "@Delta @a_b hi", "mail x.y@z.org now", "see https://www.delta.com/x and http://t.co/q",
+        "http:\x01//bit.ly/a \x02@c", "http://a@b.com/x@y call 555-123-4567", "\x01\x02\x01\x02\x01\x02\x01\x02", "Flight 12 pnr ABC123 @", "://",
+        "http://other.net/z @delta", "card 4111 1111 1111 1111 http//x.org",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def masked(rules):
+        out, counts = mask_steps(F.col("t"), rules)
+        return df.select("t", out.alias("out"), *[c.alias(k) for k, c in counts.items()])
+
+    rules = MaskRules()
+    other = dataclasses.replace(rules, url=rules.url + "(?:)", email=rules.email + "(?:)", handle=rules.handle + "(?:)")
+    guarded, tried = masked(rules), masked(other)
+    assert guarded.collect() == tried.collect()
+    assert "case when contains" in guarded._jdf.queryExecution().analyzed().toString().lower()
+    # a token that brings the mark in leaves no rule out
+    brought = masked(dataclasses.replace(rules, flight_prefix="@fl")).where("t = 'Flight 12 pnr ABC123 @'").first()
+    assert brought["handles"] == 1 and D.URL == rules.url
