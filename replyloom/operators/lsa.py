@@ -57,6 +57,8 @@ class LsaModel:
 
 #: Terms multiplied at once inside a task.
 CHUNK_TERMS = 50_000
+#: Most rows of a dense block.
+BLOCK_ROWS = 32
 
 
 def _gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
@@ -75,16 +77,14 @@ def _gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
             offsets = offsets[np.append(True, np.diff(offsets) > 0)]  # rows without terms add nothing
             row = 0
             while row + 1 < len(offsets):
-                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_TERMS, "right")) - 1)
+                end = int(np.searchsorted(offsets, offsets[row] + CHUNK_TERMS, "right")) - 1
+                end = max(row + 1, min(end, row + BLOCK_ROWS))
                 t = slice(offsets[row], offsets[end])
-                starts = offsets[row:end] - offsets[row]
-                w = weight[t][:, None]
-                projected = np.add.reduceat(w * q[position[t]], starts, axis=0)
                 text = np.repeat(np.arange(end - row), np.diff(offsets[row : end + 1]))
-                order = np.argsort(position[t], kind="stable")
-                held = position[t][order]
-                first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-                total[held[first]] += np.add.reduceat((w * projected[text])[order], first, axis=0)
+                # few rows are multiplied as a dense block over the features they have
+                held, at = np.unique(position[t], return_inverse=True)
+                block = np.bincount(text * len(held) + at, weight[t], (end - row) * len(held)).reshape(end - row, -1)
+                total[held] += block.T @ (block @ q[held])
                 row = end
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(

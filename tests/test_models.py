@@ -510,3 +510,18 @@ def test_projection_in_chunks_and_without_a_vector(spark, monkeypatch):
     assert "zip_with" not in projected._jdf.queryExecution().toString()
     got = {r["id"]: r["lsa"] for r in projected.collect()}
     assert got == {0: [5.0, 6.0], 1: [0.0, 0.0], 2: None, 3: [3.0, 4.0], 4: [0.0, 3.0]}
+
+
+def test_gram_product_in_dense_blocks(spark, monkeypatch):
+    from replyloom.operators import lsa
+
+    monkeypatch.setattr(lsa, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(lsa, "CHUNK_TERMS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(rng.integers(0, 12, n).tolist(), rng.random(n).tolist()) for n in (0, 1, 2, 9, 0, 3, 12, 1, 0, 5)]  # positions repeat
+    x = np.zeros((len(rows), 12))
+    for i, (positions, weights) in enumerate(rows):
+        np.add.at(x[i], positions, weights)
+    q = rng.standard_normal((12, 4))
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>").coalesce(2)
+    assert np.allclose(lsa._gram_product(df, q), x.T @ (x @ q))
