@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from replyloom import fixtures as X
 from replyloom import runtime
 from replyloom.operators import density, metric_index
 from replyloom.operators import tfidf as V
@@ -17,6 +18,7 @@ from replyloom.operators.retrieval import retrieve
 from replyloom.operators.topics import nmf, topic_keywords, topic_shares
 from replyloom.plans import escalation as E
 from replyloom.plans import systems as Y
+from replyloom.registry import answers
 from replyloom.streaming.route import route_files, route_stream
 
 WORDS = ["bag", "lost", "flight", "late", "seat", "refund", "crew", "meal", "gate", "miles"]
@@ -525,3 +527,17 @@ def test_gram_product_in_dense_blocks(spark, monkeypatch):
     q = rng.standard_normal((12, 4))
     df = spark.createDataFrame(rows, "indices array<int>, values array<double>").coalesce(2)
     assert np.allclose(lsa._gram_product(df, q), x.T @ (x @ q))
+
+
+def test_micro_batches_of_the_routed_documents_fill_the_cores(spark, data, monkeypatch):
+    seen = []
+
+    def record(s, source, schema, folder, classifier, tau, files=None, **options):
+        seen.append((len(spark.read.schema(schema).parquet(source).inputFiles()), files))
+        return route_files(s, source, schema, folder, classifier, tau, files, **options)
+
+    monkeypatch.setattr(answers, "route_files", record)
+    routed = answers.ENTRIES["route_stream"][0](spark, data)
+    cores = spark.sparkContext.defaultParallelism
+    assert seen[0][1] >= cores and seen[0][0] >= 2 * cores
+    assert routed.count() == X.gold(spark, data).count()
