@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from replyloom import defaults as D
 
-#: A run of word characters; written as a class because engines disagree on \\w and \\b.
-WORD_RUN = r"[\p{L}\p{N}_]+"
+#: A word character; written as a class because engines disagree on \\w and \\b.
+WORD = r"[\p{L}\p{N}_]"
 WORD_RUN_2 = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -22,8 +22,10 @@ def word_count(text: Column) -> Column:
 
 def latin_words(text: Column) -> Column:
     """Lower-case words made only of two or more letters a to z."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD_RUN})"), F.lit(1))
-    return F.filter(runs, lambda w: w.rlike("^[a-z]{2,}$"))
+    # One pattern for the whole text: a condition on each run would be tried word by word. Java looks behind
+    # by code points only if the pattern itself holds one beyond the 16-bit ones, here a letter.
+    found = f"(?<!{WORD}|\U0001d41a)([a-z]{{2,}}+)(?!{WORD})"
+    return F.regexp_extract_all(F.lower(text), F.lit(found), F.lit(1))
 
 
 def terms(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom import defaults as D
-from replyloom.functions.text import bigrams, latin_words, profile_signatures
+from replyloom.functions.text import latin_words, profile_signatures
 from replyloom.operators.graph import depth_stats, thread_leaves
 from replyloom.operators.posts import brand_corpus
 from replyloom.runtime import materialize
@@ -35,12 +35,15 @@ def distinct_n(df: DataFrame, by: Sequence[str], n: int, text: str = "text") ->
     """
     if n not in (1, 2):
         raise ValueError("n must be 1 or 2")
-    words = df.select(*by, latin_words(F.col(text)).alias("_words"))
-    grams = F.col("_words") if n == 1 else bigrams(F.col("_words"))
+    words, keys = F.col("_words"), [f"_gram{i}" for i in range(n)]
+    size = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    # the words of a gram stay columns of their own, so that no gram is built by a function of one element
+    grams = F.arrays_zip(*[F.slice(words, F.lit(i + 1), size).alias(key) for i, key in enumerate(keys)])
     return (
+        df.select(*by, latin_words(F.col(text)).alias("_words"))
         # inline, unlike explode, adds no size filter that would tokenise the text twice
-        words.select(*by, F.inline(F.transform(grams, lambda g: F.struct(g.alias("_gram")))))
-        .groupBy(*by, "_gram")
+        .select(*by, F.inline(grams).alias(*keys))
+        .groupBy(*by, *keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("unique_grams"), F.sum("_n").alias("total_grams"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from replyloom.functions.text import (
     bigrams, is_bare_numeric, latin_words, parse_post_time, profile_signatures, split_signature,
     terms, word_count,
 )
+from replyloom.operators.profile import distinct_n
 
 
 def column(spark, values, *columns):
@@ -233,3 +236,23 @@ def test_masking_skips_rules_whose_mark_is_absent(spark):
     # a token that brings the mark in leaves no rule out
     brought = masked(dataclasses.replace(rules, flight_prefix="@fl")).where("t = 'Flight 12 pnr ABC123 @'").first()
     assert brought["handles"] == 1 and D.URL == rules.url
+
+
+def test_latin_words_are_found_without_a_function_of_one_word(spark):
+    """The pattern finds what a condition on every run of word characters finds."""
+    rng = random.Random(4)
+    signs = ["a", "b", "z", "Q", " ", " ", "-", "_", "7", "\u00e9", "\u0130", "\U0001d41a", "\U0001f600", "\u0301", "\n", "\u0661"]
+    said = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(400)] + [None, ""]
+    runs = F.regexp_extract_all(F.lower("x"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    want = F.filter(runs, lambda w: w.rlike("^[a-z]{2,}$"))
+    rows = spark.createDataFrame([(x,) for x in said], "x string").select(latin_words(F.col("x")).alias("got"), want.alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows) and sum(len(r["got"] or []) for r in rows) > 100
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_grams_are_counted_without_functions_of_one_element(spark, n):
+    rows = [("a", "to be or not to be"), ("a", "to be"), ("a", None), ("b", "x 1"), (None, "Not to be")]
+    counted = distinct_n(spark.createDataFrame(rows, "brand string, text string"), ["brand"], n)
+    assert "lambda" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    want = {("a", 4, 8), (None, 3, 3)} if n == 1 else {("a", 4, 6), (None, 2, 2)}
+    assert {(r["brand"], r["unique_grams"], r["total_grams"]) for r in counted.collect()} == want
