@@ -14,6 +14,7 @@ from replyloom.runtime import work_folder
 from replyloom.schemas import THREAD
 from replyloom.sources import posts as SP
 from replyloom.sources import threads as ST
+from replyloom.sources.split_records import slices
 
 POST_TIME = "EEE MMM dd HH:mm:ss Z yyyy"
 
@@ -77,8 +78,11 @@ def _as_arrays(rows: DataFrame, path: str) -> None:
     def bracket(batches):
         first = True
         for batch in batches:
-            for text in batch.column("value").to_pylist():
-                yield pa.RecordBatch.from_pydict({"value": [("[" if first else ",") + text]})
+            for part in slices(batch.column("value")):
+                texts = [f",{text}" for text in part.to_pylist()]
+                if first:
+                    texts[0] = f"[{texts[0][1:]}"
+                yield pa.RecordBatch.from_pydict({"value": texts})
                 first = False
         yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
 

@@ -16,15 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 _QUOTE, _BACKSLASH = ord('"'), ord("\\")
-_DEPTH = np.zeros(256, np.int64)
+_DEPTH = np.zeros(256, np.int8)
 _DEPTH[[ord("{"), ord("[")]] = 1
 _DEPTH[[ord("}"), ord("]")]] = -1
+#: Bytes of the pieces that are looked at together; their arrays take some ten times as much.
+SLICE_BYTES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -53,7 +56,7 @@ def _transitions(column: pa.Array, cut: Cut) -> tuple[np.ndarray, np.ndarray, np
     offsets = offsets - offsets[0]
     quotes = np.flatnonzero(data == _QUOTE)
     if cut.nested and len(quotes):
-        place = np.where(data == _BACKSLASH, -1, np.arange(len(data)))
+        place = np.where(data == _BACKSLASH, -1, np.arange(len(data), dtype=np.int32 if len(data) < 2**31 else np.int64))
         place[offsets[:-1][offsets[:-1] < len(data)]] = np.maximum(place[offsets[:-1][offsets[:-1] < len(data)]], offsets[:-1][offsets[:-1] < len(data)] - 1)
         last = np.maximum.accumulate(place)
         before = np.where(quotes > 0, last[quotes - 1], -1)
@@ -75,6 +78,16 @@ def _transitions(column: pa.Array, cut: Cut) -> tuple[np.ndarray, np.ndarray, np
     return parity, depths[0], depths[1]
 
 
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts of a column in their order, up to ``SLICE_BYTES`` at a time and at least one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        yield column.slice(at, to - at)
+        at, done = to, ends[to - 1]
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, pa.Array]]:
     """((file, start), whether the range is new, pieces) of runs of rows in the order they were read."""
     key = None
@@ -85,8 +98,9 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
         for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
             if a < b:
                 this = (files.dictionary[int(names[a])].as_py(), int(starts[a]))
-                yield this, this != key, batch.column("value").slice(a, b - a)
-                key = this
+                for part in slices(batch.column("value").slice(a, b - a)):
+                    yield this, this != key, part
+                    key = this
 
 
 def _summaries(pieces: DataFrame, cut: Cut) -> DataFrame:
@@ -145,6 +159,7 @@ def split_records(spark: SparkSession, path: str | Sequence[str], cut: Cut) -> D
             held: list[str] = []  # pieces since the last end
             key, state, begun, number = None, (0, 0), True, 0
             out: list[list] = [[] for _ in range(6)]
+            size = 0  # bytes of the pieces since the last batch
 
             def put(kind: int, pieces: list[str]) -> None:
                 nonlocal number
@@ -183,8 +198,10 @@ def split_records(spark: SparkSession, path: str | Sequence[str], cut: Cut) -> D
                     put(WHOLE if begun else END, held + texts[at : e + 1])
                     held, begun, at = [], True, e + 1
                 held = held + texts[at:]
-                if len(out[0]) >= 5000:
+                size += column.nbytes
+                if len(out[0]) >= 5000 or size >= SLICE_BYTES:
                     yield flush()
+                    size = 0
             close()
             yield flush()
 

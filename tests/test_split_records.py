@@ -5,6 +5,7 @@ import io
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -111,3 +112,14 @@ def test_json_array_equals_the_parser(spark, tmp_path, ranges, indent):
 def test_odd_arrays(spark, tmp_path, ranges, text, ids):
     (tmp_path / "a.json").write_text(text)
     assert [r["id"] for r in sorted(R.read_json_elements(spark, str(tmp_path), THING).collect(), key=lambda r: r["id"] or 0)] == ids
+
+
+def test_pieces_are_looked_at_in_short_slices():
+    """A batch of long records is not scanned at once; a record above the limit comes alone."""
+    texts = ["a" * 1_000_000] * 9 + [None, "b" * (R.SLICE_BYTES + 1), "", "c"]
+    column = pa.array(["left out", *texts])
+    batch = pa.RecordBatch.from_arrays([column, pa.array(["f"] * 14), pa.array([7] * 14)], ["value", "file", "start"]).slice(1)
+    found = list(R._ranges(iter([batch, batch])))
+    assert [x for _, _, part in found for x in part.to_pylist()] == texts * 2
+    assert [new for _, new, _ in found] == [True] + [False] * (len(found) - 1)
+    assert all(len(part) == 1 or sum(len(x or "") for x in part.to_pylist()) <= R.SLICE_BYTES for _, _, part in found)
