@@ -197,8 +197,11 @@ def fold_ancestors(
         start.where(F.col("_up").isNotNull())
         .select(*scope, F.col("_up").alias("tweet_id"))
         .distinct()
+        .withColumn("_answered", F.lit(True))
     )
-    leaves = nodes.join(answered, [*scope, "tweet_id"], "left_anti")
+    # Not an anti join: Spark runs that once for each part of a union, and the parts in one task.
+    met = nodes.join(answered, [*scope, "tweet_id"], "left")
+    leaves = met.where(F.col("_answered").isNull()).drop("_answered")
     return Folded(nodes, leaves.withColumnRenamed("tweet_id", "leaf_id"))
 
 

@@ -232,3 +232,13 @@ def test_giant_threads_take_the_jumps(spark, monkeypatch, bound, rows):
     monkeypatch.setattr(G, "ONE_TASK_POSTS", bound)
     monkeypatch.setattr(G, "WALK_ROWS", rows)
     assert spark_paths(posts(spark, chain(*edges))) == brute_paths(edges)
+
+
+def test_leaves_of_many_rounds_are_found_by_one_join(spark, monkeypatch):
+    """The finished posts of all rounds meet the answered ones once, not round by round."""
+    monkeypatch.setattr(G, "ONE_TASK_POSTS", 10)
+    rows = [(i, i - 1 if i % 40 else None) for i in range(200)] + [(300, 17), (301, 302), (302, 301)]
+    leaves = G.thread_leaves(spark.createDataFrame(rows, "tweet_id long, in_reply_to long"))
+    plan = leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Join ") for line in plan.splitlines()) == 1
+    assert sorted(map(tuple, leaves.collect())) == [(0, 39, 40), (0, 300, 19), *[(k, k + 39, 40) for k in (40, 80, 120, 160)]]
