@@ -184,7 +184,8 @@ def thread_flags(
     columns of ``posts``.
     """
     extra = dict(extra or {})
-    posts = unique_posts(posts)
+    # written first: the check of ids, the gaps and the texts would each build the posts anew
+    posts = unique_posts(materialize(posts, "posts"))
     brand = ~F.col("inbound")
     links = materialize(posts.select("tweet_id", "in_reply_to", "created_at"), "links")
     prepared = posts.join(turn_gaps(links), "tweet_id").withColumns(

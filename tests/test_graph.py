@@ -242,3 +242,18 @@ def test_leaves_of_many_rounds_are_found_by_one_join(spark, monkeypatch):
     plan = leaves._jdf.queryExecution().optimizedPlan().toString()
     assert sum(line.lstrip(" :+-").startswith("Join ") for line in plan.splitlines()) == 1
     assert sorted(map(tuple, leaves.collect())) == [(0, 39, 40), (0, 300, 19), *[(k, k + 39, 40) for k in (40, 80, 120, 160)]]
+
+
+def test_flags_build_their_posts_once(spark):
+    """Posts that are costly to build are read by one job, whatever looks at them afterwards."""
+    built = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    df = conversation(spark)
+    counted = df.mapInArrow(count, df.schema)
+    assert sorted(T.thread_flags(counted).collect(), key=str) == sorted(T.thread_flags(df).collect(), key=str)
+    assert built.value == df.count()
