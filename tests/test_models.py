@@ -541,3 +541,80 @@ def test_micro_batches_of_the_routed_documents_fill_the_cores(spark, data, monke
     cores = spark.sparkContext.defaultParallelism
     assert seen[0][1] >= cores and seen[0][0] >= 2 * cores
     assert routed.count() == X.gold(spark, data).count()
+
+
+def test_retrieval_multiplies_few_pairs_of_unlike_rows(monkeypatch):
+    """Rows of several vocabularies: blocks are compared term by term, queries without hope are left out, and nothing is lost."""
+    rng = np.random.default_rng(5)
+
+    def rows(n, key, first):
+        group = np.sort(rng.integers(0, 4, n))
+        listed = [np.sort(rng.choice(np.arange(30) + 30 * g, 12, replace=False)) for g in group]
+        for at in listed[::9]:  # a term that is rare elsewhere
+            at[0 if at[0] < 90 else -1] = 0 if at[0] < 90 else 119
+        listed = [np.unique(at) for at in listed]
+        weights = [w / np.linalg.norm(w) for w in (rng.random(len(at)) + 0.1 for at in listed)]
+        table = pa.table({
+            key: np.arange(first, first + n), "_positions": pa.array(listed, pa.list_(pa.int32())), "_weights": pa.array(weights, pa.list_(pa.float64())),
+            "_cluster": group.astype(np.int32),
+        })
+        dense = np.zeros((n, 120))
+        for i, (at, w) in enumerate(zip(listed, weights)):
+            dense[i, at] = w
+        return table, dense
+
+    asking, a = rows(300, "query_id", 0)
+    known, b = rows(400, "kb_id", 1000)
+    levels = rng.choice([0.95, 0.75, 0.6, 0.4, 0.2], 400)
+    known = known.append_column("resolution_score", pa.array(levels))
+    works, multiplied, products = [], [], retrieval._products
+
+    class Found:
+        def withColumn(self, *_):
+            return self
+
+    def counted(x, y, width):
+        multiplied.append((len(x[0]) - 1) * (len(y[0]) - 1))
+        out = products(x, y, width)
+        np.testing.assert_allclose(out, retrieval._dense(x, np.arange(width), width) @ retrieval._dense(y, np.arange(width), width).T, atol=1e-6)
+        return out
+
+    monkeypatch.setattr(retrieval, "met_blocks", lambda held, sent, work, *_: works.append(work) or Found())
+    monkeypatch.setattr(retrieval, "F", type("Names", (), {"col": staticmethod(lambda _: type("C", (), {"cast": lambda *_: None})())}))
+    monkeypatch.setattr(retrieval, "_products", counted)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(retrieval, "CELLS", 12000)
+    monkeypatch.setattr(retrieval, "COLUMN", 8)
+    floor = {"resolution_weighted": 0.35 * 0.95}
+    retrieval._matches(None, None, {"query_id": "bigint", "kb_id": "bigint"}, 120, 2, ("resolution_weighted",), 0.65, floor)
+    blocks = [known.slice(200, 200), known.slice(0, 200)]
+    got = {}
+    for batch in works[0](iter(blocks), asking):
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"], set()).add(r["kb_id"])
+    sims = a @ b.T
+    scores = np.where(levels <= 0.2, sims * 0.2, sims * 0.65 + levels * 0.35)
+    for i in range(300):
+        best = np.argsort(-scores[i], kind="stable")[:2]
+        assert {1000 + int(j) for j in best if scores[i, j] >= floor["resolution_weighted"] + 1e-3} <= got[i]
+    assert sum(multiplied) < 0.6 * 300 * 400
+
+
+def test_retrieval_by_clusters_gives_the_same_hits(spark, monkeypatch):
+    rng = random.Random(3)
+    kb = [(i, t, rng.choice([0.95, 0.75, 0.4, None])) for i, t in corpus(80, 4)] + [(200 + i, "", 0.6) for i in range(3)]
+    kb_df = spark.createDataFrame(kb, "kb_id int, customer_inquiry string, resolution_score double")
+    q_df = spark.createDataFrame(corpus(20, 8) + [(50, "unknown words"), (51, kb[0][1])], "query_id int, text string")
+    model = V.tfidf_fit(kb_df, "customer_inquiry", V.TfidfConfig(2500, True, 1, 1.0, ()))
+
+    def hits():
+        got = retrieval.compare_retrieval(model, q_df, kb_df, 3).collect()
+        return sorted((r["mode"], r["query_id"], r["rank"], r["composite_score"]) for r in got)
+
+    whole, clustered = hits(), []
+    near = retrieval._clustered
+    for name, value in (("CLUSTERED", 0), ("CLUSTERS", 4), ("KB_SLICE", 9), ("QUERY_PART", 6)):
+        monkeypatch.setattr(retrieval, name, value)
+    monkeypatch.setattr(retrieval, "_clustered", lambda *a: clustered.append(near(*a)) or clustered[-1])
+    assert hits() == [(*r[:3], pytest.approx(r[3], abs=1.01e-4)) for r in whole]
+    assert len(clustered) == 2
