@@ -25,6 +25,8 @@ from replyloom.runtime import materialize, met_blocks, written_blocks
 
 #: Most pivots, members of a piece, and points that are compared with one piece at once.
 MAX_PIVOTS, PIECE, SENT = 2048, 2000, 100_000
+#: Share of the cells of a block that points reach, from which on they are compared with the whole block.
+WHOLE = 0.25
 #: Points of a written block.
 BLOCK = 2000
 #: Cells of a matrix of distances that a task holds at a time.
@@ -52,16 +54,33 @@ def upper_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return rough_distances(a, b) + 2 * SLACK * (1.0 + np.sqrt(max((a * a).sum(1).max(initial=0.0), (b * b).sum(1).max(initial=0.0))))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, distance) of all pairs within ``reach`` of the row of a.
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distances by one product in single precision, without the squared norm of the row of ``a`` (given back), and
+    how far they are off at most for each row of ``a``."""
+    norms, others = (a * a).sum(1), (b * b).sum(1)
+    kind = np.float32 if max(norms.max(initial=0.0), others.max(initial=0.0)) < 1e30 else np.float64
+    left = np.concatenate((-2.0 * a, np.ones((len(a), 1))), axis=1).astype(kind)
+    right = np.concatenate((b, others[:, None]), axis=1).astype(kind)
+    off = (a.shape[1] + 8) * 2.0**-22 * (np.sqrt(norms) + np.sqrt(others.max(initial=0.0))) ** 2 + 1e-30
+    return left @ right.T, norms, off
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, reach: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of all pairs within ``reach`` of the row of a; with ``k`` at least the k nearest of them.
 
     A pair has the same distance wherever it is compared: candidates are computed from their differences.
     """
     rows, columns, distances = [], [], []
-    room = SLACK * (1.0 + np.sqrt(max((a * a).sum(1).max(initial=0.0), (b * b).sum(1).max(initial=0.0))))
     step = max(1, CELLS // max(len(b), 1))
     for s in range(0, len(a), step):
-        i, j = np.nonzero(rough_distances(a[s : s + step], b) <= reach[s : s + step, None] + room)
+        within, most = reach[s : s + step], len(b)
+        near, norms, off = squares(a[s : s + step], b)
+        limit = within * np.abs(within) + off - norms + 1e-6 * within * within
+        inside = near <= limit.astype(near.dtype)[:, None]
+        if 0 < k <= most and np.count_nonzero(inside) > 4 * k * len(inside):
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * off
+            inside = near <= np.minimum(limit, kth).astype(near.dtype)[:, None]
+        i, j = np.divmod(np.flatnonzero(inside), max(most, 1))
         i += s
         for t in range(0, len(i), CELLS // 16):
             x, y = i[t : t + CELLS // 16], j[t : t + CELLS // 16]
@@ -170,7 +189,7 @@ def search(
     """Rows of ``work(members of a piece, points sent to it)``, and the number of pairs compared (0 unless asked to
     ``report`` it).
 
-    ``members`` has (pid, v, cell, piece) and ``asked`` (pid, v, reach); both have ``columns`` besides. ``allowed`` may
+    A pair may be compared although it is ruled out, but never twice. ``members`` has (pid, v, cell, piece) and ``asked`` (pid, v, reach); both have ``columns`` besides. ``allowed`` may
     rule out further cells (batch of ``asked`` -> matrix of booleans).
     """
     sent = sent_to_cells(index, asked, allowed) if report else np.zeros(len(index.pivots), np.int64)
@@ -178,7 +197,10 @@ def search(
     extra = ["pid", "v", *columns]
     tasks = asked.sparkSession.sparkContext.defaultParallelism
     home = members.select("cell", "piece", *extra).repartition(tasks, "cell", "piece").sortWithinPartitions("cell", "piece")
-    asked = asked.repartition(tasks, "pid")
+    if {"cell", "piece"} <= set(asked.columns):  # cell by cell as well, so that blocks are ruled out as a whole
+        asked = asked.repartition(tasks, "cell", "piece").sortWithinPartitions("cell", "piece")
+    else:
+        asked = asked.repartition(tasks, "pid")
 
     def compare(held: pa.Table, sent: pa.Table):
         keys = [held.column(c).to_numpy() for c in ("cell", "piece")]
@@ -190,7 +212,10 @@ def search(
         hit = own.reached(matrix(sent.column("v")), sent.column("reach").to_numpy())
         if allowed is not None:
             hit &= allowed(sent)[:, used]
-        for i, (start, end) in enumerate(pairwise(starts.tolist())):
+        cells = list(pairwise(starts.tolist()))
+        if len(cells) > 1 and hit.mean() >= WHOLE:  # little is ruled out: all cells of the block at once
+            cells, hit = [(0, held.num_rows)], hit.any(axis=1, keepdims=True)
+        for i, (start, end) in enumerate(cells):
             rows = np.flatnonzero(hit[:, i])
             step = max(1, min(SENT, CELLS // (end - start)))
             for s in range(0, len(rows), step):
