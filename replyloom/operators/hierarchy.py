@@ -4,9 +4,10 @@ Campello, Moulavi and Sander, "Density-Based Clustering Based on Hierarchical De
 two points is the largest of their distance and both core distances (the distance within which ``min_samples``
 points lie, the point itself included).
 
-* The minimum spanning tree grows by Borůvka rounds. In a round every component takes its least edge to another one. The
-  lists of nearest neighbours give an upper bound for that edge; only points whose core distance is not above it search
-  the pivot index of ``metric_index.py``, and only in cells that hold other components.
+* The minimum spanning tree grows by Borůvka rounds. In a round every component but the largest takes its least edge to
+  another one. The lists of nearest neighbours give an upper bound for that edge; only points whose core distance and whose
+  last listed neighbour are not above it search the pivot index of ``metric_index.py``, and only in cells that hold
+  other components.
 * The tree is merged in the order of its edges, some edges at a time. The edges of a pass fall into connected groups, which are
   merged in parallel. What a later pass must know of a component is one row: its size, its cluster, and the sums for the stability
   of that cluster.
@@ -19,17 +20,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.operators.clusters import NOISE
 from replyloom.operators.components import components_of
 from replyloom.operators.density import distinct_points, numbered_clusters
-from replyloom.operators.metric_index import MetricIndex, build_index, matrix, near_pairs, rough_distances, search, upper_distances, with_pieces
+from replyloom.operators.metric_index import MetricIndex, build_index, matrix, near_pairs, rough_distances, search, squares, upper_distances, with_pieces
 from replyloom.runtime import materialize, running_sums, salted_join
 
 #: Tree edges that a pass merges; a group of them is held by one task.
 PASS_EDGES = 500_000
+#: Nearest points that are listed for the rounds of the spanning tree.
+NEAR = 8
 _SLACK = 1e-6
 
 
@@ -60,9 +63,7 @@ def _bounded_reach(index: MetricIndex, points: DataFrame, min_samples: int) -> D
 def _least(members: pa.Table, sent: pa.Table, k: int) -> pa.RecordBatch:
     """The k nearest members of each sent point, as rows (pid, other, w, d)."""
     a, b, reach = matrix(sent.column("v")), matrix(members.column("v")), sent.column("reach").to_numpy()
-    if k <= len(b):  # only what may be among the k nearest is computed exactly
-        reach = np.minimum(reach, np.partition(upper_distances(a, b), k - 1, axis=1)[:, k - 1])
-    i, j, d = near_pairs(a, b, reach)
+    i, j, d = near_pairs(a, b, reach, k)  # only what may be among the k nearest is computed exactly
     other = members.column("pid").to_numpy()[j]
     order = np.lexsort((other, d, i))
     i, j, d, other = i[order], j[order], d[order], other[order]
@@ -78,14 +79,15 @@ def _least(members: pa.Table, sent: pa.Table, k: int) -> pa.RecordBatch:
     )
 
 
-def core_distances(index: MetricIndex, min_samples: int, report: bool = False) -> tuple[DataFrame, int]:
+def core_distances(index: MetricIndex, min_samples: int, report: bool = False, listed: int = 0) -> tuple[DataFrame, int]:
     """(pid, core, near) for every point, and the number of pairs compared.
 
-    ``near`` lists the nearest points by distance (other, d), the point itself first, up to ``min_samples`` of them.
+    ``near`` lists the nearest points by distance (other, d), the point itself first, up to ``min_samples`` of them, or
+    ``listed`` if that is more. No other point is nearer than the last one.
     """
     points = with_pieces(index, index.points)
-    asked = _bounded_reach(index, points, min_samples)
-    m, k = len(index.pivots), max(1, min_samples)
+    m, k = len(index.pivots), max(1, min_samples, listed)
+    asked = _bounded_reach(index, points, k)
     schema = "pid long, other long, w long, d double"
 
     def own_cell(batch: pa.RecordBatch) -> np.ndarray:
@@ -99,20 +101,24 @@ def core_distances(index: MetricIndex, min_samples: int, report: bool = False) -
 
     def shortest(found: DataFrame) -> DataFrame:
         """The first entries of each point, with the weight up to each."""
-        listed = F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "w"))), 1, k)
-        return found.groupBy("pid").agg(listed.alias("near"))
+        nearest = F.slice(F.array_sort(F.collect_set(F.struct("d", "other", "w"))), 1, k)
+        return found.groupBy("pid").agg(nearest.alias("near"))
 
     # The own cell first: what it holds bounds the search in the others.
     inside, compared = search(index, points, asked, work, schema, ["weight"], own_cell, report)
     inside = materialize(inside, "near")
-    upto = F.aggregate(
-        "near", F.struct(F.lit(0).cast("long").alias("w"), F.lit(None).cast("double").alias("d")),
-        lambda s, e: F.struct((s["w"] + e["w"]).alias("w"), F.when(s["w"] < min_samples, e["d"]).otherwise(s["d"]).alias("d")),
-    )
-    bound = shortest(inside).select("pid", upto.alias("u")).select("pid", F.when(F.col("u.w") >= min_samples, F.col("u.d")).alias("_own"))
+
+    def upto(least: int) -> Column:
+        """The weight of the listed points, and the distance within which ``least`` of it lies."""
+        return F.aggregate(
+            "near", F.struct(F.lit(0).cast("long").alias("w"), F.lit(None).cast("double").alias("d")),
+            lambda s, e: F.struct((s["w"] + e["w"]).alias("w"), F.when(s["w"] < least, e["d"]).otherwise(s["d"]).alias("d")),
+        )
+
+    bound = shortest(inside).select("pid", upto(k).alias("u")).select("pid", F.when(F.col("u.w") >= k, F.col("u.d")).alias("_own"))
     narrower = asked.join(bound, "pid", "left").withColumn("reach", F.least("reach", F.coalesce("_own", "reach"))).drop("_own")
     outside, more = search(index, points, materialize(narrower, "asked"), work, schema, ["weight"], other_cells, report)
-    near = shortest(inside.unionByName(outside)).select("pid", "near", upto.alias("u"))
+    near = shortest(inside.unionByName(outside)).select("pid", "near", upto(min_samples).alias("u"))
     found = near.select("pid", F.col("u.d").alias("core"), F.transform("near", lambda e: F.struct(e["other"].alias("other"), e["d"].alias("d"))).alias("near"))
     return found, compared + more
 
@@ -129,15 +135,15 @@ def _cell_state(nodes: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, bool]
 
 
 def _round(
-    index: MetricIndex, nodes: DataFrame, edges: DataFrame, one: np.ndarray, core: np.ndarray, report: bool
+    index: MetricIndex, nodes: DataFrame, edges: DataFrame, one: np.ndarray, core: np.ndarray, report: bool, largest: int
 ) -> tuple[DataFrame, int]:
-    """The least edge of every component to another one: (comp, w, lo, hi, far), and pairs compared."""
+    """The least edge of every component but the ``largest`` to another one: (comp, w, lo, hi, far), and pairs compared."""
     shared = nodes.sparkSession.sparkContext.broadcast((index.pivots, index.outer, index.members, one, core))
     edge = F.struct("w", "lo", "hi", "far")
     listed = edges.select("cu", F.struct("w", "lo", "hi", F.col("cv").alias("far")).alias("e")).union(
         edges.select("cv", F.struct("w", "lo", "hi", F.col("cu").alias("far")))
     )
-    listed = listed.groupBy(F.col("cu").alias("comp")).agg(F.min("e").alias("e"))
+    listed = listed.where(F.col("cu") != largest).groupBy(F.col("cu").alias("comp")).agg(F.min("e").alias("e"))
 
     def foreign(batch: pa.RecordBatch) -> np.ndarray:
         """Cells that hold points of other components."""
@@ -155,9 +161,11 @@ def _round(
             np.minimum.at(best, at, least)
             yield pa.RecordBatch.from_arrays([pa.array(comps), pa.array(best * (1 + _SLACK) + _SLACK)], ["comp", "bound"])
 
+    nodes, members = nodes.where(F.col("comp") != largest), with_pieces(index, nodes)
     limit = nodes.select("comp", "v", "core").mapInArrow(bounds, "comp long, bound double").groupBy("comp").agg(F.min("bound").alias("bound"))
     limit = limit.join(listed, "comp", "left").select("comp", F.least("bound", F.coalesce(F.col("e.w"), "bound")).alias("reach"))
-    asked = _join(nodes, limit, ["comp"]).where(F.col("core") <= F.col("reach"))
+    # what a point has not listed is no nearer than the last one listed
+    asked = _join(nodes, limit, ["comp"]).where(F.greatest("core", "radius") <= F.col("reach"))
     asked = asked.select("pid", "v", "core", "comp", "reach")
     if report:  # scanned twice
         asked = materialize(asked, "asked")
@@ -165,6 +173,11 @@ def _round(
     def nearest_other(members: pa.Table, sent: pa.Table) -> pa.RecordBatch | None:
         a, b, reach = matrix(sent.column("v")), matrix(members.column("v")), sent.column("reach").to_numpy()
         (mine, core), (theirs, far_core) = ([t.column(c).to_numpy() for c in ("comp", "core")] for t in (sent, members))
+        near, norms, off = squares(a, b)
+        some = np.flatnonzero((near.min(axis=1, initial=np.inf) + norms - off <= reach * reach * (1 + 1e-6)) & (far_core.min(initial=np.inf) <= reach))
+        if not len(some):
+            return None
+        a, mine, core, reach, sent = a[some], mine[some], core[some], reach[some], sent.take(pa.array(some))
         # the least edge of a component is not above the least of these bounds, so only pairs up to there are computed exactly
         upper = np.maximum(np.maximum(upper_distances(a, b), core[:, None]), far_core[None, :])
         upper[mine[:, None] == theirs[None, :]] = np.inf
@@ -186,7 +199,7 @@ def _round(
         return pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (mine, w, lo, hi, theirs)], ["comp", "w", "lo", "hi", "far"])
 
     found, compared = search(
-        index, with_pieces(index, nodes), asked, nearest_other, "comp long, w double, lo long, hi long, far long", ["core", "comp"], foreign, report
+        index, members, asked, nearest_other, "comp long, w double, lo long, hi long, far long", ["core", "comp"], foreign, report
     )
     both = found.select("comp", edge.alias("e")).unionByName(listed)
     return both.groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"), compared
@@ -198,9 +211,9 @@ def spanning_tree(index: MetricIndex, min_samples: int, report: bool = False) ->
 
     Edges are ordered by (w, lo, hi), so the tree is the same on any partitioning.
     """
-    cores, compared = core_distances(index, min_samples, report)
+    cores, compared = core_distances(index, min_samples, report, NEAR)
     nodes = index.points.select("pid", "v", "cell").join(cores, "pid").withColumn("comp", F.col("pid"))
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes.withColumn("radius", F.element_at("near", -1)["d"]), "nodes")
     pairs = nodes.select("pid", "core", F.inline("near")).where("pid <> other")
     other = nodes.select(F.col("pid").alias("other"), F.col("core").alias("_core"))
     edges = _join(pairs, other, ["other"]).select(
@@ -212,18 +225,21 @@ def spanning_tree(index: MetricIndex, min_samples: int, report: bool = False) ->
         one, core, done = _cell_state(nodes, len(index.pivots))
         if done:
             break
-        best, more = _round(index, nodes, edges, one, core, report)
+        # the others reach it, so its own many points need not search
+        largest = nodes.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
+        best, more = _round(index, nodes, edges, one, core, report, largest)
         best = materialize(best, "best")
         compared += more
         tree.append(best.select("lo", "hi", "w"))
         names = materialize(components_of(best.select(F.col("comp").alias("u"), F.col("far").alias("v"))), "names")
         renamed = names.select(F.col("node").alias("comp"), F.col("component").alias("_new"))
         nodes = materialize(
-            _join(nodes, renamed, ["comp"]).withColumn("comp", F.col("_new")).select("pid", "v", "cell", "core", "comp"), "nodes"
+            _join(nodes, renamed, ["comp"], "left").withColumn("comp", F.coalesce("_new", "comp")).select("pid", "v", "cell", "core", "radius", "comp"),
+            "nodes",
         )
         for side in ("cu", "cv"):
             table = names.select(F.col("node").alias(side), F.col("component").alias("_new"))
-            edges = _join(edges, table, [side]).withColumn(side, F.col("_new")).drop("_new")
+            edges = _join(edges, table, [side], "left").withColumn(side, F.coalesce("_new", side)).drop("_new")
         edges = materialize(edges.where("cu <> cv"), "edges")
     out = tree[0] if tree else nodes.select(F.col("pid").alias("lo"), F.col("pid").alias("hi"), F.col("core").alias("w")).limit(0)
     for t in tree[1:]:

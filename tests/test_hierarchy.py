@@ -1,5 +1,7 @@
 """Neighbour index, spanning tree and clusters of any density, against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -250,3 +252,39 @@ def test_least_edges_compute_few_pairs_exactly(spark, monkeypatch):
     assert len(computed[0][0]) <= 100
     for i in range(40):
         assert found[found.pid == i].other.tolist() == np.argsort(d[i], kind="stable")[:2].tolist()
+
+
+def test_nearest_pairs_are_chosen_before_they_are_computed():
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(50, 16)) + 3, rng.normal(size=(80, 16)) + 3
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    near, norms, off = M.squares(a, b)
+    assert (np.abs(near + norms[:, None] - d**2) <= off[:, None]).all()
+    i, j, w = M.near_pairs(a, b, np.full(50, 4.0))
+    assert set(zip(i.tolist(), j.tolist())) == {(int(x), int(y)) for x, y in zip(*np.nonzero(d <= 4.0))}
+    i, j, w = M.near_pairs(a, b, np.full(50, 99.0), 3)
+    assert len(i) <= 50 * 4
+    for r in range(50):
+        assert set(np.argsort(d[r])[:3].tolist()) <= set(j[i == r].tolist())
+    np.testing.assert_array_equal(w, np.sqrt(((a[i] - b[j]) ** 2).sum(1)))
+
+
+def test_largest_component_does_not_search(spark, monkeypatch):
+    """Every other component reaches it, so the many points of the largest one are never sent out."""
+    x = two_densities(5)[::4]
+    _, points = D.distinct_points(frame(spark, x), "vec_id", "embedding")
+    index = M.build_index(points)
+    rounds, search = [], H.search
+
+    def seen(index, members, asked, *rest):
+        if "comp" in asked.columns:
+            rounds.append((Counter(r["comp"] for r in members.collect()), {r["comp"] for r in asked.collect()}))
+        return search(index, members, asked, *rest)
+
+    monkeypatch.setattr(H, "search", seen)
+    _, _, first, w, _ = reach(x, 3)
+    tree, _ = H.spanning_tree(index, 3)
+    got = sorted((r["lo"], r["hi"], round(r["w"], 9)) for r in tree.collect())
+    assert got == sorted((lo, hi, round(v, 9)) for v, lo, hi, _, _ in tree_of(first, w))
+    for held, asking in rounds:
+        assert min(c for c, n in held.items() if n == max(held.values())) not in asking
